@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlake.llm import credentials, licences, mixing, packing, quality, simhash, token_files
+from voltlake.llm import credentials, html_extract, licences, mixing, packing, quality, simhash, token_files
 from voltlake.llm.common import shared_path
 
 
@@ -20,6 +20,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.secret_report(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(spark, path)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_secret_scan, op4_licence_scan, op5_quality_rules, op7_simhash, op8_pack_power_of_two, op9_token_orc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_html_extract, op3_secret_scan, op4_licence_scan, op5_quality_rules, op7_simhash, op8_pack_power_of_two, op9_token_orc)}
 ORACLE: dict[str, str] = {}
