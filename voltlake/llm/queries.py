@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlake.llm import credentials, html_extract, licences, mixing, packing, quality, simhash, token_files
+from voltlake.llm import credentials, html_extract, licences, mixing, packing, quality, simhash, token_files, vamana
 from voltlake.llm.common import shared_path
 
 
@@ -51,5 +51,9 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(spark, path)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_html_extract, op3_secret_scan, op4_licence_scan, op5_quality_rules, op7_simhash, op8_pack_power_of_two, op9_token_orc)}
+def op10_vamana_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vamana.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_html_extract, op3_secret_scan, op4_licence_scan, op5_quality_rules, op7_simhash, op8_pack_power_of_two, op9_token_orc, op10_vamana_search)}
 ORACLE: dict[str, str] = {}
