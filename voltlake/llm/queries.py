@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlake.llm import credentials, html_extract, licences, mixing, packing, quality, simhash, token_files, vamana
+from voltlake.llm import credentials, html_extract, licences, mixing, packing, quality, simhash, suffix_dedup, token_files, vamana
 from voltlake.llm.common import shared_path
 
 
@@ -37,6 +37,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -55,5 +59,5 @@ def op10_vamana_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vamana.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_html_extract, op3_secret_scan, op4_licence_scan, op5_quality_rules, op7_simhash, op8_pack_power_of_two, op9_token_orc, op10_vamana_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_html_extract, op3_secret_scan, op4_licence_scan, op5_quality_rules, op6_suffix_dedup, op7_simhash, op8_pack_power_of_two, op9_token_orc, op10_vamana_search)}
 ORACLE: dict[str, str] = {}
