@@ -1,8 +1,12 @@
 """Token ids of whole texts by the tokenizers library, each different piece of text encoded once a worker.
 
-Both vocabularies split a text before they merge, and no split part reaches from a non-space character over a
-following space.  A text whose only white space is space and newline can so be cut before each run of white space
-and its pieces encoded on their own, with the same ids; any other text is encoded as a whole.
+Both vocabularies split a text before they merge.  No split part reaches from a non-space character over a following
+space, nor from a letter or digit over a following comma or full stop.  A text whose only white space is space and
+newline can so be cut before each run of white space, and before a comma or full stop behind a letter or digit, and
+its pieces encoded on their own, with the same ids; any other text is encoded as a whole.
+
+New pieces are encoded many at a time, joined by a newline and a control character that no piece holds: its id tells
+where a piece ends.
 """
 
 from __future__ import annotations
@@ -15,10 +19,24 @@ from itertools import chain
 
 import numpy as np
 
-#: Different pieces that a worker remembers, and characters of text that it cuts at a time.
-REMEMBERED, SLICE = 400_000, 1 << 20
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Different pieces that a worker remembers, characters of text that it cuts at a time, pieces encoded as one text.
+REMEMBERED, SLICE, JOINED = 800_000, 1 << 20, 1024
+_PIECE, _PLAIN_PIECE = re.compile(r"[ \n]*[^ \n,.]+|[,.][^ \n]*|[ \n]+"), re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: White space of other kinds, or the mark; a comma or full stop that is not behind a letter or digit.
+_WHOLE, _ODD_STOP = re.compile(r"[^\S \n]|\x01"), re.compile(r"[\W_][,.]")
+_MARK = "\x01"
+
+
+class _Numbered(dict):
+    """Gives each key it hasn't seen the next number and notes it as new."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
 
 
 class PieceEncoder:
@@ -30,51 +48,76 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # where the vocabulary lowers letters anyway, pieces that differ in A-Z only are one
+        self.lowers = [e.ids for e in self.tokenizer.encode_batch_fast(["AZ", "az"], add_special_tokens=False)]
+        self.lowers = self.lowers[0] == self.lowers[1]
         self._forget()
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.at, self.filled = np.zeros(1 << 16, np.uint32), np.zeros(REMEMBERED * 2, np.int64), 0
+    def _prepared(self, texts: list[str]) -> list[str]:
+        return [t.encode().lower().decode() for t in texts] if self.lowers else texts
 
-    def _encoded(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.known = _Numbered()
+        self.ids, self.filled = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces end to end and the number of each; all begin, after white space, with a letter or digit."""
+        (mark,) = self._encoded([_MARK])[0]
+        after = len(self._encoded(["a\n"])[0]) - len(self._encoded(["a"])[0])  # ids of the newline before the mark
+        joined = [f"\n{_MARK}".join(pieces[k : k + JOINED]) + f"\n{_MARK}" for k in range(0, len(pieces), JOINED)]
+        ids = np.concatenate(self._encoded(joined))
+        end = np.nonzero(ids == mark)[0]
+        if len(end) != len(pieces):
+            raise ValueError("a piece holds the mark")
+        keep = np.ones(len(ids), bool)
+        for k in range(after + 1):
+            keep[end - k] = False
+        return ids[keep], np.diff(end, prepend=-1) - 1 - after
 
     def _learn(self, pieces: list[str]) -> None:
-        for k in range(0, len(pieces), 4096):
-            got = self._encoded(some := pieces[k : k + 4096])
-            lens = np.fromiter(map(len, got), np.int64, len(got))
-            end, n = self.filled + int(lens.sum()), len(self.known)
-            if n + len(some) >= len(self.at):
-                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            if end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), np.uint32)])
-            self.ids[self.filled : end] = np.fromiter(chain.from_iterable(got), np.uint32, end - self.filled)
-            self.at[n + 1 : n + 1 + len(some)] = self.filled + np.cumsum(lens)
-            self.known.update(zip(some, range(n, n + len(some)), strict=True))
-            self.filled = end
+        """pieces: those that were numbered last."""
+        first = len(self.known) - len(pieces)
+        plain = np.fromiter((p.lstrip(" \n")[:1].isalnum() for p in pieces), bool, len(pieces))
+        got = self._encoded([pieces[k] for k in np.nonzero(~plain)[0]])
+        ids, own = self._each([pieces[k] for k in np.nonzero(plain)[0]]) if plain.any() else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        ids = np.concatenate([ids, *got])
+        lens = np.concatenate([own, np.fromiter(map(len, got), np.int64, len(got))])
+        at = first + np.concatenate([np.nonzero(plain)[0], np.nonzero(~plain)[0]])
+        while len(self.known) > len(self.start):
+            self.start, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.lens))
+        end = self.filled + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), np.uint32)])
+        self.ids[self.filled : end] = ids
+        self.start[at], self.lens[at] = self.filled + np.cumsum(lens) - lens, lens
+        self.filled = end
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces end to end, and the number of ids of each piece."""
-        if new := list(set(pieces).difference(self.known)):
-            if len(self.known) + len(new) > REMEMBERED:
-                self._forget()
-                new = list(set(pieces))
-            self._learn(new)
+        if len(self.known) > REMEMBERED:
+            self._forget()
         which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        start, lens = self.at[which], self.at[which + 1] - self.at[which]
+        if self.known.new:
+            new, self.known.new = self.known.new, []
+            self._learn(new)
+        start, lens = self.start[which], self.lens[which]
         total = int(lens.sum())
         first = np.cumsum(lens) - lens
         return self.ids[np.arange(total) + np.repeat(start - first, lens)], lens
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [None if _OTHER_SPACE.search(t) else _PIECE.findall(t) for t in texts]
+        cut = [None if _WHOLE.search(t) else (_PLAIN_PIECE if _ODD_STOP.search(t) else _PIECE).findall(t) for t in self._prepared(texts)]
         flat, lens = self._pieces(list(chain.from_iterable(c for c in cut if c is not None)))
         ends = np.concatenate([[0], np.cumsum(lens)])
         out, counts, at = [], [], 0
         whole = iter(self._encoded([t for t, c in zip(texts, cut, strict=True) if c is None]))
         for c in cut:
             if c is None:
-                ids = np.array(next(whole), np.uint32)
+                ids = next(whole)
             else:
                 ids = flat[ends[at] : ends[at + len(c)]]
                 at += len(c)
