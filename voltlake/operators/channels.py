@@ -64,10 +64,10 @@ def nearest_contacts(points: DataFrame, k: int, radius: float | None = None, cel
     on = ["group"]
     if radius is not None:
         size = cell or radius
-        near = F.sequence(F.lit(-1), F.lit(1))
         for c in "xyz":
             a = a.withColumn(f"c{c}", F.floor(F.col(c) / size))
-            b = b.withColumn(f"c{c}", F.explode(F.transform(near, lambda s, c=c: F.floor(F.col(f"_{c}") / size) + s)))
+            own = F.floor(F.col(f"_{c}") / size)
+            b = b.withColumn(f"c{c}", F.explode(F.array(own - 1, own, own + 1)))
         on += ["cx", "cy", "cz"]
     d = F.sqrt(sum((F.col(c) - F.col(f"_{c}")) ** 2 for c in "xyz"))
     met = a.join(b, on).where("id <> other").select("group", "id", "other", d.alias("distance"))

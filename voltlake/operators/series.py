@@ -84,7 +84,7 @@ def fold_of(rule: str, k: int, w: WindowSpec, whole: WindowSpec) -> Column:
 def time_blocks(signal: DataFrame, blocks: int, keys: Sequence[str] = ("recording",)) -> DataFrame:
     """Block edges floor(n * b / blocks) of each recording."""
     n = signal.groupBy(*keys).agg((F.max("t") + 1).alias("n"))
-    b = n.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
+    b = n.select(*keys, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     return b.select(*keys, "block", F.floor(F.col("n") * F.col("block") / blocks).alias("start"), F.floor(F.col("n") * (F.col("block") + 1) / blocks).alias("stop"))
 
 
