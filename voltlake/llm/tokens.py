@@ -20,10 +20,11 @@ from itertools import chain
 import numpy as np
 
 #: Different pieces that a worker remembers, characters of text that it cuts at a time, pieces encoded as one text.
-REMEMBERED, SLICE, JOINED = 800_000, 1 << 20, 1024
+REMEMBERED, SLICE, JOINED = 1_200_000, 1 << 20, 128
 _PIECE, _PLAIN_PIECE = re.compile(r"[ \n]*[^ \n,.]+|[,.][^ \n]*|[ \n]+"), re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space of other kinds, or the mark; a comma or full stop that is not behind a letter or digit.
-_WHOLE, _ODD_STOP = re.compile(r"[^\S \n]|\x01"), re.compile(r"[\W_][,.]")
+_WHOLE = re.compile("[\x01\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_STOP = re.compile(r"[,.](?<![^\W_].)")
 _MARK = "\x01"
 
 
@@ -59,7 +60,7 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.known = _Numbered()
         self.ids, self.filled = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.lens = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -105,25 +106,24 @@ class PieceEncoder:
             new, self.known.new = self.known.new, []
             self._learn(new)
         start, lens = self.start[which], self.lens[which]
-        total = int(lens.sum())
-        first = np.cumsum(lens) - lens
-        return self.ids[np.arange(total) + np.repeat(start - first, lens)], lens
+        first = np.cumsum(lens, dtype=np.int32) - lens
+        at = np.repeat(start - first, lens)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids[at], lens
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cut = [None if _WHOLE.search(t) else (_PLAIN_PIECE if _ODD_STOP.search(t) else _PIECE).findall(t) for t in self._prepared(texts)]
         flat, lens = self._pieces(list(chain.from_iterable(c for c in cut if c is not None)))
-        ends = np.concatenate([[0], np.cumsum(lens)])
-        out, counts, at = [], [], 0
-        whole = iter(self._encoded([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        for c in cut:
-            if c is None:
-                ids = next(whole)
-            else:
-                ids = flat[ends[at] : ends[at + len(c)]]
-                at += len(c)
-            out.append(ids)
-            counts.append(len(ids))
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.array(counts, np.int64)
+        held = np.array([0 if c is None else len(c) for c in cut], np.int64)
+        ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum(held)]
+        counts = np.diff(ends, prepend=0)
+        if None not in cut:
+            return flat, counts
+        whole, out = iter(self._encoded([t for t, c in zip(texts, cut, strict=True) if c is None])), []
+        for k, c in enumerate(cut):
+            out.append(next(whole) if c is None else flat[ends[k] - counts[k] : ends[k]])
+            counts[k] = len(out[-1])
+        return np.concatenate(out), counts
 
 
 @lru_cache(maxsize=2)
