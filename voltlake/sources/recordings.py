@@ -119,6 +119,7 @@ def read_textgrid(spark: SparkSession, path: str) -> DataFrame:
     text = lambda key: F.when(F.rlike("line", F.lit(f"^{key} =")), F.regexp_extract("line", r'= "?(.*?)"?\s*$', 1))
     got = lines.select("file", "line_no", F.last(text("name"), True).over(w).alias("tier"), F.last(text("class"), True).over(w).alias("kind"),
         F.sum(F.rlike("line", F.lit(r"^(intervals|points) \[\d+\]")).cast("int")).over(w).alias("item"), text("xmin").alias("a"), text("xmax").alias("b"), text("(number|time)").alias("p"), text("(text|mark)").alias("label"))
-    items = got.where("item > 0").groupBy("file", "item").agg(F.last("tier").alias("tier"), F.last("kind").alias("kind"), F.first("a", True).alias("a"), F.first("b", True).alias("b"), F.first("p", True).alias("p"), F.first("label", True).alias("label"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
+    items = got.where("item > 0").groupBy("file", "item").agg(*[first(c) for c in ("tier", "kind", "a", "b", "p", "label")])
     items = items.where("label is not null")
     return items.select("file", "tier", "kind", F.coalesce("a", "p").try_cast("double").alias("start"), F.coalesce("b", "p").try_cast("double").alias("end"), "label")

@@ -30,7 +30,7 @@ def read_tsv_checked(spark: SparkSession, path: str, columns: Sequence[str]) ->
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no (from 1), line of each file: split on the executor that reads the file, so the order is the file's own."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     return whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r\n", "\n"), "\n")).alias("n", "line")).select("file", (F.col("n") + 1).alias("line_no"), "line")
 
 
@@ -69,7 +69,7 @@ def read_documents(spark: SparkSession, path: str, schema: str, form: str = "yam
 
         return text.map(one)
 
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.input_file_name().alias("file"), F.from_json(to_json("value"), schema).alias("doc"))
 
 
