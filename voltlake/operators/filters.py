@@ -17,16 +17,42 @@ from pyspark.sql import functions as F
 from voltlake.functions.scalars import rate_ratio
 
 
-def per_series(signal: DataFrame, f: Callable[[np.ndarray], np.ndarray], keys: Sequence[str] = ("recording",)) -> DataFrame:
-    """f on each series in the order of t; the result may have another length."""
+def per_series(signal: DataFrame, f: Callable[..., np.ndarray], keys: Sequence[str] = ("recording",), keyed: bool = False) -> DataFrame:
+    """f on each series in the order of t (keyed: f(x, key)); the result may have another length.
+
+    Series are dealt by key and sorted, and a task streams through them: many short ones share a batch, a long one is
+    held until its end.
+    """
     names = list(keys)
     schema = ", ".join([*[f"{k} {signal.schema[k].dataType.simpleString()}" for k in names], "t long, x double"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = np.asarray(f(pdf.sort_values("t")["x"].to_numpy(float)), float)
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in names}, "t": np.arange(len(y)), "x": y})[[*names, "t", "x"]]
-
-    return signal.select(*names, "t", F.col("x").cast("double").alias("x")).groupBy(*names).applyInPandas(run, schema)
+    def done(pdf: pd.DataFrame) -> pd.DataFrame:
+        group = pdf.groupby(names, dropna=False, sort=False).ngroup().to_numpy()
+        cut = np.concatenate([[0], np.nonzero(np.diff(group))[0] + 1, [len(pdf)]])
+        x, heads = pdf["x"].to_numpy(float), pdf[names].iloc[cut[:-1]]
+        of = heads.itertuples(index=False, name=None)
+        out = [np.asarray(f(x[p:q], k) if keyed else f(x[p:q]), float) for p, q, k in zip(cut[:-1], cut[1:], of, strict=True)]
+        lens = [len(y) for y in out]
+        got = heads.loc[heads.index.repeat(lens)].reset_index(drop=True)
+        return got.assign(t=np.concatenate([np.arange(n) for n in lens]), x=np.concatenate(out))[[*names, "t", "x"]]
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            group = pdf.groupby(names, dropna=False, sort=False).ngroup().to_numpy()
+            last = int(np.argmax(group == group[-1]))
+            if last or (held and not pdf[names].iloc[[0]].reset_index(drop=True).equals(held[-1][names].iloc[[-1]].reset_index(drop=True))):
+                ready = pd.concat([*held, pdf.iloc[:last]], ignore_index=True)
+                held = []
+                yield done(ready)
+            held.append(pdf.iloc[last:])
+        if held:
+            yield done(pd.concat(held, ignore_index=True))
+
+    rows = signal.select(*names, "t", F.col("x").cast("double").alias("x"))
+    return rows.repartition(*names).sortWithinPartitions(*names, "t").mapInPandas(run, schema)
 
 
 def analytic(x: np.ndarray) -> np.ndarray:
@@ -176,18 +202,15 @@ def rectified_envelope(signal: DataFrame, rate: float, cut: float, new_rate: flo
 
 def band_envelopes(signal: DataFrame, bands: Sequence[tuple[float, float]], rate: float, cut: float, keys: Sequence[str] = ("recording",)) -> DataFrame:
     """(keys, band, t, x): each band's envelope after a low-pass, not below 0.  A group is one band of one series."""
-    edges = signal.sparkSession.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(bands)], "band int, lo double, hi double")
-    spread = signal.select(*keys, "t", F.col("x").cast("double").alias("x")).join(F.broadcast(edges))  # a fixed list of bands
-    names = [*keys, "band"]
-    schema = ", ".join([*[f"{k} {spread.schema[k].dataType.simpleString()}" for k in names], "t long, x double"])
+    numbers = F.array(*[F.lit(k) for k in range(len(bands))])
+    spread = signal.select(*keys, "t", "x", F.explode(numbers).alias("band"))  # a fixed list of bands
     sections = butterworth(2, cut, rate)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        y = envelope(bandpass(pdf["x"].to_numpy(), pdf["lo"].iloc[0], pdf["hi"].iloc[0], rate))
-        return pdf[[*names, "t"]].assign(x=np.maximum(zero_phase(y, sections), 0))
+    def one(x: np.ndarray, key: tuple) -> np.ndarray:
+        low, high = bands[key[-1]]
+        return np.maximum(zero_phase(envelope(bandpass(x, low, high, rate)), sections), 0)
 
-    return spread.groupBy(*names).applyInPandas(run, schema)
+    return per_series(spread, one, [*keys, "band"], keyed=True)
 
 
 def modulations(bands: DataFrame, rates: Sequence[float], scales: Sequence[float], frame_rate: float, keys: Sequence[str] = ("recording",)) -> DataFrame:
