@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from voltlake.llm.common import written
 
 #: Most out-edges, beam while building and while searching, pruning factor, points expanded a step.
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, STEP = 32, 64, 128, 1.2, 4
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, STEP = 32, 64, 112, 1.2, 4
 #: Least number of shards, vectors a shard holds on average at most, points inserted and queries searched together, entry points.
-SHARDS, SHARD_ROWS, BATCH, ENTRIES = 12, 50_000, 512, 8
+SHARDS, SHARD_ROWS, BATCH, ENTRIES = 8, 50_000, 512, 8
 
 
 class Graph:
@@ -202,7 +202,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     queries = rows.where(is_query).dropDuplicates(["vec_id", "embedding"])
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.array("vec_id").alias("ids"), "embedding", key.alias("key"))
     held = points.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "ids", "embedding", key.alias("key"))
-    dealt = held.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "key")
+    dealt = held.union(asked).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "kind", "key")
     best = dealt.mapInArrow(_shard_search(k), "query_id long, query_key long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
