@@ -92,14 +92,15 @@ def predict(rows: DataFrame, models: DataFrame, on: Sequence[str] = ()) -> DataF
     return met.withColumn("predicted", F.transform(F.sequence(F.lit(0), q - 1), one)).drop("coef", "intercept")
 
 
-def kernel_predict(signal: DataFrame, kernel: DataFrame, keys: Sequence[str] = ("recording",), intercept: float = 0.0, mode: str = "same") -> DataFrame:
-    """signal (t, x), kernel (lag, coef) -> yhat[t] = sum over lags of x[t - lag] * coef + intercept; kernel is small."""
-    spread = signal.join(F.broadcast(kernel)).select(*keys, (F.col("t") + F.col("lag")).alias("t"), (F.col("x") * F.col("coef")).alias("v"))  # taps are few and fixed
-    sums = spread.groupBy(*keys, "t").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("k"))
-    taps = kernel.agg(F.count(F.lit(1)).alias("taps"))
-    out = signal.select(*keys, "t").join(sums, [*keys, "t"], "left").join(F.broadcast(taps))  # one row
-    full = F.coalesce(F.col("v"), F.lit(0.0)) + intercept
-    return out.select(*keys, "t", (full if mode == "same" else F.when(F.col("k") == F.col("taps"), full).otherwise(0.0)).alias("yhat"))
+def kernel_predict(signal: DataFrame, kernel: dict[int, float], keys: Sequence[str] = ("recording",), intercept: float = 0.0, mode: str = "same") -> DataFrame:
+    """kernel: lag -> coefficient.  yhat[t] = sum of x[t - lag] * coefficient + intercept, in one window; valid: 0 where a lag is beyond the edge."""
+    w = Window.partitionBy(*keys).orderBy("t")
+    moved = [F.lag("x", k).over(w) if k >= 0 else F.lead("x", -k).over(w) for k in kernel]
+    total = sum(F.coalesce(m, F.lit(0.0)) * float(c) for m, c in zip(moved, kernel.values(), strict=True)) + intercept
+    inside = F.lit(True)
+    for m in moved:
+        inside = inside & m.isNotNull()
+    return signal.select(*keys, "t", (total if mode == "same" else F.when(inside, total).otherwise(0.0)).alias("yhat"))
 
 
 def purge(train: DataFrame, test: DataFrame, gap: int, key: str = "recording") -> DataFrame:

@@ -48,20 +48,25 @@ def rising_edges(signal: DataFrame, threshold: Column, keys: Sequence[str] = ("r
 
 
 def refractory(onsets: DataFrame, gap: float, keys: Sequence[str] = ("recording",), onset: str = "sec") -> DataFrame:
-    """Keeps an onset if it is gap or more after the last one kept.  A fold by group in pandas batches: kept ones depend on kept ones."""
-    schema = onsets.select(*keys, onset).schema
-
-    def keep(pdf):
-        times = pdf[onset].sort_values().to_numpy()
-        out, last = [], None
-        for v in times:
-            if last is None or v - last >= gap:
-                out.append(v)
-                last = v
-        first = pdf.iloc[:1][list(keys)]
-        return first.loc[first.index.repeat(len(out))].assign(**{onset: out})[[*keys, onset]]
-
-    return onsets.select(*keys, onset).groupBy(*keys).applyInPandas(keep, schema)
+    """Keeps an onset if it is gap or more after the last one kept: kept ones depend on kept ones.
+
+    Groups are dealt by key and sorted; a task goes through them once and holds the last kept onset only.
+    """
+    names = list(keys)
+
+    def keep(batches):
+        key = last = None
+        for pdf in batches:
+            marks = []
+            for k, v in zip(pdf[names].itertuples(index=False, name=None), pdf[onset].tolist(), strict=True):
+                if k != key:
+                    key, last = k, None
+                marks.append(last is None or v - last >= gap)
+                last = v if marks[-1] else last
+            yield pdf[marks]
+
+    rows = onsets.select(*names, onset)
+    return rows.repartition(*names).sortWithinPartitions(*names, onset).mapInPandas(keep, rows.schema)
 
 
 def segments(signal: DataFrame, length: int, keys: Sequence[str] = ("recording",), drop_last: bool = False) -> DataFrame:

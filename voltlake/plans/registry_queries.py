@@ -270,11 +270,11 @@ def out_of_bounds(spark, d):
     return j.where((F.col("l_shipdate") < F.col("o_orderdate")) | (F.col("l_shipdate") > F.col("o_orderdate") + F.expr("INTERVAL 90 DAY"))).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, a.n AS in_orders, b.n AS in_lines FROM (SELECT o_custkey % 100 AS k, count(*) AS n FROM orders GROUP BY ALL) a FULL JOIN (SELECT l_suppkey % 120 AS k, count(*) AS n FROM lineitem GROUP BY ALL) b ON a.k = b.k WHERE a.n IS DISTINCT FROM b.n")
+@query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS in_orders, coalesce(b.n, 0) AS in_lines FROM (SELECT o_custkey % 100 AS k, count(*) AS n FROM orders GROUP BY ALL) a FULL JOIN (SELECT l_suppkey % 120 AS k, count(*) AS n FROM lineitem GROUP BY ALL) b ON a.k = b.k WHERE a.n IS DISTINCT FROM b.n")
 def sidecar_mismatch(spark, d):
     a = table(spark, d, "orders").groupBy((F.col("o_custkey") % 100).alias("k")).agg(F.count(F.lit(1)).alias("in_orders"))
     b = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 120).alias("k")).agg(F.count(F.lit(1)).alias("in_lines"))
-    return a.join(b, "k", "full").where(~F.col("in_orders").eqNullSafe(F.col("in_lines")))
+    return a.join(b, "k", "full").where(~F.col("in_orders").eqNullSafe(F.col("in_lines"))).na.fill(0)
 
 
 @query("SELECT user_id, count(DISTINCT event_type) AS kinds, mode(event_type ORDER BY event_type) IS NOT NULL AS has_mode FROM events GROUP BY user_id")

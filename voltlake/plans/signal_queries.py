@@ -355,8 +355,7 @@ def ridge_two_lag(spark, d):
 
 @query(f"SELECT recording, t, round(0.5 * x + 0.25 * coalesce(lag(x) OVER {DP}, 0) - 0.1 * coalesce(lead(x) OVER {DP}, 0) + 1, 6) AS yhat FROM sig1")
 def kernel_predict(spark, d):
-    k = spark.createDataFrame([(0, 0.5), (1, 0.25), (-1, -0.1)], "lag int, coef double")
-    return rounded(E.kernel_predict(sig1(spark, d), k, intercept=1.0), "yhat")
+    return rounded(E.kernel_predict(sig1(spark, d), {0: 0.5, 1: 0.25, -1: -0.1}, intercept=1.0), "yhat")
 
 
 @query("SELECT recording, round(coalesce(corr(x, l), 0), 5) AS r, round(1 - sum(pow(x - l, 2)) / (var_pop(x) * count(x)), 5) AS r2 FROM lagp WHERE l IS NOT NULL GROUP BY recording", lagp=_LAG)
