@@ -190,3 +190,34 @@ def test_scalars(spark):
     r = df.select(S.marker_code(F.col("m")).alias("m"), S.behaviour_code(F.col("b")).alias("b"), S.shaft_and_contact(F.col("c")).alias("c"), S.natural_key(F.col("n")).alias("n"), S.entity_token(F.col("f"), "run").alias("run"), S.strip_suffixes(F.col("f")).alias("stem"), S.to_sample(F.lit(1.5), 100.0, 3).alias("s")).first()
     assert r.m == 31 and tuple(r.b) == (31, "174183") and tuple(r.c) == ("A", 12) and r.n == "x000000000010" and r.run == "02" and r.stem == "sub-01_task-naming_run-02" and r.s == 153
     assert S.rate_ratio(128, 200) == (16, 25) and S.harmonics(50, 160) == [50, 100, 150] and S.lag_samples(-0.02, 0.02, 100, True) == [-2, -1, 1, 2]
+
+
+def test_composites(spark):
+    from voltlake.operators import composites
+
+    on = [4, 7.5, 11, 16, 22, 29]
+    ref = spark.createDataFrame([(1, float(v)) for v in on], "k long, onset double")
+    raw = spark.createDataFrame([(1, v + 12.86) for v in on], "k long, onset double")
+    dur = spark.createDataFrame([(1, 100.0)], "k long, duration double")
+    got = composites.dialogue_events(ref, raw, dur, "k").first()
+    assert got.onset == pytest.approx(16.86) and got.duration == pytest.approx(100 - 16.86)
+    cand = raw.withColumn("description", F.lit("S 11")).unionByName(spark.createDataFrame([(1, float(v), "S 9") for v in (2, 5, 9, 14, 20, 27)], "k long, onset double, description string"))
+    got = composites.story_events(cand, ref, dur, "k").first()
+    assert got.description == "S 11" and got.hits >= 5 and got.onset == pytest.approx(15.86)
+    rows = encoding.simulated(spark, 3, 1000, [0.5, 1.0]).select("recording", "t", F.array("x").alias("x"), F.array("y").alias("y"))
+    m = composites.EncodingModel((0, 1), (0.1, 1e5))
+    assert m.select_alpha(rows, F.col("recording")).first().alpha == 0.1 and m.score(rows, m.fit_auto(rows, F.col("recording"))).first().r > 0.9
+
+
+def test_naming_trials(spark):
+    from voltlake.operators import composites
+
+    marks = [(1, 0, 78, 100), (1, 1, 100, 200), (1, 2, 126, 300), (1, 3, 78, 400), (1, 4, 126, 600)]
+    markers = spark.createDataFrame(marks, "recording long, t long, code int, sample long")
+    log = spark.createDataFrame([(1, 3 * k + j, kind, n) for k, n in enumerate("ab") for j, kind in enumerate(("recording", "picture", "isi"))], "recording long, t long, kind string, name string")
+    seq, cat = spark.createDataFrame([(1, 1, 101), (1, 2, 31)], "recording long, position int, trigger int"), spark.createDataFrame([("a", 1), ("b", 2)], "name string, id int")
+    got = composites.naming_events(markers, log, seq, cat).orderBy("onset").collect()
+    assert [(r.ordinal, r.trial_type, round(r.onset, 3), r.expected) for r in got] == [(1, "recording", 0.1, True), (1, "picture", 0.2, True), (1, "isi", 0.3, True), (2, "recording", 0.4, False), (2, "picture", 0.5, False), (2, "isi", 0.6, False)]
+    short = log.where("name = 'a'")
+    with pytest.raises(Exception, match="differ in length"):
+        composites.naming_events(markers, short, seq, cat).collect()
