@@ -12,10 +12,13 @@ LATE = "10 minutes"
 
 
 def read_events(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
-    """The events files below path as a stream, in the session's time zone."""
+    """The events file, or the files below path, as a stream in the session's time zone."""
     schema = spark.read.parquet(path).schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():  # a stream reads folders
+        reader, path = reader.option("pathGlobFilter", p.getName()), str(p.getParent())
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def chunks(events: DataFrame, size: str = "60 seconds", hop: str | None = None, late: str = LATE) -> DataFrame:
@@ -53,3 +56,22 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     """Drains what is there into Parquet, exactly once by batch."""
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def run_to_latest(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Drains what is there in complete mode; the table below path is the last batch's result."""
+
+    def replace(df: DataFrame, _: int) -> None:
+        df.write.mode("overwrite").parquet(path)
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: below spark.checkpoint.dir, or a temporary one where that is unset (one machine)."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/voltlake-shared"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
