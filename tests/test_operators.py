@@ -221,3 +221,29 @@ def test_naming_trials(spark):
     short = log.where("name = 'a'")
     with pytest.raises(Exception, match="differ in length"):
         composites.naming_events(markers, short, seq, cat).collect()
+
+
+def test_derivative_modes(spark):
+    s = signal(spark, 3.0 * np.arange(200))
+    assert values(filters.derivative(s, "none", 10.0)) == (3.0 * np.arange(200)).tolist()
+    for mode, k in (("diff", 1), ("absdiff", 1), ("hr", 1), ("hr", 4), ("hr_absdiff", 4)):
+        assert np.allclose(values(filters.derivative(s, mode, 10.0, k))[50:150], 30.0, rtol=0.02)
+    with pytest.raises(ValueError):
+        filters.derivative(s, "other", 10.0)
+
+
+def test_selection(spark):
+    from voltlake.operators import selection
+
+    a, b = spark.createDataFrame([(1, "p")], "k int, v string"), spark.createDataFrame([(1, "f"), (2, "f")], "k int, v string")
+    assert sorted(tuple(r) for r in selection.with_fallback(a, b, ["k"]).collect()) == [(1, "p"), (2, "f")]
+    docs = spark.createDataFrame([(1, [("sub-001",), ("bad",), ("sub-001",), (None,)])], "id int, items array<struct<key:string>>")
+    assert [(r.pos, r.code) for r in selection.nested_faults(docs, "id", "items", "key", r"^sub-\d{3}$").orderBy("pos").collect()] == [(1, "pattern"), (2, "repeated"), (3, "pattern")]
+    k = spark.createDataFrame([(1.0,), (None,), (float("nan"),)], "coef double")
+    assert selection.kernel_faults(k).first().faults == 2
+    df = spark.createDataFrame([("A'1", float("nan"), 5.0)], "name string, v double, p double")
+    r = df.select(selection.threshold(F.col("v"), 1.0).alias("t"), selection.in_hemisphere(F.col("name"), "left").alias("l"), selection.roi_label(F.col("name"), F.col("p")).alias("roi")).first()
+    assert (r.t, r.l, r.roi) == (False, True, "none")
+    assert selection.aliased(df, {"label": ["NAME"], "z": ["q"]}).first().asDict() == {"label": "A'1", "z": None}
+    long_ = spark.range(1).select(selection.compact(F.sequence(F.lit(1), F.lit(60)).cast("array<string>"), 3, 2).alias("c")).first().c
+    assert long_ == ["1", "2", "3", "... 55 more ...", "59", "60"]

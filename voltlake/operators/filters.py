@@ -174,6 +174,24 @@ def rc_smooth(x: np.ndarray, tau: float, rate: float) -> np.ndarray:
     return once(once(x)[::-1])[::-1]
 
 
+def derivative(signal: DataFrame, mode: str, rate: float, factor: int = 1, keys: Sequence[str] = ("recording",)) -> DataFrame:
+    """none, diff, absdiff (0 at the start), or hr and hr_absdiff: taken at factor times the rate and brought back."""
+    if mode not in ("none", "diff", "absdiff", "hr", "hr_absdiff"):
+        raise ValueError(mode)
+
+    def f(x: np.ndarray) -> np.ndarray:
+        if mode == "none" or not len(x):
+            return x
+        k = factor if mode.startswith("hr") else 1
+        y = resample(x, rate * k, rate)
+        y = np.diff(y, prepend=y[:1]) * rate * k
+        y = np.abs(y) if mode.endswith("absdiff") else y
+        y = resample(y, rate, rate * k)[: len(x)]
+        return np.pad(y, (0, len(x) - len(y)))
+
+    return per_series(signal, f, keys)
+
+
 def gamma_envelope(signal: DataFrame, low: float, high: float, rate: float, smooth: int = 0, rectify: bool = False, keys: Sequence[str] = ("recording", "channel")) -> DataFrame:
     """Band-pass, then magnitude (or rectified), then an optional moving average; channel names get a suffix."""
     def f(x: np.ndarray) -> np.ndarray:

@@ -158,3 +158,31 @@ def missing_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for c in columns:
         none = none | F.col(c).isNull()
     return df.agg(F.avg(none.cast("double")).alias("missing_share"))
+
+
+def with_fallback(primary: DataFrame, fallback: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The primary rows, and the fallback's for keys that have none."""
+    return primary.unionByName(fallback.join(primary.select(*keys).distinct(), list(keys), "left_anti"))
+
+
+def any_rule(rules: DataFrame, keys: Sequence[str], flags: Sequence[str]) -> DataFrame:
+    """Whether any rule of a key sets each flag."""
+    return rules.groupBy(*keys).agg(*[F.bool_or(F.coalesce(f, F.lit(False))).alias(f) for f in flags])
+
+
+def kernel_faults(kernel: DataFrame, value: str = "coef") -> DataFrame:
+    """How many coefficients are null or not finite."""
+    return kernel.agg(F.count_if(F.col(value).isNull() | F.isnan(value) | (F.abs(value) == float("inf"))).alias("faults"), F.count(F.lit(1)).alias("n"))
+
+
+def joined_labels(rows: Column) -> Column:
+    """One label from an array of characters, without the padding."""
+    return F.trim(F.array_join(rows, ""))
+
+
+def nested_faults(documents: DataFrame, id_: str, items: str, key: str, pattern: str) -> DataFrame:
+    """Faults of an array of structs within a document: keys that don't fit the pattern, and keys that repeat (the first is no fault)."""
+    one = documents.select(id_, F.posexplode(items).alias("pos", "item")).withColumn("_k", F.col("item")[key])
+    again = F.row_number().over(Window.partitionBy(id_, "_k").orderBy("pos")) > 1
+    code = F.when(F.coalesce(~F.rlike("_k", F.lit(pattern)), F.lit(True)), "pattern").when(again, "repeated")
+    return one.withColumn("code", code).where("code is not null").select(id_, "pos", F.col("_k").alias("key"), "code")

@@ -28,9 +28,15 @@ def read_tsv_checked(spark: SparkSession, path: str, columns: Sequence[str]) ->
     return rows, issues
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 1), line of each file: split on the executor that reads the file, so the order is the file's own."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+def numbered_lines(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
+    """line_no (from 1), line of each file: split on the executor that reads the file, so the order is the file's own.
+
+    With a charset (such as ISO-8859-1 for old headers) bytes are decoded by it; the source is never rewritten.
+    """
+    if charset:
+        whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", charset).alias("value"))
+    else:
+        whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     return whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r\n", "\n"), "\n")).alias("n", "line")).select("file", (F.col("n") + 1).alias("line_no"), "line")
 
 
