@@ -20,7 +20,7 @@ from itertools import chain
 import numpy as np
 
 #: Different pieces that a worker remembers, characters of text that it cuts at a time, pieces encoded as one text.
-REMEMBERED, SLICE, JOINED = 1_200_000, 1 << 20, 128
+REMEMBERED, SLICE, JOINED = 1_200_000, 1 << 20, 64
 _PIECE, _PLAIN_PIECE = re.compile(r"[ \n]*[^ \n,.]+|[,.][^ \n]*|[ \n]+"), re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space of other kinds, or the mark; a comma or full stop that is not behind a letter or digit.
 _WHOLE = re.compile("[\x01\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -60,7 +60,25 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.known = _Numbered()
         self.ids, self.filled = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.lens = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.start, self.lens, self.uses = (np.zeros(1 << 16, np.int32) for _ in range(3))
+
+    def _thin(self) -> None:
+        """Forgets the pieces that were met once since the last time (all, if most were met again)."""
+        n = len(self.known)
+        keep = np.nonzero(self.uses[:n] > 1)[0]
+        keep = keep if len(keep) <= REMEMBERED // 2 else keep[:0]
+        names = list(self.known)
+        kept, start, lens, ids, uses = [names[k] for k in keep], self.start[keep], self.lens[keep], self.ids, self.uses[keep]
+        self._forget()
+        self.known.update(zip(kept, range(len(kept)), strict=True))
+        self._room(len(kept))
+        at, self.filled = np.cumsum(lens, dtype=np.int32) - lens, int(lens.sum())
+        self.ids = ids[np.repeat(start - at, lens) + np.arange(self.filled, dtype=np.int32)]
+        self.start[: len(kept)], self.lens[: len(kept)], self.uses[: len(kept)] = at, lens, uses // 2
+
+    def _room(self, n: int) -> None:
+        while n > len(self.start):
+            self.start, self.lens, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.lens, self.uses))
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,8 +106,7 @@ class PieceEncoder:
         ids = np.concatenate([ids, *got])
         lens = np.concatenate([own, np.fromiter(map(len, got), np.int64, len(got))])
         at = first + np.concatenate([np.nonzero(plain)[0], np.nonzero(~plain)[0]])
-        while len(self.known) > len(self.start):
-            self.start, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.lens))
+        self._room(len(self.known))
         end = self.filled + len(ids)
         if end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), np.uint32)])
@@ -100,11 +117,12 @@ class PieceEncoder:
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces end to end, and the number of ids of each piece."""
         if len(self.known) > REMEMBERED:
-            self._forget()
+            self._thin()
         which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         if self.known.new:
             new, self.known.new = self.known.new, []
             self._learn(new)
+        self.uses[: len(self.known)] += np.bincount(which, minlength=len(self.known)).astype(np.int32)
         start, lens = self.start[which], self.lens[which]
         first = np.cumsum(lens, dtype=np.int32) - lens
         at = np.repeat(start - first, lens)
