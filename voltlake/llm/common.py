@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
 #: Copies of a lookup table that share the rows of one hot key where it is too large to broadcast.
 SALTS = 16
+#: Texts in an Arrow batch: they may be long, and a worker holds a batch several times over.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _written: dict[str, object] = {}
 
@@ -66,9 +71,20 @@ def free_name(taken: list[str], name: str) -> str:
 
 
 def text_of(df: DataFrame, name: str = "text") -> Column:
+    """The text, null as empty.  Python workers get BATCH_ROWS of them at a time, unless the session asks for fewer."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH, "10000")) > BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def give_back() -> None:
+    """Returns a Python worker's freed memory to the system: workers live on, idle, beside the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def small(df: DataFrame, key: str) -> bool:
     """Whether df's row count and key text are within the bounds for a broadcast (one aggregate; nothing else moves)."""
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.col(key).cast("string"))), F.lit(0))).first()

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voltlake.llm.common import give_back
+
 #: Limits of the rules: link density, length of a short and of a long block, stop-word density from low and from high.
 LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.4, 70, 200, 0.15, 0.3
 #: Fixed stop words of the four languages.
@@ -198,7 +200,9 @@ def main_text(html: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def extracted(html: pd.Series) -> pd.Series:
-    return pd.Series([main_text(h) for h in html], dtype=object)
+    found = [main_text(h) for h in html]
+    give_back()
+    return pd.Series(found, dtype=object)
 
 
 def extract_pages(pages: DataFrame, *keep: str | Column) -> DataFrame:

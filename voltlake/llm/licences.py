@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlake.llm.common import text_of
+from voltlake.llm.common import give_back, text_of
 
 #: Fixed base phrases (as words) and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -142,6 +142,7 @@ def scan(text: str) -> tuple:
 @F.pandas_udf(RESULT)
 def licence_scan(texts: pd.Series) -> pd.DataFrame:
     got = pd.DataFrame([scan(t) for t in texts], columns=RESULT.names)
+    give_back()
     return got.astype({"first_word": "Int64", "last_word": "Int64"})
 
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import text_of
+from voltlake.llm.common import give_back, text_of
 from voltlake.llm.tokens import encoder, slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
@@ -64,6 +64,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, max_length:
                     ends = np.cumsum([0] + [r[2] for r in rows]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held).view(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, schema=shape)
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     return rows.mapInArrow(pack, SCHEMA + ", ids array<int>" * with_ids)

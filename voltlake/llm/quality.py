@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlake.llm.common import lookup_join, text_of, written
+from voltlake.llm.common import give_back, lookup_join, text_of, written
 
 #: Limits of the soft rules: symbols a word, share of repeated lines, share of capitals, mean word length.
 SYMBOLS, DUP_LINES, CAPITALS, LONG_WORDS = 0.1, 0.3, 0.5, 12.0
@@ -66,7 +66,9 @@ def measure(text: str) -> tuple[int, ...]:
 
 @F.pandas_udf(METRICS)
 def text_metrics(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measure(t) for t in texts], columns=METRICS.names)
+    rows = [measure(t) for t in texts]
+    give_back()
+    return pd.DataFrame(rows, columns=METRICS.names)
 
 
 def base_failed(m: Column) -> Column:

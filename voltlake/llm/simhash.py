@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import LongType
 
-from voltlake.llm.common import BROADCAST_ROWS, lookup_join, text_of, written
+from voltlake.llm.common import BROADCAST_ROWS, give_back, lookup_join, text_of, written
 
 RADIUS, SEED, SHINGLE = 3, 42, 3
 #: Widths of the six blocks from the lowest bit; rows of a bit-sliced block; rows from which a bucket is dealt again.
@@ -56,7 +56,9 @@ def fingerprint(text: str) -> int:
 
 @F.pandas_udf(LongType())
 def text_fingerprint(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+    found = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+    give_back()
+    return pd.Series(found)
 
 
 def bit_planes(rows: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import text_of, written
+from voltlake.llm.common import give_back, text_of, written
 
 LENGTH, KGRAM = 400, 32
 #: Strings that can share an anchor, columns of an aligned stretch, stretches compared together, and gathered at most.
@@ -115,6 +115,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch(rows, _FOUND)
                 rows = []
         yield _batch(rows, _FOUND)
+    give_back()
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -140,6 +141,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(sent) > 500_000:
             sent.clear()
         yield _batch(rows, _STRETCH)
+    give_back()
 
 
 def aligned_repeats(groups: np.ndarray, rows: list[bytes], offs: list[int]) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import text_of
+from voltlake.llm.common import give_back, text_of
 from voltlake.llm.tokens import encoder, slices
 
 SCHEMA = "doc_id long, part int, before_in_part long, n_tokens long, ids array<int>"
@@ -45,6 +45,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 cols = [batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(before + ends - counts), pa.array(counts), lists]
                 before += int(ends[-1])
                 yield pa.RecordBatch.from_arrays(cols, schema=_SHAPE)
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text"), F.spark_partition_id()]
