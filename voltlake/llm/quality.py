@@ -65,12 +65,16 @@ def measure(text: str) -> tuple[int, ...]:
 
 
 @F.pandas_udf(METRICS)
-def text_metrics(texts: pd.Series) -> pd.DataFrame:
+def _text_metrics(texts: pd.Series) -> pd.DataFrame:
     rows = [measure(t) for t in texts]
     give_back()
     return pd.DataFrame(rows, columns=METRICS.names)
 
 
+#: Marked so that a filter on its result is not pushed below it and measures every text a second time.
+text_metrics = _text_metrics.asNondeterministic()
+
+
 def base_failed(m: Column) -> Column:
     return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
 
