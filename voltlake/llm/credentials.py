@@ -28,9 +28,11 @@ ASSIGN_LEAST = 6
 #: Weak kinds and their patterns.
 WEAK = {
     "weak_access": r"(?:ASIA|AROA|AIDA|AGPA|ANPA)[A-Z0-9]{12,}|(?i:client_?id|access_?key_?id|user_?name|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=@-]{3,}",
-    "weak_secret": r"(?i:pwd|pass_?phrase|(?:secret|private|access)_?key|credential|auth)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}|(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])",
+    "weak_secret": r"(?i:pwd|pass_?phrase|(?:secret|private|access)_?key|credential|auth)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}|(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=]))(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40}",
     "endpoint": r"https?://[^\s\"'<>]+|(?i:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,}(?::[0-9]{1,5})?|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])",
 }
+#: What a text must hold for a kind's pattern to match at all: plain searches that spare most texts the pattern.
+HOLDS = {"assign": (":", "="), "access": ("AKIA",), "weak_access": (":", "=", "ASIA", "AROA", "AIDA", "AGPA", "ANPA")}
 #: Characters between the starts of parts that belong together.
 SCOPE = 300
 KINDS = ("assign", "access", "hex", *WEAK)
@@ -55,7 +57,11 @@ def _spans(text: Column, kind: int, pattern: str, keep: Column | None = None) ->
         return F.struct((s + x["m"]).alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     found = F.aggregate(steps, empty, step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(_SPAN))
+    may = F.lit(False)
+    for part in HOLDS.get(KINDS[kind], ()):
+        may = may | F.contains(text, F.lit(part))
+    test = F.rlike(text, F.lit(pattern))
+    return F.when(may & test if KINDS[kind] in HOLDS else test, found).otherwise(F.array().cast(_SPAN))
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -128,7 +134,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["s"] >= acc["at"]
-        out = F.when(fresh | (acc["at"] == 0), F.concat(acc["out"], F.substring(old, (acc["at"] + 1).cast("int"), F.greatest(x["s"] - acc["at"], F.lit(0)).cast("int")), F.lit(mask))).otherwise(acc["out"])
+        out = F.when(fresh, F.concat(acc["out"], F.substring(old, (acc["at"] + 1).cast("int"), F.greatest(x["s"] - acc["at"], F.lit(0)).cast("int")), F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
 
     clean = F.aggregate("spans", empty, step, lambda acc: F.concat(acc["out"], F.substring(old, (acc["at"] + 1).cast("int"), F.length(old))))
