@@ -26,7 +26,8 @@ from voltlake.llm.tokens import encoder, slices
 
 SCHEMA = "doc_id long, part int, before_in_part long, n_tokens long, ids array<int>"
 _SHAPE = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("before_in_part", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
-OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "compression": "lz4"}
+#: No codec: run-length encoding packs ids into their 16 bits already, and a fast codec gains little on that.
+OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "compression": "none"}
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
