@@ -73,20 +73,30 @@ def greedy_matches(a: DataFrame, b: DataFrame, key: str, onset: str, tolerance:
     return a.select(key, F.col(onset).cast("double").alias(onset)).groupBy(key).cogroup(b.select(key, F.col(onset).cast("double").alias(onset)).groupBy(key)).applyInPandas(pairs, schema)
 
 
-def window_delays(reference: DataFrame, raw: DataFrame, key: str, width: int, starts: int = 30, limit: float = 0.05) -> DataFrame:
+#: Intervals of a window that is as long as the trains allow: at least, at most.
+SHORTEST, LONGEST = 5, 12
+
+
+def window_delays(reference: DataFrame, raw: DataFrame, key: str, width: int | None = None, starts: int = 31, limit: float = 0.05) -> DataFrame:
     """Delays from interval windows that fit: every reference window (of the first ``starts``) against every raw one, by RMSE.
 
-    reference and raw: key, onset, interval.  Candidates are at most starts squared a key.
+    reference and raw: key, onset, interval.  Candidates are at most starts squared a key.  Without a width it is the
+    shorter train's length, LONGEST at most; trains of fewer than SHORTEST intervals have no window.
     """
-    def windows(df: DataFrame, p: str) -> DataFrame:
-        w = Window.partitionBy(key).orderBy("onset")
-        ahead = w.rowsBetween(0, width - 1)
-        got = df.withColumns({"_v": F.collect_list("interval").over(ahead), "_i": F.row_number().over(w) - 1})
-        return got.where((F.size("_v") == width) & (F.col("_i") < starts)).select(key, F.col("_i").alias(f"{p}_start"), F.col("onset").alias(f"{p}_onset"), F.col("_v").alias(f"{p}_v"))
-
-    met = windows(reference, "ref").join(windows(raw, "raw").withColumnRenamed(key, "_key"), F.col(key) == F.col("_key")).drop("_key")
-    square = F.aggregate(F.zip_with("ref_v", "raw_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    return met.withColumn("rmse", F.sqrt(square / width)).where(F.col("rmse") <= limit).select(key, "ref_start", "raw_start", (F.col("raw_onset") - F.col("ref_onset")).alias("delay"), "rmse")
+    def heads(df: DataFrame, p: str) -> DataFrame:
+        i = F.row_number().over(Window.partitionBy(key).orderBy("onset", "interval"))
+        got = df.select(key, "onset", "interval", i.alias("_i")).where(F.col("_i") < starts + (width or LONGEST))
+        return got.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "onset", "interval"))).alias(p))
+
+    met = heads(reference, "_ref").join(heads(raw, "_raw"), key)
+    met = met.withColumn("_n", F.lit(width) if width else F.least(F.lit(LONGEST), F.size("_ref"), F.size("_raw"))).where(F.col("_n") >= (width or SHORTEST))
+    for p in ("ref", "raw"):
+        last = F.least(F.lit(starts - 1), F.size(f"_{p}") - F.col("_n"))
+        met = met.where(last >= 0).withColumn(f"{p}_start", F.explode(F.sequence(F.lit(0), last)))
+    window = lambda p: F.slice(f"_{p}", F.col(f"{p}_start") + 1, F.col("_n"))
+    onset = lambda p: F.get(f"_{p}", F.col(f"{p}_start"))["onset"]
+    square = F.aggregate(F.zip_with(window("ref"), window("raw"), lambda x, y: (x["interval"] - y["interval"]) * (x["interval"] - y["interval"])), F.lit(0.0), lambda s, v: s + v)
+    return met.withColumn("rmse", F.sqrt(square / F.col("_n"))).where(F.col("rmse") <= limit).select(key, "ref_start", "raw_start", (onset("raw") - onset("ref")).alias("delay"), "rmse")
 
 
 def constant_delay(delays: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from voltlake.operators import alignment, channels, encoding, series
 
 
-def dialogue_events(reference: DataFrame, raw: DataFrame, durations: DataFrame, key: str, width: int = 3, tolerance: float = 0.05, lead_in: float = 4.0, length: float = 240.0) -> DataFrame:
+def dialogue_events(reference: DataFrame, raw: DataFrame, durations: DataFrame, key: str, width: int | None = None, tolerance: float = 0.05, lead_in: float = 4.0, length: float = 240.0) -> DataFrame:
     """One conversation a key: starts lead_in after the trigger train's delay (not before 0), lasts length, within the file.
 
     reference and raw: key, onset; durations: key, duration.
@@ -23,7 +23,7 @@ def dialogue_events(reference: DataFrame, raw: DataFrame, durations: DataFrame,
     return out.withColumn("stop", F.least(F.col("onset") + length, F.col("duration"))).withColumn("length", F.greatest(F.col("stop") - F.col("onset"), F.lit(0.0))).select(key, "onset", F.col("length").alias("duration"), "delay", "hits", "rmse")
 
 
-def story_events(candidates: DataFrame, reference: DataFrame, durations: DataFrame, key: str, tolerance: float = 0.05, offset: float = 3.0, width: int = 3) -> DataFrame:
+def story_events(candidates: DataFrame, reference: DataFrame, durations: DataFrame, key: str, tolerance: float = 0.05, offset: float = 3.0, width: int | None = None) -> DataFrame:
     """Of several marker descriptions (key, description, onset) the one that fits the reference train best; the story starts offset after its delay."""
     kept = candidates.withColumn("_id", F.concat_ws("\u0001", F.col(key).cast("string"), "description"))
     ids = kept.select("_id", key, "description").distinct()

@@ -120,7 +120,7 @@ def naming_events(spark, d):
 
 @query()
 def dialogue_events(spark, d):
-    on = mark(spark, d).where("recording < 40").select("recording", F.col("sec").alias("onset"))
+    on = mark(spark, d).select("recording", F.col("sec").alias("onset"))
     low = on.groupBy("recording").agg(F.min("onset").alias("m"))
     ref = on.join(low, "recording").select("recording", (F.col("onset") - F.col("m")).alias("onset"))
     raw = ref.select("recording", (F.col("onset") + 12.86).alias("onset"))

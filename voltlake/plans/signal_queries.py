@@ -196,9 +196,9 @@ def _intervals(spark, d):
 
 @query()
 def window_match_delay(spark, d):
-    iv = _intervals(spark, d).where("recording < 40")
+    iv = _intervals(spark, d)
     raw = iv.withColumn("onset", F.col("onset") + 12.86)
-    return rounded(A.window_delays(iv, raw, "recording", 3, 10), "delay", "rmse", digits=3)
+    return rounded(A.window_delays(iv, raw, "recording"), "delay", "rmse", digits=3)
 
 
 @query()
@@ -208,9 +208,9 @@ def constant_delay(spark, d):
 
 @query()
 def best_delay(spark, d):
-    iv = _intervals(spark, d).where("recording < 40")
+    iv = _intervals(spark, d)
     raw = iv.withColumn("onset", F.col("onset") + 12.86)
-    return rounded(A.best_delay(A.window_delays(iv, raw, "recording", 3, 10), iv, raw, "recording", 0.05), "delay", "rmse", digits=3)
+    return rounded(A.best_delay(A.window_delays(iv, raw, "recording"), iv, raw, "recording", 0.05), "delay", "rmse", digits=3)
 
 
 @query()
