@@ -58,3 +58,27 @@ def test_delay_queries_take_every_recording(spark, events):
     for name, column in (("constant_delay", "robust_mean"), ("best_delay", "delay")):
         assert {r.recording: r[column] for r in QUERIES[name](spark, d).collect()} == dict.fromkeys(trains, pytest.approx(12.86))
     assert {r.recording: (r.onset, r.hits) for r in QUERIES["dialogue_events"](spark, d).collect()} == {u: (pytest.approx(16.86), len(on) - 1) for u, on in trains.items()}
+
+
+def test_trains_without_a_close_window(spark):
+    """Missing and extra triggers, jitter and few intervals: each still gets its row, as the reference's fallbacks give it."""
+    from voltlake.operators import composites
+
+    exact = train(7, 60)
+    jitter = np.where(np.arange(60) % 2, 0.08, -0.08)
+    holes = np.delete(exact, np.arange(4, 60, 5))  # every window of 12 has holes
+    extra = np.sort(np.concatenate([exact, exact[2::4] + 0.7]))
+    raws = {1: exact + 5.0, 2: exact + jitter / 2 + 5.0, 3: holes + 5.0, 4: extra + 5.0, 5: exact[:4] + 5.0, 6: exact[:2] + 5.0}
+    refs = {k: exact for k in raws} | {5: exact[:4], 6: exact[:2]}
+    best = {k: min((r for _, r in brute_windows(refs[k], raws[k], 1e9).values()), default=None) for k in raws}
+    assert 0.05 < best[2] <= 0.25 < min(best[3], best[4]) and best[5] is None  # window, 5 x window, onsets, onsets, too few
+    dur = spark.createDataFrame([(k, 400.0) for k in raws], "k long, duration double")
+    got = {r.k: r for r in composites.dialogue_events(onsets(spark, refs), onsets(spark, raws), dur, "k").collect()}
+    assert set(got) == set(raws)
+    for k in (1, 3, 4, 5, 6):
+        assert got[k].delay == pytest.approx(5.0, abs=1e-6)
+    assert got[2].delay == pytest.approx(5.0, abs=0.2) and got[2].rmse == pytest.approx(best[2])
+    assert [k for k in raws if got[k].rmse is None] == [3, 4, 5, 6]
+    cand = onsets(spark, raws).selectExpr("k", "'S 1' as description", "onset")
+    told = {r.k: r for r in composites.story_events(cand, onsets(spark, refs), dur, "k").collect()}
+    assert set(told) == {1, 2} and told[2].rmse == pytest.approx(best[2])  # no onset pairs in the story task's rule

@@ -75,6 +75,8 @@ def greedy_matches(a: DataFrame, b: DataFrame, key: str, onset: str, tolerance:
 
 #: Intervals of a window that is as long as the trains allow: at least, at most.
 SHORTEST, LONGEST = 5, 12
+#: Where no window is within the tolerance the best one may have so many times it.
+WIDE = 5.0
 
 
 def window_delays(reference: DataFrame, raw: DataFrame, key: str, width: int | None = None, starts: int = 31, limit: float = 0.05) -> DataFrame:
@@ -99,20 +101,37 @@ def window_delays(reference: DataFrame, raw: DataFrame, key: str, width: int | N
     return met.withColumn("rmse", F.sqrt(square / F.col("_n"))).where(F.col("rmse") <= limit).select(key, "ref_start", "raw_start", (onset("raw") - onset("ref")).alias("delay"), "rmse")
 
 
+def nearest_windows(reference: DataFrame, raw: DataFrame, key: str, width: int | None, tolerance: float) -> DataFrame:
+    """The windows within the tolerance; for a key that has none its best one (of equal ones the first), within WIDE times it."""
+    place = F.struct("rmse", "ref_start", "raw_start")
+    wide = window_delays(reference, raw, key, width, limit=WIDE * tolerance).withColumn("_best", F.min(place).over(Window.partitionBy(key)))
+    return wide.where((F.col("rmse") <= tolerance) | (F.col("_best.rmse") > tolerance) & (F.col("_best") == place)).drop("_best")
+
+
+def onset_delays(reference: DataFrame, raw: DataFrame, key: str, starts: int = 31) -> DataFrame:
+    """Delays from every pair of the first ``starts`` onsets, as window_delays has them; rmse is null."""
+    def heads(df: DataFrame, p: str) -> DataFrame:
+        i = F.row_number().over(Window.partitionBy(key).orderBy("onset")) - 1
+        return df.select(key, i.alias(f"{p}_start"), F.col("onset").alias(f"_{p}")).where(F.col(f"{p}_start") < starts)
+
+    met = heads(reference, "ref").join(heads(raw, "raw"), key)
+    return met.select(key, "ref_start", "raw_start", (F.col("_raw") - F.col("_ref")).alias("delay"), F.lit(None).cast("double").alias("rmse"))
+
+
 def constant_delay(delays: DataFrame, key: str) -> DataFrame:
     return series.robust_mean(delays, [key], "delay")
 
 
 def best_delay(candidates: DataFrame, reference: DataFrame, raw: DataFrame, key: str, tolerance: float) -> DataFrame:
-    """Of candidate delays (key, delay, rmse) the one of most one-to-one onset hits, then of least rmse."""
+    """Of candidate delays (as of window_delays or onset_delays) the one of most one-to-one onset hits, then of least rmse, then the first."""
     def score(cand: pd.DataFrame, both: pd.DataFrame) -> pd.DataFrame:
         x, y = (np.sort(both.loc[both["side"] == s, "onset"].to_numpy()) for s in (0, 1))
-        rows = [(len(matched(x + c.delay, y, tolerance)), -c.rmse, c.delay) for c in cand.itertuples()]
+        rows = [(len(matched(x + c.delay, y, tolerance)), 0.0 if pd.isna(c.rmse) else -c.rmse, -c.ref_start, -c.raw_start, c.delay, None if pd.isna(c.rmse) else c.rmse) for c in cand.itertuples()]
         if not rows:
             return pd.DataFrame(columns=[key, "delay", "hits", "rmse"])
-        hits, rmse, delay = max(rows)
+        hits, _, _, _, delay, rmse = max(rows, key=lambda r: r[:4])
         fine = [y[j] - x[i] for i, j in matched(x + delay, y, tolerance)]
-        return pd.DataFrame({key: [cand[key].iloc[0]], "delay": [float(np.median(fine)) if fine else delay], "hits": [hits], "rmse": [-rmse]})
+        return pd.DataFrame({key: [cand[key].iloc[0]], "delay": [float(np.median(fine)) if fine else delay], "hits": [hits], "rmse": pd.Series([rmse], dtype=float)})
 
     both = reference.select(key, F.col("onset").cast("double").alias("onset"), F.lit(0).alias("side")).unionByName(raw.select(key, F.col("onset").cast("double").alias("onset"), F.lit(1).alias("side")))
     both = both.select(F.col(key).alias("_key"), "onset", "side")

@@ -8,16 +8,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltlake.operators import alignment, channels, encoding, series
+from voltlake.operators import alignment, channels, encoding, selection, series
 
 
 def dialogue_events(reference: DataFrame, raw: DataFrame, durations: DataFrame, key: str, width: int | None = None, tolerance: float = 0.05, lead_in: float = 4.0, length: float = 240.0) -> DataFrame:
     """One conversation a key: starts lead_in after the trigger train's delay (not before 0), lasts length, within the file.
 
-    reference and raw: key, onset; durations: key, duration.
+    reference and raw: key, onset; durations: key, duration.  Trains that no interval window aligns (missing or extra
+    triggers, few intervals) are aligned by onset pairs; their rmse is null.
     """
     ref, own = (series.intervals(d, [key], "onset") for d in (reference, raw))
-    best = alignment.best_delay(alignment.window_delays(ref, own, key, width, limit=tolerance), ref, own, key, tolerance)
+    found = selection.with_fallback(alignment.nearest_windows(ref, own, key, width, tolerance), alignment.onset_delays(ref, own, key), [key])
+    best = alignment.best_delay(found, ref, own, key, tolerance)
     start = F.greatest(F.col("delay") + lead_in, F.lit(0.0))
     out = best.join(durations, key).withColumn("onset", start)
     return out.withColumn("stop", F.least(F.col("onset") + length, F.col("duration"))).withColumn("length", F.greatest(F.col("stop") - F.col("onset"), F.lit(0.0))).select(key, "onset", F.col("length").alias("duration"), "delay", "hits", "rmse")
@@ -31,7 +33,7 @@ def story_events(candidates: DataFrame, reference: DataFrame, durations: DataFra
     raw = kept.select("_id", "onset")
     a, b = (series.intervals(d, ["_id"], "onset") for d in (ref, raw))
     n = raw.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
-    best = alignment.best_delay(alignment.window_delays(a, b, "_id", width, limit=tolerance), a, b, "_id", tolerance).join(ids, "_id").join(n, "_id")
+    best = alignment.best_delay(alignment.nearest_windows(a, b, "_id", width, tolerance), a, b, "_id", tolerance).join(ids, "_id").join(n, "_id")
     top = best.groupBy(key).agg(F.max_by(F.struct("description", "delay", "hits", "rmse"), F.struct("hits", -F.col("rmse"), "n")).alias("b")).select(key, "b.*")
     out = top.join(durations, key).withColumn("onset", F.greatest(F.col("delay") + offset, F.lit(0.0)))
     return out.select(key, "description", "hits", "rmse", "onset", F.greatest(F.col("duration") - F.col("onset"), F.lit(0.0)).alias("duration"))
