@@ -89,3 +89,21 @@ def test_awkward_vectors(spark):
     few = vamana.nearest(df.where("vec_id >= 100"), F.col("vec_id") == 100, 20).collect()
     assert sorted((r.rank, r.vec_id) for r in few) == [(1, 120), (2, 140), (3, 140)]
     assert vamana.nearest(df.limit(0), F.col("vec_id") % 20 == 0, 20).collect() == []
+
+
+ORDINARY = [
+    'title="hidden gem"', "title='the hidden id=search'", "title=hidden", 'data-id="menu-2"', 'data-class="ad"', "data-hidden", 'aria-hidden="false"', 'xml:id="search"', 'x-role="banner"', "hiddens", 'lang=en alt="a class=advert"',
+    'title="a > b, style=display:none"', '"hidden"', 'title = "role=search"', 'title="it\'s hidden"', 'valid="ad"',
+]
+LEFT_OUT = ["hidden", "HIDDEN", 'hidden=""', 'title="x" hidden', 'title="x"hidden', "lang=en/ hidden", '/hidden', 'id = "search-box"', "class=ad", "class='x\nad'", "role=search", 'title="a=b" role="SEARCH"', 'style="display: none"', "aria-hidden=true", 'title="" class="ad"', 'title= class=x class="ad"']
+
+
+@pytest.mark.parametrize("attributes", ORDINARY)
+def test_names_inside_names_and_values_are_no_attributes(attributes):
+    assert text(f"<article><p>{STORY}</p><p {attributes}>The lake. {STORY}</p></article>").count("\n") == 1
+    assert "lake" in text(f'<article><p>{STORY}<a href="/hidden-lake?id=search&class=ad">the lake</a> {STORY}</p></article>')
+
+
+@pytest.mark.parametrize("attributes", LEFT_OUT)
+def test_marked_elements_are_left_out(attributes):
+    assert "lake" not in text(f"<article><p>{STORY}</p><p {attributes}>The lake. {STORY}</p></article>")
