@@ -11,7 +11,7 @@ from voltlake.operators import encoding as E
 from voltlake.operators import filters as D
 from voltlake.operators import series as X
 from voltlake.operators import spectral as P
-from voltlake.plans.testbed import mark, query, sig1, sign, table
+from voltlake.plans.testbed import coded, mark, query, sig1, sign, table
 
 DP = "(PARTITION BY recording ORDER BY t)"
 
@@ -384,9 +384,8 @@ def best_alpha(spark, d):
 
 @query()
 def encoding_cross_validation(spark, d):
-    """Simulated recovery: folds by time block, one Gram pass, scores for each penalty."""
-    s = E.simulated(spark, 4, 2000, [0.0, 0.5, 1.0, 0.5])
-    rows = E.lagged(s, [0, 1, 2, 3, 4]).withColumn("y", F.array("y")).withColumn("fold", F.col("recording"))
+    """Values from the codes of the last events: folds by recording, one Gram pass, scores for each penalty."""
+    rows = E.lagged(coded(spark, d), [0, 1, 2, 3, 4]).withColumn("y", F.array("y")).withColumn("fold", F.col("recording") % 4)
     return E.cross_validate(rows.select("fold", "lagged", "y"), [0.01, 1.0, 100.0]).select("fold", "alpha", F.round("score", 4).alias("score"))
 
 

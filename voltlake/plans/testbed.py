@@ -83,6 +83,13 @@ def mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("recording"), (F.row_number().over(w) - 1).cast("long").alias("t"), "event_id", code_of().alias("code"), F.col("event_type").alias("kind"), sec.alias("sec"))
 
 
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recording, t, x, y: each event's code (x, the stimulus) and value (y, the response)."""
+    e = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return e.select(F.col("user_id").alias("recording"), (F.row_number().over(w) - 1).cast("long").alias("t"), code_of().cast("double").alias("x"), F.col("value").alias("y"))
+
+
 def pub(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     rid = F.concat_ws("|", "c_mktsegment", "o_custkey", "o_orderkey")
