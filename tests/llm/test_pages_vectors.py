@@ -107,3 +107,19 @@ def test_names_inside_names_and_values_are_no_attributes(attributes):
 @pytest.mark.parametrize("attributes", LEFT_OUT)
 def test_marked_elements_are_left_out(attributes):
     assert "lake" not in text(f"<article><p>{STORY}</p><p {attributes}>The lake. {STORY}</p></article>")
+
+
+def test_large_shard_of_tight_clusters():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 64))[rng.integers(0, 40, 10000)] + 0.1 * rng.normal(size=(10000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    graph, q = vamana.Graph(x), x[:200]
+    want = np.argsort(-(q @ x.T), axis=1)[:, :20]
+
+    def recall(beam, entries):
+        got, _ = graph.search(np.concatenate([q, np.zeros((200, 1), np.float32)], axis=1), beam, entries)
+        return np.mean([len(set(a) & set(b)) / 20 for a, b in zip(got[:, :20].tolist(), want.tolist(), strict=True)])
+
+    before, now = recall(vamana.SEARCH_BEAM, graph.entries), recall(graph.beam, graph.starts)
+    print("recall", before, now)
+    assert before < 0.95 <= now

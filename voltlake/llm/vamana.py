@@ -29,6 +29,8 @@ from voltlake.llm.common import written
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, STEP = 32, 64, 112, 1.2, 4
 #: Least number of shards, vectors a shard holds on average at most, points inserted and queries searched together, entry points.
 SHARDS, SHARD_ROWS, BATCH, ENTRIES = 8, 50_000, 512, 8
+#: Vectors from which a shard counts as large, and its beam, which is also its number of entry points while searching.
+LARGE, LARGE_BEAM = 4096, 512
 
 
 class Graph:
@@ -46,6 +48,7 @@ class Graph:
         first = int(np.argmin(self.sq - 2 * (self.x @ middle)))
         order = np.concatenate([[first], order[order != first]])
         self.entries = order[: n if n <= SEARCH_BEAM else ENTRIES]
+        self.beam, self.starts = (LARGE_BEAM, order[:LARGE_BEAM]) if n >= LARGE else (SEARCH_BEAM, self.entries)
         done = 1
         while done < n:  # a batch is no larger than what the graph holds already
             batch = order[done : done + min(BATCH, done)]
@@ -147,7 +150,7 @@ def _shard_search(k: int):
         out: tuple[list, list, list, list] = ([], [], [], [])
         wide = np.concatenate([q, np.zeros((len(q), 1), np.float32)], axis=1)
         for a in range(0, len(q), BATCH):
-            found, _ = graph.search(wide[a : a + BATCH], max(SEARCH_BEAM, k + 1), graph.entries)
+            found, _ = graph.search(wide[a : a + BATCH], max(graph.beam, k + 1), graph.starts)
             score = np.einsum("bkd,bd->bk", x[np.maximum(found, 0)].astype(np.float64), q[a : a + BATCH].astype(np.float64))
             for r, row in enumerate(found):
                 own, best = qids[a + r], []
