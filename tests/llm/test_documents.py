@@ -1,7 +1,9 @@
 """Every operator on documents against brute force, on the awkward table, with clashing columns and empty."""
 
 import hashlib
+import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +14,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from tests.llm.data import rows, table
-from voltlake.llm import credentials, licences, mixing, packing, quality, simhash, suffix_dedup, token_files
+from voltlake.llm import credentials, licences, mixing, packing, quality, simhash, suffix_dedup, token_files, tokens
 from voltlake.llm.common import shared_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -326,8 +328,7 @@ def test_near_dedup(spark, clash):
 
 
 def ids_of(name, texts, end):
-    t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(P.path(name))  # as it comes: an added token's string in a text is that token
     return [np.array([*e.ids, end], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -365,6 +366,31 @@ def test_token_files(spark, clash):
     assert [r.ids for r in one.collect()][0] == ids[10].tolist()
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_give_the_library_s_ids(name, monkeypatch):
+    """Random texts of marks, letters that grow when lowered, added tokens' strings and all scripts, remembered or forgotten."""
+    rng = random.Random(4)
+    pool = list("abcXYZ019,. \n.,'_-|<>#") + ["İ", "İ,", "ß", "e\u0301", "\u0307", "\u0338", "ﬁ", "Ǆ", "日本", "कि", "क़.", "אָ", "²", "Ⅷ", "Σ", "ͅ", "\U0001F600", "'s", "'T", " the", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|endof", "text|>"]
+    letters = [chr(c) for c in range(160, 0x30000) if unicodedata.category(chr(c))[0] in "LMN"]
+    texts = ["".join(rng.choice(pool if rng.random() < 0.75 else letters) for _ in range(rng.randint(1, 30))) for _ in range(12_000)] + ["end <|endoftext|> next", "İ,", "İ.x"]
+    monkeypatch.setattr(tokens, "REMEMBERED_CHARS", 20_000)
+    enc, want = tokens.PieceEncoder(P.path(name)), Tokenizer.from_file(P.path(name)).encode_batch(texts, add_special_tokens=False)
+    for a in range(0, len(texts), 600):
+        ids, counts = enc.encode(texts[a : a + 600])
+        assert np.split(ids, np.cumsum(counts)[:-1]) and [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [w.ids for w in want[a : a + 600]]
+
+
+def test_buckets_hold_one_length_each(spark):
+    docs, path = table(spark), shared_path(spark, "buckets")
+    pieces = packing.pack_documents(docs, P.path("word_bpe_49k.json"), with_ids=True)
+    packing.write_buckets(pieces, path)
+    back = spark.read.parquet(path)
+    assert as_set(back, "doc_id", "start", "length") == as_set(pieces, "doc_id", "start", "length")
+    assert all(1 << r.bucket == r.length == r.n for r in back.selectExpr("bucket", "length", "size(ids) AS n").distinct().collect())
+    one = packing.read_bucket(spark, path, 32)
+    assert {r.length for r in one.collect()} == {32}
+
+
 # ---- all on an empty table
 
 

@@ -6,8 +6,8 @@ crosses documents, and nothing is padded.  Rows stay where they are; there is no
 
 A sequence's id holds its bucket, its task and its place there, so ids differ and need no counting over all rows.
 
-Defined results: a null or empty text is its end id alone (one piece of length 1); repeated rows are packed each;
-an empty table gives an empty result; other columns are not read.
+Defined results: a null or empty text is its end id alone (one piece of length 1); a very long text is encoded by
+itself, as a whole, and cut into as many pieces as it needs; repeated rows are packed each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.llm.common import give_back, text_of
@@ -73,3 +73,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, max_length:
 def write_buckets(pieces: DataFrame, path: str) -> None:
     """Pieces as Parquet, a folder a bucket: a reader of one folder gets sequences of one length."""
     pieces.write.partitionBy("bucket").parquet(path)
+
+
+def read_bucket(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """The sequences of one length: one folder is read, the others are pruned."""
+    return spark.read.parquet(path).where(F.col("bucket") == length.bit_length() - 1)

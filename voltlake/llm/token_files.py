@@ -5,7 +5,7 @@ stripes can be read in parallel, row indexes and Bloom filters on doc_id let a r
 Each row also keeps the range it lies in and the ids before it there, so that a document's place among all ids
 needs only one sum a range, read from those three narrow columns.
 
-Defined results: a null or empty text is its end id alone; null doc_ids come first; rows that share a doc_id are
+Defined results: a null or empty text is its end id alone; a very long text is one row and is encoded by itself; null doc_ids come first; rows that share a doc_id are
 ordered by their text's hash (repeated rows: any order, as they can't be told apart), and many of them are dealt
 over several ranges; an empty table gives an empty result; other columns are not read.
 """

@@ -3,7 +3,10 @@
 Both vocabularies split a text before they merge.  No split part reaches from a non-space character over a following
 space, nor from a letter or digit over a following comma or full stop.  A text whose only white space is space and
 newline can so be cut before each run of white space, and before a comma or full stop behind a letter or digit, and
-its pieces encoded on their own, with the same ids; any other text is encoded as a whole.
+its pieces encoded on their own, with the same ids; any other text is encoded as a whole.  So is a text that holds the
+string of one of the vocabulary's added tokens (the library reads it as that token), and one with a letter or digit
+whose normalised form ends in neither (a mark that would join the stop behind it); these characters are found by asking
+the vocabulary's own normaliser.
 
 New pieces are encoded many at a time, joined by a newline and a control character that no piece holds: its id tells
 where a piece ends.
@@ -13,17 +16,18 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
-#: Different pieces that a worker remembers, characters of text that it cuts at a time, pieces encoded as one text.
-REMEMBERED, SLICE, JOINED = 1_200_000, 1 << 20, 64
+#: Different pieces and their characters that a worker remembers, characters of text that it cuts at a time, pieces encoded as one text.
+REMEMBERED, REMEMBERED_CHARS, SLICE, JOINED = 1_200_000, 12_000_000, 1 << 20, 64
 _PIECE, _PLAIN_PIECE = re.compile(r"[ \n]*[^ \n,.]+|[,.][^ \n]*|[ \n]+"), re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space of other kinds, or the mark; a comma or full stop that is not behind a letter or digit.
-_WHOLE = re.compile("[\x01\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WHOLE = "[\x01\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _ODD_STOP = re.compile(r"[,.](?<![^\W_].)")
 _MARK = "\x01"
 
@@ -48,17 +52,29 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        odd = [_WHOLE, *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()), *map(re.escape, self._not_ending_as_letters())]
+        self.whole = re.compile("|".join(odd), re.I)
         # where the vocabulary lowers letters anyway, pieces that differ in A-Z only are one
         self.lowers = [e.ids for e in self.tokenizer.encode_batch_fast(["AZ", "az"], add_special_tokens=False)]
         self.lowers = self.lowers[0] == self.lowers[1]
         self._forget()
 
+    def _not_ending_as_letters(self) -> list[str]:
+        """Letters and digits whose normalised form doesn't end in a letter or digit."""
+        normaliser = self.tokenizer.normalizer
+        if normaliser is None:
+            return []
+        letters = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum()]
+        alone = normaliser.normalize_str("|".join(letters)).split("|")  # one call for all, where bars stay as they are
+        if len(alone) != len(letters):
+            alone = map(normaliser.normalize_str, letters)
+        return [c for c, n in zip(letters, alone, strict=True) if not n[-1:].isalnum()]
+
     def _prepared(self, texts: list[str]) -> list[str]:
         return [t.encode().lower().decode() for t in texts] if self.lowers else texts
 
     def _forget(self) -> None:
-        self.known = _Numbered()
+        self.known, self.chars = _Numbered(), 0
         self.ids, self.filled = np.zeros(1 << 16, np.uint32), 0
         self.start, self.lens, self.uses = (np.zeros(1 << 16, np.int32) for _ in range(3))
 
@@ -66,11 +82,12 @@ class PieceEncoder:
         """Forgets the pieces that were met once since the last time (all, if most were met again)."""
         n = len(self.known)
         keep = np.nonzero(self.uses[:n] > 1)[0]
-        keep = keep if len(keep) <= REMEMBERED // 2 else keep[:0]
         names = list(self.known)
+        keep = keep if len(keep) <= REMEMBERED // 2 and sum(len(names[k]) for k in keep) <= REMEMBERED_CHARS // 2 else keep[:0]
         kept, start, lens, ids, uses = [names[k] for k in keep], self.start[keep], self.lens[keep], self.ids, self.uses[keep]
         self._forget()
         self.known.update(zip(kept, range(len(kept)), strict=True))
+        self.chars = sum(map(len, kept))
         self._room(len(kept))
         at, self.filled = np.cumsum(lens, dtype=np.int32) - lens, int(lens.sum())
         self.ids = ids[np.repeat(start - at, lens) + np.arange(self.filled, dtype=np.int32)]
@@ -100,6 +117,7 @@ class PieceEncoder:
     def _learn(self, pieces: list[str]) -> None:
         """pieces: those that were numbered last."""
         first = len(self.known) - len(pieces)
+        self.chars += sum(map(len, pieces))
         plain = np.fromiter((p.lstrip(" \n")[:1].isalnum() for p in pieces), bool, len(pieces))
         got = self._encoded([pieces[k] for k in np.nonzero(~plain)[0]])
         ids, own = self._each([pieces[k] for k in np.nonzero(plain)[0]]) if plain.any() else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
@@ -116,7 +134,7 @@ class PieceEncoder:
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces end to end, and the number of ids of each piece."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._thin()
         which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         if self.known.new:
@@ -130,7 +148,7 @@ class PieceEncoder:
         return self.ids[at], lens
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [None if _WHOLE.search(t) else (_PLAIN_PIECE if _ODD_STOP.search(t) else _PIECE).findall(t) for t in self._prepared(texts)]
+        cut = [None if self.whole.search(t) else (_PLAIN_PIECE if _ODD_STOP.search(t) else _PIECE).findall(t) for t in self._prepared(texts)]
         flat, lens = self._pieces(list(chain.from_iterable(c for c in cut if c is not None)))
         held = np.array([0 if c is None else len(c) for c in cut], np.int64)
         ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum(held)]
