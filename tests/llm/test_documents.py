@@ -76,6 +76,33 @@ def test_mix_repeated_rows_share(spark):
         assert abs(r["sum(taken)"] - r["max(target)"]) <= 300
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_mix_takes_whole_copies_in_hash_order(spark, broadcast, monkeypatch):
+    """taken is size times copies; equal rows at the threshold are split, so both stay within a row of the target; the rest goes by unsigned hash."""
+    from voltlake.llm import common
+
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(common, "HOT_ROWS", 50)
+    data = [(1, "a b c d e f g h i j", "en", "s", 1)] * 300 + [(k, "a b c" + " x" * (k % 7), "en", "t", 1) for k in range(2, 500)] + [(900 + k, "z " * k, "en", "u", 1) for k in range(80)]
+    docs = table(spark, data)
+    out = mixing.mix_sources(docs).collect()
+    assert all(r.taken == r.copies * r["size"] for r in out)
+    taken, most, target = Counter(), Counter(), {}
+    for r in out:
+        taken[r.source] += r.taken
+        most[r.source], target[r.source] = max(most[r.source], r["size"]), r.target
+    assert all(abs(taken[s] - target[s]) <= most[s] / 2 + 1 for s in target)
+    mixed = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        mixed[r.source] += len(r.text.split())
+    assert mixed == Counter({s: n for s, n in taken.items() if n})
+    hashes = {r.doc_id: r.h % (1 << 64) for r in mixing.sized(docs).where("source <> 's'").select("doc_id", "h").collect()}
+    for s in "tu":
+        copies = [c for _, c in sorted((hashes[r.doc_id], r.copies) for r in out if r.source == s)]
+        assert copies == sorted(copies, reverse=True)
+
+
 @pytest.mark.parametrize("clash", CLASHES)
 def test_mixed_documents(spark, clash):
     docs = table(spark, clash=clash)
@@ -413,5 +440,30 @@ def test_lookup_join_beyond_the_broadcast(spark, monkeypatch):
     right = spark.createDataFrame([(0, "a"), (1, "b"), (None, "n")], "rk long, name string")
     want = as_set(common.lookup_join(left, right, "k", "rk"), "k", "v", "name")
     monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
-    got = common.lookup_join(left, right, "k", "rk")
-    assert as_set(got, "k", "v", "name") == want and got.columns == ["k", "v", "name"]
+    for hot in (1000, 20):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        got = common.lookup_join(left, right, "k", "rk")
+        assert as_set(got, "k", "v", "name") == want and got.columns == ["k", "v", "name"]
+
+
+def test_small_counts_whole_rows(spark, monkeypatch):
+    from voltlake.llm import common
+
+    wide = spark.createDataFrame([(1, "x" * 500, [("y" * 300, 2)]), (2, None, None)], "k long, t string, a array<struct<s:string,n:int>>")
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 700)
+    assert not common.small(wide) and common.small(wide.select("k", "t"))
+
+
+def test_the_shared_folder_is_the_cluster_s(spark, monkeypatch):
+    from voltlake.llm import common
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_root(Cluster)
+    assert common.shared_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")

@@ -11,38 +11,39 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side of a join counts as small enough to broadcast (checked by a count first).
-BROADCAST_ROWS = 1_000_000
-#: Bytes of key text up to which the same holds.
-BROADCAST_BYTES = 32 << 20
-#: Copies of a lookup table that share the rows of one hot key where it is too large to broadcast.
-SALTS = 16
-#: Texts in an Arrow batch: they may be long, and a worker holds a batch several times over.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows, and bytes of whole rows, up to which a side of a join counts as small enough to broadcast (one aggregate checks both first).
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 4 << 20
+#: Rows from which a key counts as hot, hot keys looked at (the largest; any other has a smaller share), and copies of a lookup row that share a hot key's rows.
+HOT_ROWS, HOT_KEYS, SALTS = 20_000, 1000, 16
+#: Bytes of an Arrow batch: texts may be long, and a worker holds a batch several times over.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _written: dict[str, object] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (where unset, as in tests) a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir.  Where it is unset, a folder of this machine in local mode, an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"{tempfile.gettempdir()}/voltlake-shared"
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; it is removed when the driver's Python ends."""
+    """A new path below the shared folder; it is removed by ``clear``, at the latest when the driver's Python ends."""
     path = f"{shared_root(spark)}/voltlake-{name}-{uuid.uuid4().hex}"
     _written[path] = spark
     return path
 
 
 @atexit.register
-def _clean() -> None:
+def clear() -> None:
+    """Removes all tables written so far: for a driver that lives on, once the results that read them are done with."""
     for path, spark in list(_written.items()):
         with contextlib.suppress(Exception):
             drop_path(spark, path)
@@ -70,11 +71,17 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
+def drop_written(df: DataFrame) -> None:
+    """Removes the files of a table from ``written`` that nothing will read again."""
+    for path in [p for p in _written if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in df.inputFiles()[:1])]:
+        drop_path(df.sparkSession, path)
+
+
 def text_of(df: DataFrame, name: str = "text") -> Column:
-    """The text, null as empty.  Python workers get BATCH_ROWS of them at a time, unless the session asks for fewer."""
+    """The text, null as empty.  Where the session sets no bound for the bytes of an Arrow batch, BATCH_BYTES is set: it changes no result."""
     conf = df.sparkSession.conf
-    if int(conf.get(_BATCH, "10000")) > BATCH_ROWS:
-        conf.set(_BATCH, str(BATCH_ROWS))
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
@@ -85,25 +92,51 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def small(df: DataFrame, key: str) -> bool:
-    """Whether df's row count and key text are within the bounds for a broadcast (one aggregate; nothing else moves)."""
-    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.col(key).cast("string"))), F.lit(0))).first()
-    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """About how much a value takes: its own bytes for strings, all elements of arrays, 8 for a number."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, T.StringType | T.BinaryType | T.ArrayType | T.StructType | T.MapType):
+            return F.aggregate(F.coalesce(c, F.array().cast(kind)), F.lit(8), lambda n, x: n + _bytes(x, inner).cast("int"))
+        return 8 * F.greatest(F.size(c), F.lit(0)) + 8
+    if isinstance(kind, T.MapType):
+        return F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) + 8
+    return F.lit(8)
+
+
+def small(df: DataFrame) -> bool:
+    """Whether df's rows and their bytes, all columns counted, are within the bounds for a broadcast (one aggregate; nothing else moves)."""
+    size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and total <= BROADCAST_BYTES
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, key: str, table_key: str) -> DataFrame:
-    """Left join of rows with a table that has one row a key; null keys match null.
+def lookup_join(rows: DataFrame, table: DataFrame, key: str, table_key: str, how: str = "left") -> DataFrame:
+    """Join of rows with a table that has one row a key at most; null keys match null.
 
-    The table is broadcast where its checked size allows it.  Beyond that each key's rows are dealt over SALTS
-    copies of its table row, so that a key with a third of all rows doesn't land in one task.
+    The table is broadcast where its checked size allows it.  Beyond that both are shuffled by key, and the rows of hot
+    keys are dealt over SALTS copies of their table row by the partition they come from (equal rows too), so that a key
+    with a third of all rows doesn't land in one task.
     """
-    if small(table, table_key):
-        return rows.join(F.broadcast(table), rows[key].eqNullSafe(table[table_key]), "left").drop(table[table_key])
-    salt, other = free_name(rows.columns + table.columns, "salt"), free_name(rows.columns + table.columns, "salt_of")
-    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.lit(SALTS)))
-    copies = table.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(other, F.col(other).cast("long"))
+    met = rows[key].eqNullSafe(table[table_key])
+    if small(table):
+        return rows.join(F.broadcast(table), met, how).drop(table[table_key])
+    taken = rows.columns + table.columns
+    hot_key, salt, other = free_name(taken, "hot_key"), free_name(taken, "salt"), free_name(taken, "salt_of")
+    n = rows.groupBy(F.col(key).alias(hot_key)).agg(F.count(F.lit(1)).alias(salt)).where(F.col(salt) > HOT_ROWS)
+    hot = written(n.orderBy(F.desc(salt)).limit(HOT_KEYS).select(hot_key, F.lit(True).alias(salt)), "hot")
+    if hot.isEmpty():
+        return rows.join(table, met, how).drop(table[table_key])
+    dealt = rows.join(F.broadcast(hot), rows[key].eqNullSafe(hot[hot_key]), "left").drop(hot_key)  # HOT_KEYS rows at most
+    dealt = dealt.withColumn(salt, F.when(F.col(salt), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0))
+    copies = table.join(F.broadcast(hot.withColumnRenamed(salt, other)), table[table_key].eqNullSafe(F.col(hot_key)), "left").drop(hot_key)
+    copies = copies.withColumn(other, F.explode(F.when(F.col(other), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     on = dealt[key].eqNullSafe(copies[table_key]) & (F.col(salt) == F.col(other))
-    return dealt.join(copies, on, "left").drop(copies[table_key]).drop(salt, other)
+    return dealt.join(copies, on, how).drop(copies[table_key]).drop(salt, other)
 
 
 def with_index(df: DataFrame, *order: str) -> DataFrame:
