@@ -186,6 +186,21 @@ def test_redact(spark, clash):
     assert all(r.n_chars == len(r.text) for r in out.collect() if r.text is not None and r.doc_id is not None)
 
 
+def test_secrets_of_a_very_long_text(spark):
+    """Tens of thousands of spans in one text, over many chunks, and long texts between spans."""
+    import time
+
+    text = "".join(f"password: hunter{k:05d}{' é' * (k % 3)}\n" for k in range(20_000)) + "x é " * 3000 + "token=abcdef" + "y" * 2048 + "\U0001F600 api_key=abcdefg"
+    docs, at = table(spark, [(1, text, "en", "s", len(text)), (2, text, "en", "s", len(text)), (3, "x" * 1024, "en", "s", 1024)]), time.time()
+    got = {r.doc_id: r for r in credentials.secret_report(docs).collect()}
+    assert got[1].n_assign == 20_002 and got[1].spans == got[2].spans == told(brute_base(text)) and got[3].spans == ""
+    new = {r.doc_id: r.text for r in credentials.redact(docs).collect()}
+    edges = [0, *(x for s, e, _ in sorted(brute_base(text)) for x in (s, e)), len(text)]
+    want = "[SECRET]".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+    assert new[1] == new[2] == want and new[3] == "x" * 1024
+    assert time.time() - at < 120
+
+
 # ---- 4
 
 
