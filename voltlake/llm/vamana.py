@@ -3,10 +3,19 @@
 Different vectors are dealt over shards by their hash.  A shard's graph is built by inserting points in batches: a
 greedy search over the graph so far proposes neighbours, and robust pruning keeps those that no kept neighbour is
 nearer to by the factor ALPHA, which leaves diverse edges; reverse edges are added and pruned alike.  Every query
-then runs a beam search over every shard, and the shards' best are merged.  Inner product becomes distance by one
-more component, which makes all stored vectors equally long.
+then runs a beam search over every shard, and the shards' best are merged.  The graph is built by angle (vectors scaled
+to length one), where pruning has a distance to work with; queries walk it by inner product with the vectors as long
+as they are.
+
+A search begins at the ENTRIES nearest of the shard's landmarks, PIVOTS times the square root of its points, which the
+build draws at random: tight clusters that few edges join are so reached from within.  Beam, entries and degree are
+the same for shards of all sizes.
 
 A shard's task takes first its vectors, then the queries in blocks, so it holds one shard and one block at a time.
+Graphs are searched in single precision; the score of what they find is computed from the vectors as they are stored, in double precision.
+
+Every query visits every shard, so the rows dealt are queries times shards: at a larger scale let shard_rows grow with
+the executors' memory (about 1 kB a point of 64 components).
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take
 no part; rows of the same id and vector count once; rows of one id are no candidates of that id's queries; of equal
@@ -26,52 +35,48 @@ from pyspark.sql import functions as F
 from voltlake.llm.common import written
 
 #: Most out-edges, beam while building and while searching, pruning factor, points expanded a step.
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, STEP = 32, 64, 112, 1.2, 4
-#: Least number of shards, vectors a shard holds on average at most, points inserted and queries searched together, entry points.
-SHARDS, SHARD_ROWS, BATCH, ENTRIES = 8, 50_000, 512, 8
-#: Vectors from which a shard counts as large, and its beam, which is also its number of entry points while searching.
-LARGE, LARGE_BEAM = 4096, 512
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, STEP = 32, 64, 128, 1.2, 4
+#: Rows from which a table has more shards than one, least shards beyond, vectors a shard holds on average at most, points inserted and queries searched together.
+ONE_SHARD, SHARDS, SHARD_ROWS, BATCH = 4096, 8, 20_000, 512
+#: Landmarks a square root of the points, and how many of the nearest begin a search.
+PIVOTS, ENTRIES = 4, 16
 
 
 class Graph:
-    """A robust-pruned directed graph over the rows of x (float32)."""
+    """A robust-pruned directed graph over the rows of x (float32, none of them zero)."""
 
     def __init__(self, x: np.ndarray, seed: int = 7):
-        norms = np.einsum("ij,ij->i", x, x, dtype=np.float64)
-        lift = np.sqrt(np.maximum(norms.max() - norms, 0)).astype(np.float32)
-        self.x = np.concatenate([x, lift[:, None]], axis=1)
-        self.sq = np.einsum("ij,ij->i", self.x, self.x)
+        self.x = x
+        self.unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         n = len(x)
         self.edges = np.full((n, DEGREE), -1, np.int32)
         order = np.random.default_rng(seed).permutation(n)
-        middle = self.x.mean(axis=0)
-        first = int(np.argmin(self.sq - 2 * (self.x @ middle)))
+        first = int(np.argmax(self.unit @ self.unit.mean(axis=0)))
         order = np.concatenate([[first], order[order != first]])
-        self.entries = order[: n if n <= SEARCH_BEAM else ENTRIES]
-        self.beam, self.starts = (LARGE_BEAM, order[:LARGE_BEAM]) if n >= LARGE else (SEARCH_BEAM, self.entries)
+        marks = order[: int(PIVOTS * np.sqrt(n))]
         done = 1
         while done < n:  # a batch is no larger than what the graph holds already
             batch = order[done : done + min(BATCH, done)]
-            self._insert(batch, self.entries[: max(1, min(done, len(self.entries)))])
+            self._insert(batch, marks[:done])
             done += len(batch)
+        self.marks = marks
 
-    def _distances(self, q: np.ndarray, qq: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return self.sq[ids] + qq[:, None] - 2 * np.einsum("bkd,bd->bk", self.x[ids], q)
-
-    def search(self, q: np.ndarray, beam: int, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """q: rows as stored (with the added component).  The beam's ids and distances, nearest first (-1 and inf past the end)."""
+    def search(self, q: np.ndarray, beam: int, marks: np.ndarray | None = None, x: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The beam's ids, largest inner product with x (the vectors) first, and their negative inner products (-1 and inf past the end)."""
         b, n = len(q), len(self.x)
-        qq, rows = np.einsum("ij,ij->i", q, q), np.arange(b)[:, None]
+        marks, x = self.marks if marks is None else marks, self.x if x is None else x
+        rows = np.arange(b)[:, None]
+        away = -(q @ x[marks].T)
+        k = min(ENTRIES, len(marks), beam)
+        begin = np.argpartition(away, k - 1, axis=1)[:, :k]
         seen = np.zeros((b, n + 1), bool)  # the last column stands for no edge
         seen[:, n] = True
         ids = np.full((b, beam), -1, np.int64)
         dist = np.full((b, beam), np.inf, np.float32)
         fresh = np.zeros((b, beam), bool)
-        k = min(len(entries), beam)
-        ids[:, :k] = entries[:k]
-        dist[:, :k] = self._distances(q, qq, np.broadcast_to(entries[:k], (b, k)))
+        ids[:, :k], dist[:, :k] = marks[begin], away[rows, begin]
         fresh[:, :k] = True
-        seen[:, entries[:k]] = True
+        seen[rows, ids[:, :k]] = True
         while fresh.any():
             pick = np.argsort(np.where(fresh, dist, np.inf), axis=1, kind="stable")[:, :STEP]
             open_ = fresh[rows, pick]
@@ -88,7 +93,7 @@ class Graph:
                 continue
             near = np.sort(near, axis=1)[:, :keep]  # n, for none, sorts last
             some = near < n
-            d = np.where(some, self._distances(q, qq, np.where(some, near, 0)), np.inf)
+            d = np.where(some, -np.einsum("bkd,bd->bk", x[np.where(some, near, 0)], q), np.inf)
             all_d = np.concatenate([dist, d], axis=1)
             best = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
             ids = np.concatenate([ids, np.where(some, near, -1)], axis=1)[rows, best]
@@ -99,9 +104,8 @@ class Graph:
     def _prune(self, p: np.ndarray, cand: np.ndarray, dist: np.ndarray) -> np.ndarray:
         """For each point of p up to DEGREE of its candidates (nearest first, -1 for none)."""
         b, c = cand.shape
-        v = self.x[np.maximum(cand, 0)]
-        apart = self.sq[np.maximum(cand, 0)]
-        apart = apart[:, :, None] + apart[:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1))
+        v = self.unit[np.maximum(cand, 0)]
+        apart = 2 - 2 * np.matmul(v, v.transpose(0, 2, 1))  # squared distances
         alive = (cand >= 0) & (cand != p[:, None])
         out, count = np.full((b, DEGREE), -1, np.int32), np.zeros(b, np.int64)
         for k in range(c):
@@ -111,9 +115,9 @@ class Graph:
             alive[take] &= ALPHA * ALPHA * apart[take, k] > dist[take]
         return out
 
-    def _insert(self, batch: np.ndarray, entries: np.ndarray) -> None:
-        cand, dist = self.search(self.x[batch], BUILD_BEAM, entries)
-        self.edges[batch] = out = self._prune(batch, cand, dist)
+    def _insert(self, batch: np.ndarray, marks: np.ndarray) -> None:
+        cand, dist = self.search(self.unit[batch], BUILD_BEAM, marks, self.unit)
+        self.edges[batch] = out = self._prune(batch, cand, 2 + 2 * dist)
         to, which = np.nonzero(out >= 0)
         source, target = batch[to], out[to, which].astype(np.int64)
         order = np.argsort(target, kind="stable")
@@ -125,7 +129,7 @@ class Graph:
         for a in range(0, len(points), BATCH):
             p = points[a : a + BATCH]
             c = np.concatenate([self.edges[p].astype(np.int64), more[a : a + BATCH]], axis=1)
-            d = np.where(c >= 0, self._distances(self.x[p], self.sq[p], np.maximum(c, 0)), np.inf)
+            d = np.where(c >= 0, 2 - 2 * np.einsum("bkd,bd->bk", self.unit[np.maximum(c, 0)], self.unit[p]), np.inf)
             order = np.argsort(d, axis=1, kind="stable")[:, : 3 * DEGREE]
             rows = np.arange(len(p))[:, None]
             c, d = c[rows, order], d[rows, order]
@@ -142,15 +146,23 @@ def _rows(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
+def _single(x: np.ndarray) -> np.ndarray:
+    """In single precision; doubles outside its range are scaled, all by one power of two, which keeps the order."""
+    top = float(np.abs(x).max(initial=0))
+    if x.dtype == np.float32 or 2.0**-40 < top < 2.0**40:
+        return x.astype(np.float32, copy=False)
+    return (x / 2.0 ** np.frexp(top)[1]).astype(np.float32)
+
+
 def _shard_search(k: int):
     """(shard, kind, ids, vector) sorted by shard and kind -> the shard's k best rows a query."""
     names = ["query_id", "query_key", "vec_id", "score"]
 
     def answers(graph: Graph, x: np.ndarray, ids: list, q: np.ndarray, qids: list, keys: list) -> pa.RecordBatch:
         out: tuple[list, list, list, list] = ([], [], [], [])
-        wide = np.concatenate([q, np.zeros((len(q), 1), np.float32)], axis=1)
+        single = _single(q)
         for a in range(0, len(q), BATCH):
-            found, _ = graph.search(wide[a : a + BATCH], max(graph.beam, k + 1), graph.starts)
+            found, _ = graph.search(single[a : a + BATCH], max(SEARCH_BEAM, k + 1))
             score = np.einsum("bkd,bd->bk", x[np.maximum(found, 0)].astype(np.float64), q[a : a + BATCH].astype(np.float64))
             for r, row in enumerate(found):
                 own, best = qids[a + r], []
@@ -179,7 +191,7 @@ def _shard_search(k: int):
                 elif held:
                     if graph is None:
                         x = np.concatenate(held)
-                        graph = Graph(x)
+                        graph = Graph(_single(x))
                     yield answers(graph, x, ids, _rows(part.column(3)), [i[0] for i in part.column(2).to_pylist()], part.column(4).to_pylist())
 
     return run
@@ -191,16 +203,19 @@ def usable(embedding: Column) -> Column:
     return F.coalesce(embedding.isNotNull() & sound & F.exists(embedding, lambda v: v != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """vectors (vec_id, embedding), is_query on vec_id -> query_id, rank (from 1), vec_id, score of each query's k nearest other rows."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     size = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     rows = rows.where(F.size("embedding") == (size["d"] if size else 0))
     # of each different vector the k + 1 smallest ids: one may be the query's own
     first = Window.partitionBy("embedding").orderBy("vec_id")
     ids = rows.dropDuplicates(["vec_id", "embedding"]).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1)
     points = written(ids.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "points")
-    shards = max(SHARDS, -(-points.count() // SHARD_ROWS))
+    n = points.count()
+    shards = 1 if n <= ONE_SHARD else max(SHARDS, -(-n // shard_rows))
     key = F.xxhash64("embedding")
     queries = rows.where(is_query).dropDuplicates(["vec_id", "embedding"])
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.array("vec_id").alias("ids"), "embedding", key.alias("key"))
