@@ -276,9 +276,10 @@ def test_bad_host_is_stricter(spark):
 
 
 def brute_repeats(docs):
-    n, count = suffix_dedup.LENGTH, Counter()
+    n, count, short = suffix_dedup.LENGTH, Counter(), Counter()
     for t in docs:
         count.update(t[k : k + n] for k in range(len(t) - n + 1))
+        short.update(t[k : k + suffix_dedup.PASSAGE] for k in range(len(t) - suffix_dedup.PASSAGE + 1))
     out = []
     for t in docs:
         mark = bytearray(len(t))
@@ -286,20 +287,38 @@ def brute_repeats(docs):
             if count[t[k : k + n]] > 1:
                 mark[k : k + n] = b"\1" * n
         kept = bytes(b for b, m in zip(t, mark, strict=True) if not m)
-        out.append((len(t), sum(mark), len(re.findall(b"\1+", bytes(mark))), hashlib.sha256(kept).hexdigest()))
+        out.append((len(t), sum(mark), len(re.findall(b"\1+", bytes(mark))), hashlib.sha256(kept).hexdigest(), brute_passages(t, short)))
     return out
 
 
+def brute_passages(t, count):
+    n, mark = suffix_dedup.PASSAGE, bytearray(len(t))
+    for k in range(len(t) - n + 1):
+        if count[t[k : k + n]] > 1:
+            mark[k : k + n] = b"\1" * n
+    words = [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", t)]
+    return sum(sum(m.start() <= a and b <= m.end() for a, b in words) >= suffix_dedup.PASSAGE_WORDS for m in re.finditer(b"\1+", bytes(mark)))
+
+
 @pytest.mark.parametrize("clash", CLASHES)
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [20_000, 5, 1])
 def test_repeats(spark, clash, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # at 1 every mixed anchor takes the counted way
+    from voltlake.llm import common
+
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # at 1 every mixed anchor is split, and what is still mixed counted
+    if hot == 5:  # no broadcasts, hot keys dealt over salts
+        monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+        for module in (common, suffix_dedup):
+            monkeypatch.setattr(module, "HOT_ROWS", 2)
     data = rows()
     base = data[12][1]
+    passage = " ".join(f"p{k:04d}" for k in range(52))  # 52 words, 311 bytes
     data += [(500 + k, base[:k] + ("Q" if k % 2 else "") + base[k:] + "xyz" * k, "en", "s", 1) for k in range(0, 1200, 97)]
+    data += [(3000 + k, f"{'left %d ' % k * 9}{passage}{'. right' if k % 2 else chr(10)}{k}", "en", "s", 1) for k in range(6)]
     got = suffix_dedup.dedup_substrings(table(spark, data, clash=clash)).collect()
     want = Counter((i, *w) for (i, *_), w in zip(data, brute_repeats([(t or "").encode() for _, t, *_ in data]), strict=True))
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages) for r in got) == want
+    assert all(r.n_passages == 1 and r.n_removed == 0 for r in got if (r.doc_id or 0) >= 3000)
 
 
 # ---- 7

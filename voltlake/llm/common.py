@@ -115,22 +115,28 @@ def small(df: DataFrame) -> bool:
     return n <= BROADCAST_ROWS and total <= BROADCAST_BYTES
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, key: str, table_key: str, how: str = "left") -> DataFrame:
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The keys of more than HOT_ROWS rows, the HOT_KEYS largest of them: one column, ``hot``."""
+    n = rows.groupBy(F.col(key).alias("hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS)
+    return written(n.orderBy(F.desc("n")).limit(HOT_KEYS).select("hot"), "hot")
+
+
+def lookup_join(rows: DataFrame, table: DataFrame, key: str, table_key: str, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
     """Join of rows with a table that has one row a key at most; null keys match null.
 
     The table is broadcast where its checked size allows it.  Beyond that both are shuffled by key, and the rows of hot
     keys are dealt over SALTS copies of their table row by the partition they come from (equal rows too), so that a key
-    with a third of all rows doesn't land in one task.
+    with a third of all rows doesn't land in one task.  hot: what ``hot_keys`` gives for rows, where it is known already.
     """
     met = rows[key].eqNullSafe(table[table_key])
     if small(table):
         return rows.join(F.broadcast(table), met, how).drop(table[table_key])
     taken = rows.columns + table.columns
     hot_key, salt, other = free_name(taken, "hot_key"), free_name(taken, "salt"), free_name(taken, "salt_of")
-    n = rows.groupBy(F.col(key).alias(hot_key)).agg(F.count(F.lit(1)).alias(salt)).where(F.col(salt) > HOT_ROWS)
-    hot = written(n.orderBy(F.desc(salt)).limit(HOT_KEYS).select(hot_key, F.lit(True).alias(salt)), "hot")
+    hot = hot_keys(rows, key) if hot is None else hot
     if hot.isEmpty():
         return rows.join(table, met, how).drop(table[table_key])
+    hot = hot.select(F.col(hot.columns[0]).alias(hot_key), F.lit(True).alias(salt))
     dealt = rows.join(F.broadcast(hot), rows[key].eqNullSafe(hot[hot_key]), "left").drop(hot_key)  # HOT_KEYS rows at most
     dealt = dealt.withColumn(salt, F.when(F.col(salt), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0))
     copies = table.join(F.broadcast(hot.withColumnRenamed(salt, other)), table[table_key].eqNullSafe(F.col(hot_key)), "left").drop(hot_key)
