@@ -28,6 +28,41 @@ def test_rules_without_an_article():
     assert text(page) == f"{(STORY * 2).strip()}\nBetween.\n{(STORY * 2).strip()}"
 
 
+TALE = STORY.strip()
+JAPANESE = "川は夜のうちに増水し、町の人々は丘に登って朝を待った。" * 9
+TERSE = "Rain fell hard Monday. Rivers swelled overnight; crews stacked sandbags along Main Street while volunteers moved families uphill. Schools closed early. " * 2
+#: Pages with the text that a reader would call the article.
+LABELLED = {
+    "classes of an article are topics": (f'<article class="post category-privacy tag-search"><p>{STORY * 2}</p></article>', (STORY * 2).strip()),
+    "a topic inside an article": (f'<article class="entry"><div class="social-policy"><p>{STORY * 2}</p></div></article>', (STORY * 2).strip()),
+    "an id that holds a mark among other words": (f'<section id="respond-to-flood"><p>{STORY * 2}</p></section>', (STORY * 2).strip()),
+    "a name without other text": (f'<body><div class="notice"><p>{STORY * 2}</p></div><nav><a href="/">Home</a></nav></body>', (STORY * 2).strip()),
+    "a teaser in an article element": (f'<div class="content"><p>{STORY * 4}</p><p>{STORY * 3}</p></div><article><p>More to read soon.</p></article>', f"{(STORY * 4).strip()}\n{(STORY * 3).strip()}"),
+    "another script": (f"<body><div>{JAPANESE}</div><div>{JAPANESE}</div><div><a href='/'>ホーム</a></div></body>", f"{JAPANESE}\n{JAPANESE}"),
+    "prose with few stop words": (f"<body><ul><li><a href='/'>Home</a><li><a href='/n'>News</a></ul><div><p>{TERSE}</p></div></body>", TERSE.strip()),
+    "comments and notices beside it": (f'<div id="main-content"><p>{STORY * 3}</p></div><div class="comment-list"><p>{STORY * 9}</p></div><div class="cookie-notice"><p>{STORY * 2}</p></div>', (STORY * 3).strip()),
+    "names in an article": (f'<article><p>{STORY * 2}</p><div class="ad-slot-3"><p>{STORY * 2}</p></div><p>{STORY}</p><div class="share_buttons">{STORY}</div></article>', f"{(STORY * 2).strip()}\n{TALE}"),
+    "stop words tell lists from prose": (f"<body><div>{STORY * 2}</div><div>{'alpha bravo charlie delta ' * 5}</div><div>{'<a href=x>one two three</a> ' * 9}</div></body>", (STORY * 2).strip()),
+}
+
+
+@pytest.mark.parametrize("name", LABELLED)
+def test_labelled_pages(name):
+    html, want = LABELLED[name]
+    assert text(html) == want
+
+
+def test_deep_and_stray_tags_take_linear_time():
+    import time
+
+    at = time.time()
+    n = 100_000
+    assert text("<div>" * n + STORY * 2 + "</section>" * n + "</div>" * n) == (STORY * 2).strip()
+    text("<p><b>" * n + "</i>" * n)
+    text("<h1><article>" * (n // 10) + "<p>a" * n)
+    assert time.time() - at < 30
+
+
 @pytest.mark.parametrize("html", ["", "   ", "<", "<a", "<p", "<!--", "<script>never ends", "</p></div>", '<a href="x>y', "<" * 5000, "<div>" * 3000, "&#xFFFFFFFF; &bogus;", "<p class=ad>x"])
 def test_broken_markup(html):
     assert isinstance(text(html), str)

@@ -1,21 +1,26 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags; what stands in menus, page headers and footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments (by tag, role, class or id) is left out.  The first pass
-decides each block by its length, its density of stop words and its density of links; short blocks and headings stay
-open.  In the second pass these take the label of the nearest decided neighbours.
-
-Inside an article or main element a long block needs no stop words (tables, other languages); where a page has such an
-element, blocks outside it are left out.
+A page is cut into blocks at block-level tags; what stands in menus, page headers and footers, sidebars, forms, scripts
+and styles (by tag or role) and what is hidden is left out.  The first pass decides each block by its length, its
+density of stop words and its density of links; short blocks and headings stay open.  In the second pass these take
+the label of the nearest decided neighbours.  Where the page as a whole has few stop words (another language or script,
+terse prose) they say nothing, and length and links alone decide.
+
+Classes and ids that name advertisements, notices, comments and the like are evidence: their blocks are left out as
+long as other text remains.  A name counts only if all its parts are such words or mean a place ("ad-box", not
+"category-privacy"), and never on an article or main element.  Such elements are evidence too: blocks outside are left
+out where they hold a fair share of the page's text, and inside a long block needs no stop words; a page with a mere
+teaser in one is judged by its blocks.
 
 Defined results: null or empty html has the empty text; broken markup is read as far as it goes (an unclosed tag or
-comment ends with the page); repeated rows are read each; a very long page is one row; an empty table gives an empty
-result; other columns pass through unread.
+comment ends with the page); repeated rows are read each; a very long or deep page is one row, read in one pass; an
+empty table gives an empty result; other columns pass through unread.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pandas as pd
@@ -25,8 +30,8 @@ from pyspark.sql import types as T
 
 from voltlake.llm.common import give_back
 
-#: Limits of the rules: link density, length of a short and of a long block, stop-word density from low and from high.
-LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.4, 70, 200, 0.15, 0.3
+#: Limits of the rules: link density, length of a short and of a long block, stop-word density from low and from high, share of the text outside that articles need.
+LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH, ARTICLES = 0.4, 70, 200, 0.15, 0.3, 1 / 3
 #: Fixed stop words of the four languages.
 STOP_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which you were there been their has "
@@ -46,6 +51,8 @@ MARKS = frozenset(
     "footer foot colophon masthead topbar header cookie cookies consent gdpr privacy notice notices notification alert popup popover overlay modal newsletter subscribe subscription signup login paywall comment comments commentlist disqus reply replies respond "
     "discussion social share sharing sharebar related recommended recommendations trending popular widget widgets toolbar pagination pager copyright legal disclaimer skip hidden offscreen search".split()
 )
+#: Words of a class or id that say where or how something stands, not what it is.
+PLACES = frozenset("area bar bottom box btn button buttons block bottom center col column container content full global group inline inner item items left li link links list main middle outer page panel post posts primary right row secondary section sections site slot small sub text top unit wrap wrapper x".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -54,52 +61,71 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>"'][^\s>]*+))?)?""")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+#: Characters that each stand for about a third of a word or more: they count double.
+_WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    """Whether an element's attributes say that it isn't article text."""
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true" or name == "hidden" or name == "style" and _HIDES.search(value):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "main") and not MARKS.isdisjoint(x.lower() for x in _NAME_PARTS.findall(value)):
+def _named(value: str) -> bool:
+    """Whether a name of a class or id says that it isn't article text."""
+    for name in value.split():
+        parts = {x.lower() for x in _NAME_PARTS.findall(name)}
+        if not parts.isdisjoint(MARKS) and parts <= MARKS | PLACES:
             return True
     return False
 
 
+def _marked(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element's attributes leave it out (hidden, or of another role), and whether its names are evidence against it."""
+    out = named = False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        out = out or bool(name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true" or name == "hidden" or name == "style" and _HIDES.search(value))
+        named = named or name in ("class", "id") and tag not in ("html", "body", "main", "article") and _named(value)
+    return out, named
+
+
 class Block:
-    __slots__ = ("heading", "inside", "links", "text")
+    """A block's text and what the rules need of it: length (wide characters count double), linked characters, words, stop words."""
+
+    __slots__ = ("heading", "inside", "links", "named", "size", "stops", "text", "words")
 
-    def __init__(self, text: str, links: int, heading: bool, inside: bool):
-        self.text, self.links, self.heading, self.inside = text, links, heading, inside
+    def __init__(self, text: str, links: int, heading: bool, inside: bool, named: bool):
+        self.text, self.links, self.heading, self.inside, self.named = text, links, heading, inside, named
+        words = _WORD.findall(text.lower())
+        self.size, self.words, self.stops = len(text) + len(_WIDE.findall(text)), len(words), sum(w in STOP_WORDS for w in words)
 
 
 def blocks_of(html: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
-    linked = 0
-    # open elements: tag, whether it is left out, whether it lies in an article
-    stack: list[tuple[str, bool, bool]] = []
-    lefts = links = 0
-    at = 0
+    linked = at = 0
+    # open elements, each with what it adds to the counters (left out, link, heading, article, named), and the places of block-level ones
+    stack: list[tuple[str, tuple[int, ...]]] = []
+    block_at: list[int] = []
+    open_tags: Counter[str] = Counter()
+    lefts = links = headings = articles = names = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                tags = {s[0] for s in stack}
-                out.append(Block(text, linked, not HEADINGS.isdisjoint(tags), any(s[2] for s in stack)))
+                out.append(Block(text, linked, headings > 0, articles > 0, names > 0))
             parts.clear()
         linked = 0
 
+    def count(adds: tuple[int, ...], sign: int) -> None:
+        nonlocal lefts, links, headings, articles, names
+        lefts, links, headings, articles, names = (x + sign * y for x, y in zip((lefts, links, headings, articles, names), adds, strict=True))
+
     def shut(k: int) -> None:
-        nonlocal lefts, links
-        for tag, left, _ in stack[k:]:
-            lefts -= left
-            links -= tag == "a"
+        for tag, adds in stack[k:]:
+            count(adds, -1)
+            open_tags[tag] -= 1
         del stack[k:]
+        while block_at and block_at[-1] >= k:
+            block_at.pop()
 
     def words(text: str) -> None:
         nonlocal linked
@@ -124,64 +150,64 @@ def blocks_of(html: str) -> list[Block]:
         if tag in BLOCKS:
             flush()
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if k >= 0:
+            if open_tags[tag]:  # what is looked at here is closed here
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
                 flush()
                 shut(k)
             continue
-        if tag in RAW and not closing:
+        if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        if tag in VOID or (m[3] or m[6] or "").endswith("/") and tag not in BLOCKS:
+        attributes = m[3] or m[6] or ""
+        block = tag in BLOCKS
+        if tag in VOID or attributes.endswith("/") and not block:
             continue
-        if tag in BLOCKS:  # a paragraph or item ends where the next block begins
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] not in BLOCKS:
-                k -= 1
-            if k >= 0 and (stack[k][0] == "p" or stack[k][0] == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th") or stack[k][0] in HEADINGS and tag in HEADINGS):
-                shut(k)
-        article = any(s[2] for s in stack)
-        left = tag in LEFT_OUT or tag == "header" and not article or _marked(tag, m[3] or m[6] or "")
-        stack.append((tag, left, article or tag in ("article", "main")))
-        lefts += left
-        links += tag == "a"
+        if block and block_at:  # a paragraph or item ends where the next block begins
+            last = stack[block_at[-1]][0]
+            if last == "p" or last == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th") or last in HEADINGS and tag in HEADINGS:
+                shut(block_at[-1])
+        hidden, named = _marked(tag, attributes)
+        left = tag in LEFT_OUT or tag == "header" and not articles or hidden or named and not block
+        if block:
+            block_at.append(len(stack))
+        stack.append((tag, (int(left), int(tag == "a"), int(tag in HEADINGS), int(tag in ("article", "main")), int(named))))
+        open_tags[tag] += 1
+        count(stack[-1][1], 1)
     words(html[at:])
     flush()
     return out
 
 
-def first_pass(b: Block) -> str:
-    """good, near, bad, or short (open)."""
-    n = len(b.text)
-    if b.links and b.links / n > LINKS:
+def first_pass(b: Block, told: bool) -> str:
+    """good, near, bad, or short (open).  told: the page's stop words say something."""
+    if b.links and b.links / len(b.text) > LINKS:
         return "bad"
-    if b.heading or n < SHORT:
+    if b.heading or b.size < SHORT:
         return "bad" if b.links and not b.inside else "short"
-    words = _WORD.findall(b.text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-    if stop >= STOP_HIGH:
-        return "good" if n > LONG else "near"
-    if stop >= STOP_LOW:
-        return "near"
-    return "near" if b.inside else "bad"
+    stop = b.stops / max(b.words, 1)
+    if stop >= STOP_HIGH or not told:
+        return "good" if b.size > LONG else "near"
+    return "near" if stop >= STOP_LOW or b.inside else "bad"
 
 
 def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
     """Open blocks take the label of the nearest decided neighbour; of two as near, good wins in an article.  Near ones count as decided, good unless both their neighbours are bad."""
     n = len(blocks)
     near_before, near_after = [-1] * n, [n] * n
-    for k in range(n):
-        near_before[k] = k - 1 if k and labels[k - 1] != "short" else near_before[k - 1] if k else -1
-    for k in range(n - 1, -1, -1):
-        near_after[k] = k + 1 if k + 1 < n and labels[k + 1] != "short" else near_after[k + 1] if k + 1 < n else n
+    for k in range(1, n):
+        near_before[k] = k - 1 if labels[k - 1] != "short" else near_before[k - 1]
+    for k in range(n - 2, -1, -1):
+        near_after[k] = k + 1 if labels[k + 1] != "short" else near_after[k + 1]
     keep = []
     for k, b in enumerate(blocks):
         sides = [j for j in (near_before[k], near_after[k]) if 0 <= j < n]
         if labels[k] in ("good", "bad"):
             keep.append(labels[k] == "good")
         elif labels[k] == "near":
-            keep.append(b.inside or not (len(sides) == 2 and all(labels[j] == "bad" for j in sides)))
+            keep.append(not (len(sides) == 2 and all(labels[j] == "bad" for j in sides)))
         elif not sides:
             keep.append(b.inside)
         else:
@@ -191,12 +217,26 @@ def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
     return keep
 
 
+def _article(blocks: list[Block]) -> list[str]:
+    """The texts of the blocks that both passes keep, of the region that holds the article."""
+    told = sum(b.stops for b in blocks) >= STOP_LOW * sum(b.words for b in blocks)
+    labels = [first_pass(b, told) for b in blocks]
+    inside = sum(b.size for b, label in zip(blocks, labels, strict=True) if b.inside and label != "bad")
+    outside = sum(b.size for b, label in zip(blocks, labels, strict=True) if not b.inside and label in ("good", "near"))
+    if inside and inside >= ARTICLES * outside:
+        pairs = [(b, label) for b, label in zip(blocks, labels, strict=True) if b.inside]
+        blocks, labels = [b for b, _ in pairs], [label for _, label in pairs]
+    else:
+        blocks = [b for b, label in zip(blocks, labels, strict=True) if not (b.inside and label == "short")]  # a teaser's
+        for b in blocks:
+            b.inside = False
+        labels = [first_pass(b, told) for b in blocks]
+    return [b.text for b, good in zip(blocks, second_pass(blocks, labels), strict=True) if good]
+
+
 def main_text(html: str) -> str:
     blocks = blocks_of(html)
-    if any(b.inside for b in blocks):
-        blocks = [b for b in blocks if b.inside]
-    labels = [first_pass(b) for b in blocks]
-    return "\n".join(b.text for b, good in zip(blocks, second_pass(blocks, labels), strict=True) if good)
+    return "\n".join(_article([b for b in blocks if not b.named]) or _article(blocks))
 
 
 @F.pandas_udf(T.StringType())
