@@ -8,7 +8,7 @@ have one point, one of a bad host none.  A host is bad if a shrunk rate is over
 all documents.  Documents that fail the base rules are rejected whatever their host.
 
 Defined results: a null or empty text has no words and fails the base rules; a null source is a host of its own;
-repeated rows are measured and counted each; an empty table gives an empty result; other columns pass through.
+a very long text is one row, measured in one pass; repeated rows are measured and counted each; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -122,6 +122,6 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that are kept, same columns.  Texts are measured twice instead of being shuffled."""
     hosts = host_verdicts(docs.select("source", text_metrics(text_of(docs)).alias("_m")))
-    rows = docs.select(F.struct(*docs.columns).alias("_all"), "source", text_metrics(text_of(docs)).alias("_m"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), "source", text_metrics(text_of(docs)).alias("_m"))
     got = lookup_join(rows, hosts.select("_host", "host_bad"), "source", "_host")
     return got.where(_verdict(F.col("_m"))).select(*[F.col("_all")[c].alias(c) for c in docs.columns])

@@ -10,7 +10,8 @@ alternating star contraction, each round written to the shared folder.
 A bucket of more than HOT rows is dealt again by quarters of its other 32 bits (two linked rows agree on one of the
 four), so no bucket need fit one task before that.
 
-Defined results: a null or empty text, or one of white space, has fingerprint zero and is linked like any other; of
+Defined results: a null or empty text, or one of white space, has fingerprint zero and is linked like any other; a very
+long text is one row, hashed in slices; of
 repeated rows each gets the same component; null doc_ids count for no component's smallest id (null if it has no
 other); an empty table gives an empty result; other columns are not read.
 """
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import LongType
 
-from voltlake.llm.common import BROADCAST_ROWS, give_back, lookup_join, text_of, written
+from voltlake.llm import common
+from voltlake.llm.common import drop_written, give_back, lookup_join, text_of, written
 
 RADIUS, SEED, SHINGLE = 3, 42, 3
 #: Widths of the six blocks from the lowest bit; rows of a bit-sliced block; rows from which a bucket is dealt again.
@@ -198,14 +200,21 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 def star_components(links: DataFrame) -> DataFrame:
     """links (fp, to) -> (fp, root) for every linked fingerprint but the roots, by large-star and small-star in turn."""
     edges, before = written(links.where("fp <> to"), "links"), None
+
+    def lowest(rows: DataFrame, low: Column) -> DataFrame:
+        """rows (u, v) with m, the lowest of each u; a hub of many links is dealt over tasks."""
+        m = rows.groupBy(F.col("u").alias("_u")).agg(low.alias("m"), F.count(F.lit(1)).alias("_n"))
+        if (m.agg(F.max("_n")).first()[0] or 0) <= common.HOT_ROWS:
+            return rows.join(m, F.col("u") == F.col("_u")).drop("_u", "_n")
+        return lookup_join(rows, written(m.drop("_n"), "lowest"), "u", "_u", "inner")
+
     while True:
         both = edges.select(F.col("fp").alias("u"), F.col("to").alias("v")).union(edges.select(F.col("to").alias("u"), F.col("fp").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = lowest(both, F.least(F.min("v"), F.first("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(low, "u")
-        edges = written(joined.select(F.col("v").alias("fp"), F.col("m").alias("to")).union(low.select(F.col("u").alias("fp"), F.col("m").alias("to"))).where("fp <> to").distinct(), "links")
+        joined = lowest(down, F.min("v"))
+        old, edges = edges, written(joined.select(F.explode(F.array(F.struct(F.col("v").alias("fp"), F.col("m").alias("to")), F.struct(F.col("u").alias("fp"), F.col("m").alias("to")))).alias("x")).select("x.*").where("fp <> to").distinct(), "links")
+        drop_written(old)
         now = tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("fp", "to").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select("fp", F.col("to").alias("root"))
@@ -218,8 +227,8 @@ def components(rows: DataFrame) -> DataFrame:
     roots = star_components(fingerprint_links(fps)).withColumnRenamed("fp", "_linked")
     rooted = lookup_join(fps, roots, "fp", "_linked").withColumn("root", F.coalesce("root", "fp"))
     rooted = written(rooted, "roots")
-    ids = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("low").alias("component_id"))
-    return rooted.join(ids, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "_root", "component_id")
+    ids = written(rooted.groupBy(F.col("root").alias("_of")).agg(F.min("low").alias("component_id")), "ids")
+    return lookup_join(rooted, ids, "root", "_of", "inner").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -233,7 +242,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each component, same columns: the one of the smallest doc_id (of several rows of it, the smallest text hash, once).
 
     Keepers are found on narrow rows; texts are read again and met with the keepers' keys, which are broadcast only
-    where their count is within the bound.
+    where their size is within the bound.
     """
     text = text_of(docs)
     key = F.xxhash64("doc_id", text)
@@ -244,13 +253,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     keep = first.select(F.col("_k.doc_id").alias("_doc"), F.col("_k.key").alias("_key"))
     times = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("_times"))
     keep = written(keep.join(times, keep["_doc"].eqNullSafe(times["doc_id"]) & (keep["_key"] == times["key"])).select("_doc", "_key", "_times"), "keepers")
-    n = keep.count()
-    side = F.broadcast(keep) if n <= BROADCAST_ROWS else keep
-    all_ = docs.select(F.struct(*docs.columns).alias("_all"), "doc_id", "text")
-    all_ = all_.select("_all", "doc_id", F.xxhash64("doc_id", text_of(all_)).alias("_h"))
-    met = all_.join(side, (F.col("_h") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    keep = keep.select(F.struct(F.col("_doc").alias("doc"), F.col("_key").alias("key")).alias("_id"), "_times")
+    all_ = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.struct(F.col("doc_id").cast("long").alias("doc"), key.alias("key")).alias("id"))
+    met = lookup_join(all_, keep, "id", "_id", "inner")
     out = [F.col("_all")[c].alias(c) for c in docs.columns]
     once = met.where("_times = 1").select(*out)
     if keep.where("_times > 1").isEmpty():
         return once
-    return once.union(met.where("_times > 1").groupBy("_h", "doc_id").agg(F.first("_all").alias("_all")).select(*out))
+    return once.union(met.where("_times > 1").groupBy("id").agg(F.first("_all").alias("_all")).select(*out))
