@@ -27,7 +27,7 @@ import numpy as np
 REMEMBERED, REMEMBERED_CHARS, SLICE, JOINED = 1_200_000, 12_000_000, 1 << 20, 64
 _PIECE, _PLAIN_PIECE = re.compile(r"[ \n]*[^ \n,.]+|[,.][^ \n]*|[ \n]+"), re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space of other kinds, or the mark; a comma or full stop that is not behind a letter or digit.
-_WHOLE = "[\x01\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_WHOLE = "\x01\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD_STOP = re.compile(r"[,.](?<![^\W_].)")
 _MARK = "\x01"
 
@@ -52,8 +52,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        odd = [_WHOLE, *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()), *map(re.escape, self._not_ending_as_letters())]
-        self.whole = re.compile("|".join(odd), re.I)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile(f"[{_WHOLE}{''.join(map(re.escape, self._not_ending_as_letters()))}]")  # one class: one look a character
         # where the vocabulary lowers letters anyway, pieces that differ in A-Z only are one
         self.lowers = [e.ids for e in self.tokenizer.encode_batch_fast(["AZ", "az"], add_special_tokens=False)]
         self.lowers = self.lowers[0] == self.lowers[1]
@@ -70,6 +70,9 @@ class PieceEncoder:
             alone = map(normaliser.normalize_str, letters)
         return [c for c, n in zip(letters, alone, strict=True) if not n[-1:].isalnum()]
 
+    def _is_whole(self, text: str, prepared: str) -> bool:
+        return self.whole.search(prepared) is not None or any(a in text or a in prepared for a in self.added)
+
     def _prepared(self, texts: list[str]) -> list[str]:
         return [t.encode().lower().decode() for t in texts] if self.lowers else texts
 
@@ -148,7 +151,7 @@ class PieceEncoder:
         return self.ids[at], lens
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [None if self.whole.search(t) else (_PLAIN_PIECE if _ODD_STOP.search(t) else _PIECE).findall(t) for t in self._prepared(texts)]
+        cut = [None if self._is_whole(t, p) else (_PLAIN_PIECE if _ODD_STOP.search(p) else _PIECE).findall(p) for t, p in zip(texts, self._prepared(texts), strict=True)]
         flat, lens = self._pieces(list(chain.from_iterable(c for c in cut if c is not None)))
         held = np.array([0 if c is None else len(c) for c in cut], np.int64)
         ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum(held)]
