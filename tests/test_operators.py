@@ -183,6 +183,59 @@ def test_error_policies(spark):
     with pytest.raises(Exception):
         pipelines.run_blocks(s, blocks)
     assert pipelines.choose_view(["car", "original"], "bip") == ("car", "view bip is not available, car is used")
+    assert pipelines.choose_view(["bipolar", "car", "original"]) == ("original", None) == pipelines.choose_view(["bipolar", "original"], "  ")
+    for name, view in {"avg": "car", "LAPP": "laplacian", "Car-By-Shaft": "car", "car_global": "car", "car_by_shaft": "car", " BIP ": "bipolar", "wm": "wm_ref", "original": "original"}.items():
+        assert pipelines.choose_view(["bipolar", "laplacian", "wm_ref", "car", "original"], name) == (view, None)
+    assert pipelines.choose_view(["laplacian", "car"]) == ("laplacian", "view original is not available, laplacian is used")
+
+
+def test_mel_bands_are_never_empty():
+    """Bands narrower than a bin keep one; wide ones are triangles of equal area."""
+    for n_fft, bands in ((256, 64), (512, 80), (1024, 40)):
+        w = spectral.mel_weights(n_fft, 16000.0, bands)
+        assert {b for b, _, _ in w} == set(range(bands)) and all(0 <= k <= n_fft // 2 and v > 0 for _, k, v in w)
+    last = [v for b, _, v in spectral.mel_weights(4096, 16000.0, 40) if b == 39]
+    assert sum(last) * 16000 / 4096 == pytest.approx(1, rel=0.02)
+
+
+def test_several_models_need_a_key(spark):
+    rows = spark.createDataFrame([([1.0, 2.0],)], "lagged array<double>")
+    models = spark.createDataFrame([([1.0, 1.0], [0.5]), ([9.0, 9.0], [0.0])], "coef array<double>, intercept array<double>")
+    assert encoding.predict(rows, models.limit(1)).first().predicted == [3.5]
+    with pytest.raises(Exception, match="several models"):
+        encoding.predict(rows, models).collect()
+
+
+def test_gram_over_batches_and_keys(spark):
+    """Sums are the same whatever the batches, with more keys than a task holds at a time."""
+    x = np.random.default_rng(1).normal(size=(3000, 3))
+    df = spark.createDataFrame([(k % 200 if k % 200 else None, v[:2].tolist(), [float(v[2])]) for k, v in enumerate(x)], "fold int, lagged array<double>, y array<double>")
+    got = {r.fold: r for r in encoding.gram(df, ["fold"]).collect()}
+    assert len(got) == 200
+    for f in (None, 1, 199):
+        own = x[(f or 0) :: 200]
+        assert got[f].n == 15 and np.allclose(np.reshape(got[f].xx, (2, 2)), own[:, :2].T @ own[:, :2]) and np.allclose(got[f].xy, own[:, :2].T @ own[:, 2])
+
+
+def test_intake(spark):
+    from voltlake.operators import intake
+
+    a = spark.createDataFrame([("x/sub-1_run-02.vhdr",), ("x/run-10.tsv",), ("x/none.tsv",)], "path string")
+    assert [r.run for r in intake.run_ids([a, a.where("path like '%10%'")]).collect()] == ["02", "10"]
+    c = spark.createDataFrame([(1, "a/b/c.wav"), (1, "z.wav"), (1, "b.wav")], "k int, path string")
+    assert tuple(intake.shortest_path(c, ["k"]).first()) == (1, "b.wav", 3)
+    v = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (1, "b", 3), (1, None, 4)], "k int, v string, o int")
+    assert intake.ordered_distinct(v, ["k"], "v", ["o"]).first()["values"] == ["b", "a", None]
+    t = spark.createDataFrame([(" Sound ", "dog"), ("sound", None), ("Picture", " "), ("sound recording", "x"), ("Fixation Cross", None)], "e string, n string")
+    assert [r[0] for r in t.select(intake.trial_type(F.col("e"), F.col("n"))).collect()] == ["dog", "stimulus", "picture", "response_audio", "fixation_cross"]
+    mono = intake.downmix(signal(spark, {"A": [1, 3], "B": [3, 5]}, True))
+    assert values(mono) == [2.0, 4.0] and values(intake.downmix(mono)) == [2.0, 4.0]
+    for bad in (lambda: intake.time_axis(F.col("t"), 0), lambda: intake.time_axis(F.col("t"), 1, "min"), lambda: intake.event_issues(a, {}, "path"), lambda: intake.score_by("auc", a, [], "y", "p"), lambda: intake.downmix(signal(spark, {"A": [1]}, True), how="max")):
+        with pytest.raises(ValueError):
+            bad()
+    r = spark.createDataFrame([(1, 100.0, 5), (2, 0.0, 5), (3, None, 0)], "recording int, rate double, samples int")
+    assert sorted((x.recording, x.code) for x in intake.recording_issues(r).collect()) == [(2, "rate"), (3, "no_samples"), (3, "rate")]
+    assert intake.column_hints(r.withColumn("Birth_Date", F.lit(1)), ["birth", "name"]) == ["Birth_Date"]
 
 
 def test_scalars(spark):

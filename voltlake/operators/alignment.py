@@ -151,7 +151,8 @@ def triplets(rows: DataFrame, keys: Sequence[str], order: str, kind: str, wanted
 def forward_pattern(marks: DataFrame, start: int, stop: int, skip: Sequence[int], keys: Sequence[str] = ("recording",)) -> DataFrame:
     """From each start code to the next stop code: its order, the stop's, and the last code between that isn't skipped."""
     w = Window.partitionBy(*keys).orderBy("t")
-    ahead, back = w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
+    back = w.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)  # a running frame: one step a row
     body = F.when(~F.col("code").isin(start, stop, *skip), F.struct("t", "code"))
     ends = marks.withColumn("_last", F.last(body, True).over(back)).where(F.col("code") == stop).select(*keys, F.col("t").alias("stop_t"), "_last")
     begins = marks.withColumn("stop_t", F.min(F.when(F.col("code") == stop, F.col("t"))).over(ahead)).where((F.col("code") == start) & F.col("stop_t").isNotNull()).select(*keys, F.col("t").alias("start_t"), "stop_t")

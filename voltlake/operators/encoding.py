@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Keys whose sums a task holds before it emits them.
+HELD = 64
+
+
 def lagged(signal: DataFrame, lags: Sequence[int], keys: Sequence[str] = ("recording",), mode: str = "valid", value: str = "x") -> DataFrame:
     """Adds ``lagged``: the value (or feature array, flattened lag by lag) at t - lag.  valid drops edge rows, same fills zeros."""
     w = Window.partitionBy(*keys).orderBy("t")
@@ -32,20 +36,30 @@ def lagged(signal: DataFrame, lags: Sequence[int], keys: Sequence[str] = ("recor
 def gram(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """rows (lagged, y: arrays) -> one row a key and task's worth of sums, added up: n, sx, sy, xx, xy (flat, row-major).
 
-    Each Arrow batch is summed by key in numpy, so only sums leave a task.
+    Rows are summed by key in numpy, batch after batch, and a task emits each key's sums once (HELD keys at most at a time).
     """
     names = list(keys)
     schema = ", ".join([*[f"{k} {rows.schema[k].dataType.simpleString()}" for k in names], "n double, sx array<double>, sy array<double>, xx array<double>, xy array<double>"])
 
     def sums(batches):
+        held: dict[tuple, list] = {}
+
+        def frame() -> pd.DataFrame:
+            return pd.DataFrame([[*key, *total] for key, total in held.items()], columns=[*names, "n", "sx", "sy", "xx", "xy"])
+
         for pdf in batches:
-            groups = pdf.groupby(names, dropna=False, sort=False) if names else [((), pdf)]
-            out = []
-            for key, g in groups:
+            for key, g in pdf.groupby(names, dropna=False, sort=False) if names else [((), pdf)]:
+                if not len(g):
+                    continue
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
                 x, y = np.array(g["lagged"].tolist(), float), np.array(g["y"].tolist(), float)
-                out.append([*(key if isinstance(key, tuple) else (key,)), float(len(g)), x.sum(0), y.sum(0), (x.T @ x).ravel(), (x.T @ y).ravel()])
-            if out:
-                yield pd.DataFrame(out, columns=[*names, "n", "sx", "sy", "xx", "xy"])
+                own = [float(len(g)), x.sum(0), y.sum(0), (x.T @ x).ravel(), (x.T @ y).ravel()]
+                held[key] = [a + b for a, b in zip(held[key], own, strict=True)] if key in held else own
+            if len(held) > HELD:
+                yield frame()
+                held.clear()
+        if held:
+            yield frame()
 
     part = rows.select(*names, "lagged", "y").mapInPandas(sums, schema)
     return add_sums(part, names)
@@ -86,7 +100,9 @@ def ridge(sums: DataFrame, alphas: Sequence[float], keys: Sequence[str] = ()) ->
 
 def predict(rows: DataFrame, models: DataFrame, on: Sequence[str] = ()) -> DataFrame:
     """rows (lagged) with ``predicted``: an array over outputs.  models has one row a key (and alpha)."""
-    met = rows.join(models, list(on)) if on else rows.join(F.broadcast(models.limit(1)))  # one model
+    if not on:  # a single model: a second one fails the query
+        models = models.agg(F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("several models, but no key to choose by")).cast("struct<coef:array<double>,intercept:array<double>>")).otherwise(F.first(F.struct("coef", "intercept"))).alias("_m")).select("_m.*")
+    met = rows.join(models, list(on)) if on else rows.join(F.broadcast(models))
     q = F.size("intercept")
     one = lambda k: F.aggregate(F.zip_with("lagged", F.filter("coef", lambda v, i: i % q == k), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.element_at("intercept", (k + 1).cast("int"))
     return met.withColumn("predicted", F.transform(F.sequence(F.lit(0), q - 1), one)).drop("coef", "intercept")

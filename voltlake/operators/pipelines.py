@@ -52,17 +52,18 @@ def provenance(spark: SparkSession, done: Sequence[tuple[int, str]], settings: d
 
 #: Views by preference, and their other names.
 VIEW_ORDER = ("bipolar", "laplacian", "wm_ref", "car", "original")
-VIEW_NAMES = {"bip": "bipolar", "lap": "laplacian", "wm": "wm_ref", "common_average": "car", "raw": "original"}
+VIEW_NAMES = {"car_global": "car", "car-by-shaft": "car", "car_by_shaft": "car", "common_average": "car", "avg": "car", "lap": "laplacian", "lapp": "laplacian", "bip": "bipolar", "wm": "wm_ref"}
 
 
 def choose_view(available: Sequence[str], wanted: str | None = None) -> tuple[str, str | None]:
-    """(view, warning): the wanted one (or what its alias means), else the first available in order of preference."""
-    name = VIEW_NAMES.get(wanted or "", wanted or "")
+    """(view, warning): the wanted one (or what its alias means, in any case; original if none is wanted), else the first available in order of preference."""
+    name = (wanted or "").strip().lower() or "original"
+    name = VIEW_NAMES.get(name, name)
     if name in available:
         return name, None
     for v in VIEW_ORDER:
         if v in available:
-            return v, f"view {wanted} is not available, {v} is used" if wanted else None
+            return v, f"view {wanted or name} is not available, {v} is used"
     raise ValueError("no view is available")
 
 

@@ -124,7 +124,8 @@ def interpolate(known: DataFrame, grid: DataFrame, keys: Sequence[str] = ("recor
     w = Window.partitionBy(*keys).orderBy("t", "_g")
     at = F.when(F.col("x").isNotNull(), F.struct("t", "x"))
     before = F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*keys).orderBy(F.desc("t"), F.desc("_g"))  # a running frame: one step a row
+    after = F.last(at, True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     got = rows.withColumns({"_p": before, "_n": after}).where("_g")
     p, n = F.col("_p"), F.col("_n")
     between = p["x"] + (n["x"] - p["x"]) * (F.col("t") - p["t"]) / (n["t"] - p["t"])

@@ -51,6 +51,8 @@ def mel_weights(n_fft: int, rate: float, bands: int, low: float = 0.0, high: flo
     out = []
     for b in range(bands):
         left, mid, right = at[b : b + 3]
+        mid = max(mid, left + 1)  # bands narrower than a bin have one bin all the same
+        right = min(max(right, mid + 1), n_fft // 2)
         area = 2.0 / (edges[b + 2] - edges[b])
         out += [(b, k, area * (k - left) / (mid - left)) for k in range(left, mid)] + [(b, k, area * (right - k) / (right - mid)) for k in range(mid, right)]
     return [(b, k, float(w)) for b, k, w in out if w > 0 and k <= n_fft // 2]

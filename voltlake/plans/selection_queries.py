@@ -85,9 +85,9 @@ def trial_average(spark, d):
     return C.trial_average(s, ev, 1, 2).withColumn("x", F.round("x", 5))
 
 
-@query("SELECT recording, channel, round(max(x), 5) AS amplitude, arg_min(lag, -x * 1000 + lag * 1e-9) AS latency FROM (SELECT recording, channel, t AS lag, x FROM sign WHERE t < 3) GROUP BY ALL")
+@query("SELECT recording, channel, round(max(x), 5) AS amplitude, min(lag) FILTER (x = top) AS latency FROM (SELECT recording, channel, t AS lag, x, max(x) OVER (PARTITION BY recording, channel) AS top FROM sign) GROUP BY ALL")
 def peak_latency(spark, d):
-    a = sign(spark, d).where("t < 3").select("recording", "channel", F.col("t").alias("lag"), "x")
+    a = sign(spark, d).select("recording", "channel", F.col("t").alias("lag"), "x")
     return C.peaks(a).select("recording", "channel", F.round("amplitude", 5).alias("amplitude"), "latency")
 
 

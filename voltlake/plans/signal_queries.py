@@ -146,9 +146,9 @@ _DEV = "SELECT s.recording, x, m, abs(x - m) AS a FROM sig1 s JOIN med USING (re
 _MAD = "SELECT recording, median(a) AS mad FROM dev GROUP BY recording"
 
 
-@query("SELECT recording, round(CASE WHEN any_value(mad) > 0 THEN avg(CASE WHEN 0.6745 * a / mad < 3.5 THEN x END) ELSE any_value(m) END, 3) AS robust_mean FROM dev JOIN mads USING (recording) GROUP BY recording", med=_MED, dev=_DEV, mads=_MAD)
+@query("SELECT recording, round(CASE WHEN any_value(mad) > 0 THEN avg(CASE WHEN 0.6745 * a / mad < 3.5 THEN x END) ELSE any_value(m) END, 10) AS robust_mean FROM dev JOIN mads USING (recording) GROUP BY recording", med=_MED, dev=_DEV, mads=_MAD)
 def robust_mean_mad(spark, d):
-    return rounded(X.robust_mean(sig1(spark, d), ["recording"], "x"), "robust_mean", digits=3)
+    return rounded(X.robust_mean(sig1(spark, d), ["recording"], "x"), "robust_mean", digits=10)
 
 
 @query(f"SELECT recording, t FROM (SELECT recording, t, x, lag(x) OVER {DP} AS p FROM sig1) WHERE x > 40 AND NOT coalesce(p > 40, false)")
@@ -178,14 +178,14 @@ def ordinal_zip_join(spark, d):
     return A.zip_by_order(m.where("code = 1").select("recording", F.col("t").alias("ta")), m.where("code = 2").select("recording", F.col("t").alias("tb")), ["recording"], ["ta"], ["tb"], strict=False).select("recording", "ordinal", "ta", "tb")
 
 
-_REF = "SELECT recording, t, x FROM sig1 WHERE t % 3 = 0"
-_TGT = "SELECT recording, t, x FROM sig1 WHERE t % 3 = 1"
+_REF = "SELECT recording, t, x FROM sig1 WHERE t % 2 = 0"
+_TGT = "SELECT recording, t, x FROM sig1 WHERE t % 2 = 1"
 
 
 @query("SELECT recording, ref, target FROM (SELECT r.recording, r.t AS ref, g.t AS target, abs(g.x - r.x) AS d, row_number() OVER (PARTITION BY r.recording, r.t ORDER BY abs(g.x - r.x), g.t) AS n FROM reft r JOIN tgt g ON r.recording = g.recording) WHERE n = 1 AND d <= 5", reft=_REF, tgt=_TGT)
 def nearest_interval(spark, d):
     s = sig1(spark, d).select("recording", F.col("t").alias("i"), "x")
-    return A.nearest_value(s.where("i % 3 = 0"), s.where("i % 3 = 1"), "recording", "x", 5.0).select("recording", "ref", "target")
+    return A.nearest_value(s.where("i % 2 = 0"), s.where("i % 2 = 1"), "recording", "x", 5.0).select("recording", "ref", "target")
 
 
 def _intervals(spark, d):
@@ -473,9 +473,9 @@ def probability_max(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.array_max("embedding").cast("double").alias("top"), F.size("embedding").alias("n"))
 
 
-@query("SELECT vec_id, i::INTEGER AS i, embedding[i + 1]::DOUBLE AS p FROM embeddings, range(4) r(i)")
+@query("SELECT vec_id, i::INTEGER AS i, embedding[i + 1]::DOUBLE AS p FROM embeddings, range(len(embedding)) r(i)")
 def atlas_explode(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("i", "p")).withColumn("p", F.col("p").cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "p")).withColumn("p", F.col("p").cast("double"))
 
 
 @query("SELECT e.vec_id, l.quality::DOUBLE AS quality FROM embeddings e LEFT JOIN labels l ON l.doc_id = e.vec_id")
