@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Keys whose sums a task holds before it emits them.
 HELD = 64
+#: The sums over samples, beside their number, in the order in which they are held.
+SUMS = ("sx", "sy", "xx", "xy", "yy")
 
 
 def lagged(signal: DataFrame, lags: Sequence[int], keys: Sequence[str] = ("recording",), mode: str = "valid", value: str = "x") -> DataFrame:
@@ -34,18 +36,18 @@ def lagged(signal: DataFrame, lags: Sequence[int], keys: Sequence[str] = ("recor
 
 
 def gram(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """rows (lagged, y: arrays) -> one row a key and task's worth of sums, added up: n, sx, sy, xx, xy (flat, row-major).
+    """rows (lagged, y: arrays) -> one row a key and task's worth of sums, added up: n, sx, sy, xx, xy (flat, row-major), yy (by output).
 
     Rows are summed by key in numpy, batch after batch, and a task emits each key's sums once (HELD keys at most at a time).
     """
     names = list(keys)
-    schema = ", ".join([*[f"{k} {rows.schema[k].dataType.simpleString()}" for k in names], "n double, sx array<double>, sy array<double>, xx array<double>, xy array<double>"])
+    schema = ", ".join([*[f"{k} {rows.schema[k].dataType.simpleString()}" for k in names], "n double, " + ", ".join(f"{c} array<double>" for c in SUMS)])
 
     def sums(batches):
         held: dict[tuple, list] = {}
 
         def frame() -> pd.DataFrame:
-            return pd.DataFrame([[*key, *total] for key, total in held.items()], columns=[*names, "n", "sx", "sy", "xx", "xy"])
+            return pd.DataFrame([[*key, *total] for key, total in held.items()], columns=[*names, "n", *SUMS])
 
         for pdf in batches:
             for key, g in pdf.groupby(names, dropna=False, sort=False) if names else [((), pdf)]:
@@ -53,7 +55,7 @@ def gram(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
                     continue
                 key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
                 x, y = np.array(g["lagged"].tolist(), float), np.array(g["y"].tolist(), float)
-                own = [float(len(g)), x.sum(0), y.sum(0), (x.T @ x).ravel(), (x.T @ y).ravel()]
+                own = [float(len(g)), x.sum(0), y.sum(0), (x.T @ x).ravel(), (x.T @ y).ravel(), (y * y).sum(0)]
                 held[key] = [a + b for a, b in zip(held[key], own, strict=True)] if key in held else own
             if len(held) > HELD:
                 yield frame()
@@ -67,8 +69,8 @@ def gram(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def add_sums(part: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds array columns place by place: exploded with their index, so partial sums are combined before the shuffle."""
-    cols = ["sx", "sy", "xx", "xy"]
-    named = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in [*cols]])
+    cols = [c for c in SUMS if c in part.columns]
+    named = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols])
     flat = part.select(*keys, "n", F.explode(named).alias("a")).select(*keys, "n", "a.c", F.posexplode("a.v").alias("i", "v"))
     total = flat.groupBy(*keys, "c", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     pick = [F.transform(F.array_sort(F.collect_list(F.when(F.col("c") == c, F.struct("i", "v")))), lambda s: s["v"]).alias(c) for c in cols]
@@ -152,19 +154,81 @@ def best_alpha(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return mean.groupBy(*keys).agg(F.max_by("alpha", F.struct(F.col("score"), -F.col("alpha"))).alias("alpha"), F.max("score").alias("score"))
 
 
-def cross_validate(rows: DataFrame, alphas: Sequence[float]) -> DataFrame:
-    """rows (fold, lagged, y) -> fold, alpha, score: the mean Pearson over outputs on each held-out fold.
+def fold_scores(rows: DataFrame, alphas: Sequence[float], near: DataFrame | None = None) -> DataFrame:
+    """rows (fold, lagged, y) -> fold, alpha, output, pearson, r2 of each held-out fold, from sums alone: rows are read once.
 
-    All folds' sums are made in one pass; a fold's training sums are the total less its own.
+    A fold's training sums are the total less its own, and less those of ``near``: rows (fold, lagged, y) of other folds that
+    lie too close to this one.  A prediction is linear in the inputs, so its sums over the held-out rows follow from theirs.
     """
-    each = gram(rows, ["fold"])
-    names = ["sx", "sy", "xx", "xy"]
-    total = add_sums(each.drop("fold"), [])
-    total = total.select(F.col("n").alias("_n"), *[F.col(c).alias(f"_{c}") for c in names])
-    train = each.join(F.broadcast(total)).select("fold", (F.col("_n") - F.col("n")).alias("n"), *[F.zip_with(f"_{c}", c, lambda a, b: a - b).alias(c) for c in names])  # a row a fold
-    scored = predict(rows, ridge(train, alphas, ["fold"]), ["fold"])
-    each_out = scored.select("fold", "alpha", F.posexplode(F.arrays_zip("y", "predicted")).alias("o", "p")).select("fold", "alpha", "o", F.col("p.y").alias("y"), F.col("p.predicted").alias("predicted"))
-    return each_out.groupBy("fold", "alpha", "o").agg(pearson("y", "predicted").alias("s")).groupBy("fold", "alpha").agg(F.avg("s").alias("score"))
+    own = gram(rows, ["fold"])
+    total = add_sums(own.drop("fold"), []).select(F.col("n").alias("_n"), *[F.col(c).alias(f"_{c}") for c in SUMS])
+    met = own.join(F.broadcast(total))  # a row a fold
+    if near is not None:
+        close = gram(near, ["fold"]).select("fold", F.col("n").alias("near_n"), *[F.col(c).alias(f"near_{c}") for c in SUMS])
+        met = met.join(close, "fold", "left")
+        less = {c: F.zip_with(c, F.coalesce(F.col(f"near_{c}"), F.transform(c, lambda v: F.lit(0.0))), lambda a, b: a + b) for c in SUMS}
+        gone = F.col("n") + F.coalesce("near_n", F.lit(0.0))
+    else:
+        less, gone = {c: F.col(c) for c in SUMS}, F.col("n")
+    test = F.struct("n", *SUMS).alias("test")
+    train = met.select("fold", test, (F.col("_n") - gone).alias("n"), *[F.zip_with(f"_{c}", less[c], lambda a, b: a - b).alias(c) for c in SUMS])
+    checked = train.withColumn("n", F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit("a fold leaves no rows to train on")).cast("double")))
+    models = ridge(checked, alphas, ["fold"])
+    kind = rows.schema["fold"].dataType.simpleString()
+
+    def judged(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                s = r.test
+                n, sx, sy, yy = s["n"], np.asarray(s["sx"]), np.asarray(s["sy"]), np.asarray(s["yy"])
+                p, q = len(sx), len(sy)
+                w, b = np.asarray(r.coef).reshape(p, q), np.asarray(r.intercept)
+                mx, my = sx / n, sy / n
+                xx = np.asarray(s["xx"]).reshape(p, p) - n * np.outer(mx, mx)
+                xy = np.asarray(s["xy"]).reshape(p, q) - n * np.outer(mx, my)
+                both, own, whole = (w * xy).sum(0), np.maximum((w * (xx @ w)).sum(0), 0), np.maximum(yy - n * my * my, 0)
+                off = my - mx @ w - b  # mean of what is left
+                flat = (own <= 1e-12 * n) | (whole <= 1e-12 * n)
+                corr = np.where(flat, 0.0, both / np.sqrt(np.where(flat, 1.0, own * whole)))
+                rest = np.maximum(whole - 2 * both + own, 0) + n * off * off
+                fit = np.where(whole > 0, 1 - rest / np.where(whole > 0, whole, 1.0), 0.0)
+                out += [[r.fold, r.alpha, k, float(corr[k]), float(fit[k])] for k in range(q)]
+            yield pd.DataFrame(out, columns=["fold", "alpha", "output", "pearson", "r2"])
+
+    pairs = models.join(own.select("fold", test), "fold")
+    return pairs.select("fold", "alpha", "coef", "intercept", "test").mapInPandas(judged, f"fold {kind}, alpha double, output int, pearson double, r2 double")
+
+
+def cross_validate(rows: DataFrame, alphas: Sequence[float]) -> DataFrame:
+    """rows (fold, lagged, y) -> fold, alpha, score: the mean Pearson over outputs on each held-out fold."""
+    return fold_scores(rows, alphas).groupBy("fold", "alpha").agg(F.avg("pearson").alias("score"))
+
+
+def time_folds(samples: DataFrame, folds: int, blocks: int, key: str = "recording") -> DataFrame:
+    """samples (key, t, ...) with ``fold``: each key's time in equal blocks, and those, in order, in folds (the first ones a block longer)."""
+    if folds > blocks:
+        raise ValueError(f"{folds} folds of {blocks} blocks")
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    at = F.row_number().over(Window.partitionBy(key).orderBy("t")) - 1
+    block = F.floor(at * blocks / n)
+    more = blocks % folds
+    size, edge = blocks // folds, more * (blocks // folds + 1)
+    fold = F.when(block < edge, F.floor(block / (size + 1))).otherwise(more + F.floor((block - edge) / size))
+    return samples.withColumn("fold", fold.cast("int"))
+
+
+def near_rows(rows: DataFrame, gap: int, key: str = "recording") -> DataFrame:
+    """rows (key, t, fold) of other folds within gap samples of a fold's span, once for each such fold."""
+    span = rows.groupBy(key, F.col("fold").alias("_fold")).agg((F.min("t") - gap).alias("_lo"), (F.max("t") + gap).alias("_hi"))
+    met = rows.join(span, key).where((F.col("fold") != F.col("_fold")) & F.col("t").between(F.col("_lo"), F.col("_hi")))
+    return met.withColumn("fold", F.col("_fold")).drop("_fold", "_lo", "_hi")
+
+
+def best_alpha_by_output(scores: DataFrame, score: str = "r2") -> DataFrame:
+    """fold_scores' rows of each output at its own best alpha (highest mean over folds; of equal ones the smallest)."""
+    best = best_alpha(scores.withColumn("score", F.col(score)), ["output"]).select("output", "alpha")
+    return scores.join(best, ["output", "alpha"])
 
 
 def simulated(spark, runs: int, samples: int, kernel: Sequence[float], noise: float = 0.2, seed: int = 1) -> DataFrame:
