@@ -121,16 +121,17 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     return written(n.orderBy(F.desc("n")).limit(HOT_KEYS).select("hot"), "hot")
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, key: str, table_key: str, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, key: str, table_key: str, how: str = "left", hot: DataFrame | None = None, may_broadcast: bool = True) -> DataFrame:
     """Join of rows with a table that has one row a key at most; null keys match null.
 
     The table is broadcast where its checked size allows it.  Beyond that both are shuffled by key, and the rows of hot
     keys are dealt over SALTS copies of their table row by the partition they come from (equal rows too), so that a key
-    with a third of all rows doesn't land in one task.  hot: what ``hot_keys`` gives for rows, where it is known already.
+    with a third of all rows doesn't land in one task.  hot: what ``hot_keys`` gives for rows, where it is known already.  may_broadcast: False where the table grows with the rows.
     """
     met = rows[key].eqNullSafe(table[table_key])
-    if small(table):
+    if may_broadcast and small(table):
         return rows.join(F.broadcast(table), met, how).drop(table[table_key])
+    table = table if may_broadcast else table.hint("merge")  # Spark would broadcast by its own threshold
     taken = rows.columns + table.columns
     hot_key, salt, other = free_name(taken, "hot_key"), free_name(taken, "salt"), free_name(taken, "salt_of")
     hot = hot_keys(rows, key) if hot is None else hot
@@ -141,6 +142,7 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, table_key: str, how
     dealt = dealt.withColumn(salt, F.when(F.col(salt), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0))
     copies = table.join(F.broadcast(hot.withColumnRenamed(salt, other)), table[table_key].eqNullSafe(F.col(hot_key)), "left").drop(hot_key)
     copies = copies.withColumn(other, F.explode(F.when(F.col(other), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    copies = copies if may_broadcast else copies.hint("merge")
     on = dealt[key].eqNullSafe(copies[table_key]) & (F.col(salt) == F.col(other))
     return dealt.join(copies, on, how).drop(copies[table_key]).drop(salt, other)
 

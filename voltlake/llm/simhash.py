@@ -241,8 +241,8 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each component, same columns: the one of the smallest doc_id (of several rows of it, the smallest text hash, once).
 
-    Keepers are found on narrow rows; texts are read again and met with the keepers' keys, which are broadcast only
-    where their size is within the bound.
+    Keepers are found on narrow rows; texts are read again and met with the keepers' keys.  As keepers are as many as
+    documents, these aren't broadcast at any size: documents are shuffled once, and the rows of a very common one are dealt.
     """
     text = text_of(docs)
     key = F.xxhash64("doc_id", text)
@@ -255,7 +255,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     keep = written(keep.join(times, keep["_doc"].eqNullSafe(times["doc_id"]) & (keep["_key"] == times["key"])).select("_doc", "_key", "_times"), "keepers")
     keep = keep.select(F.struct(F.col("_doc").alias("doc"), F.col("_key").alias("key")).alias("_id"), "_times")
     all_ = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.struct(F.col("doc_id").cast("long").alias("doc"), key.alias("key")).alias("id"))
-    met = lookup_join(all_, keep, "id", "_id", "inner")
+    hot = written(keep.where(F.col("_times") > common.HOT_ROWS).orderBy(F.desc("_times")).limit(common.HOT_KEYS).select("_id"), "hot")
+    met = lookup_join(all_, keep, "id", "_id", "inner", hot, may_broadcast=False)
     out = [F.col("_all")[c].alias(c) for c in docs.columns]
     once = met.where("_times = 1").select(*out)
     if keep.where("_times > 1").isEmpty():
