@@ -1,7 +1,8 @@
-"""Filters that are recurrences or whole-series transforms, run in numpy on one series a group.
+"""Filters run in numpy, on blocks of a series where a sample depends on near ones only, else on one series a group.
 
-A group is one channel of one recording (or one band of it): its length is the recording's, so groups are as many as
-there are channels and Spark deals them over tasks.
+``per_block`` deals a series over tasks, however long it is: each block carries as many samples of its neighbours as
+the filter reaches.  Recurrences forget: their reach is where an earlier sample weighs less than rounding.
+``per_series`` holds a whole series (one channel of one recording, or one band of it) for transforms over all of it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from voltlake.functions.scalars import rate_ratio
 
@@ -55,6 +57,66 @@ def per_series(signal: DataFrame, f: Callable[..., np.ndarray], keys: Sequence[s
     return rows.repartition(*names).sortWithinPartitions(*names, "t").mapInPandas(run, schema)
 
 
+#: Samples of a block; the weight below which a recurrence has forgotten a sample.
+BLOCK, FORGOTTEN = 1 << 16, 1e-17
+
+
+def numbered(signal: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """(keys, t, x) with t numbered from 0 in each series by the order of t (null first).  No task sorts a whole series: rows are numbered in ranges of t."""
+    names = list(keys)
+    rows = signal.select(*names, F.floor(F.col("t") / block).alias("_range"), F.col("t").alias("_at"), F.col("x").cast("double").alias("x"))
+    n = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in names], F.col("_range").alias("__range")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*[f"_{k}" for k in names]).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    n = n.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*names, "_range").orderBy("_at")) - 1
+    same = F.col("_range").eqNullSafe(F.col("__range"))
+    for k in names:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.withColumn("_own", own).join(n, same).select(*names, (F.col("_before") + F.col("_own")).alias("t"), "x")
+
+
+def per_block(signal: DataFrame, f: Callable[[np.ndarray], np.ndarray], reach: int, keys: Sequence[str] = ("recording",), up: int = 1, down: int = 1, block: int = BLOCK) -> DataFrame:
+    """What ``per_series`` gives for an f whose samples depend on at most ``reach`` samples to each side, by blocks of a series.
+
+    f turns n samples into ceil(n * up / down).  Memory is a block and its neighbours' samples, not the series.
+    """
+    size, halo = max(block // down, 1) * down, -(-reach // down) * down
+    blocks = F.sequence(F.greatest(F.floor((F.col("t") - halo) / size), F.lit(0)), F.floor((F.col("t") + halo) / size))
+    spread = numbered(signal, keys, size).select(*keys, "t", "x", F.explode(blocks).alias("_block"))
+
+    def one(x: np.ndarray, key: tuple) -> np.ndarray:
+        skip = min(int(key[-1]) * size, halo)
+        own = min(size, len(x) - skip)
+        if own <= 0:  # past the series' end: only a neighbour's samples
+            return np.zeros(0)
+        first = skip * up // down
+        return f(x)[first : first + -(-own * up // down)]
+
+    out = per_series(spread, one, [*keys, "_block"], keyed=True)
+    return out.select(*keys, (F.col("_block") * (size * up // down) + F.col("t")).alias("t"), "x")
+
+
+def rc_reach(tau: float, rate: float) -> int:
+    return math.ceil(-math.log(FORGOTTEN) * tau * rate) + 1
+
+
+def sections_reach(sections: Sequence[tuple[float, ...]]) -> int:
+    """Samples after which the slowest pole of second-order sections has decayed, for each section once, and the padded ends."""
+    slowest = max(float(np.abs(np.roots([1.0, a1, a2])).max()) for *_, a1, a2 in sections)
+    return math.ceil(len(sections) * math.log(FORGOTTEN) / math.log(max(slowest, 1e-3))) + 3 * (2 * len(sections) + 1) + 1
+
+
+def resample_reach(new: float, old: float) -> int:
+    up, down = rate_ratio(new, old)
+    return -(-10 * max(up, down) // up) + 1
+
+
+def resampled(signal: DataFrame, new: float, old: float, keys: Sequence[str] = ("recording",), block: int = BLOCK) -> DataFrame:
+    """``resample`` by blocks."""
+    up, down = rate_ratio(new, old)
+    return per_block(signal, lambda x: resample(x, new, old), resample_reach(new, old), keys, up, down, block)
+
+
 def analytic(x: np.ndarray) -> np.ndarray:
     n = len(x)
     if not n:
@@ -189,7 +251,7 @@ def derivative(signal: DataFrame, mode: str, rate: float, factor: int = 1, keys:
         y = resample(y, rate, rate * k)[: len(x)]
         return np.pad(y, (0, len(x) - len(y)))
 
-    return per_series(signal, f, keys)
+    return per_block(signal, f, 2 * resample_reach(factor, 1) + 1, keys)  # to the higher rate and back, and the difference
 
 
 def gamma_envelope(signal: DataFrame, low: float, high: float, rate: float, smooth: int = 0, rectify: bool = False, keys: Sequence[str] = ("recording", "channel")) -> DataFrame:
@@ -215,7 +277,8 @@ def hilbert_envelope(signal: DataFrame, rate: float, new_rate: float, cut: float
 def rectified_envelope(signal: DataFrame, rate: float, cut: float, new_rate: float, keys: Sequence[str] = ("recording",)) -> DataFrame:
     """Rectified, Butterworth of order 2 without phase, resampled, not below 0."""
     sections = butterworth(2, cut, rate)
-    return per_series(signal, lambda x: np.maximum(resample(zero_phase(np.abs(x), sections), new_rate, rate), 0), keys)
+    smooth = per_block(signal, lambda x: zero_phase(np.abs(x), sections), sections_reach(sections), keys)
+    return resampled(smooth, new_rate, rate, keys).withColumn("x", F.greatest("x", F.lit(0.0)))
 
 
 def band_envelopes(signal: DataFrame, bands: Sequence[tuple[float, float]], rate: float, cut: float, keys: Sequence[str] = ("recording",)) -> DataFrame:
@@ -278,7 +341,12 @@ def intensity_db(signal: DataFrame, rate: float, window: int, keys: Sequence[str
     """Kaiser-weighted local power in dB, the mean removed first."""
     k = np.kaiser(window | 1, 20.0)
     k /= k.sum()
-    return per_series(signal, lambda x: 10 * np.log10(np.maximum(np.convolve((x - x.mean()) ** 2, k, mode="same")[: len(x)], 1e-30)), keys)
+    mean = signal.groupBy(*[F.col(n).alias(f"_{n}") for n in keys]).agg(F.avg("x").alias("_mean"))
+    same = F.lit(True)
+    for n in keys:
+        same = same & F.col(n).eqNullSafe(F.col(f"_{n}"))
+    about = signal.join(mean, same).select(*keys, "t", (F.col("x") - F.col("_mean")).alias("x"))
+    return per_block(about, lambda x: 10 * np.log10(np.maximum(np.convolve(x**2, k, mode="same")[: len(x)], 1e-30)), len(k), keys)
 
 
 def remove_line(signal: DataFrame, freq: float, rate: float, chunk: int, keep: int = 1) -> DataFrame:
@@ -313,8 +381,6 @@ def remove_line(signal: DataFrame, freq: float, rate: float, chunk: int, keep: i
 
 
 def peak_normalised(signal: DataFrame, headroom_db: float = 1.0, keys: Sequence[str] = ("recording",)) -> DataFrame:
-    from pyspark.sql import Window
-
     peak = F.max(F.abs("x")).over(Window.partitionBy(*keys))
     return signal.withColumn("x", F.when(peak > 0, F.col("x") * (10 ** (-headroom_db / 20)) / peak).otherwise(F.col("x")))
 

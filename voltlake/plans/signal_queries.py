@@ -500,7 +500,7 @@ def first_turn(spark, d):
 
 @query()
 def rc_smooth(spark, d):
-    return rounded(D.per_series(sig1(spark, d), lambda x: D.rc_smooth(x, 0.05, 100.0)), "x")
+    return rounded(D.per_block(sig1(spark, d), lambda x: D.rc_smooth(x, 0.05, 100.0), D.rc_reach(0.05, 100.0)), "x")
 
 
 @query()
@@ -520,12 +520,12 @@ def gamma_envelope(spark, d):
 
 @query()
 def highpass(spark, d):
-    return rounded(D.per_series(sig1(spark, d), lambda x: D.highpass(x, 1.0, 100.0)), "x")
+    return rounded(D.per_block(sig1(spark, d), lambda x: D.highpass(x, 1.0, 100.0), 101), "x")
 
 
 @query()
 def resample(spark, d):
-    return rounded(D.per_series(sig1(spark, d), lambda x: D.resample(x, 64.0, 100.0)), "x")
+    return rounded(D.resampled(sig1(spark, d), 64.0, 100.0), "x")
 
 
 @query()
