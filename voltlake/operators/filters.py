@@ -141,12 +141,16 @@ def lowpass_taps(cut: float, rate: float, n: int) -> np.ndarray:
     return h / h.sum()
 
 
+def centred(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """Convolution with the middle tap on each sample, zeros beyond the ends; also where x is shorter than taps."""
+    return np.convolve(x, taps)[len(taps) // 2 : len(taps) // 2 + len(x)] if len(x) else x
+
+
 def fir_zero_phase(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
-    """Centred convolution with edges mirrored, so nothing is delayed."""
+    """Centred convolution with edges mirrored as far as x goes, so nothing is delayed."""
     pad = min(len(taps) // 2, max(len(x) - 1, 0))
     wide = np.pad(x, pad, mode="reflect") if pad else x
-    y = np.convolve(wide, taps, mode="same")
-    return y[pad : pad + len(x)]
+    return centred(wide, taps)[pad : pad + len(x)]
 
 
 def highpass(x: np.ndarray, cut: float, rate: float, n: int = 101) -> np.ndarray:
@@ -346,7 +350,7 @@ def intensity_db(signal: DataFrame, rate: float, window: int, keys: Sequence[str
     for n in keys:
         same = same & F.col(n).eqNullSafe(F.col(f"_{n}"))
     about = signal.join(mean, same).select(*keys, "t", (F.col("x") - F.col("_mean")).alias("x"))
-    return per_block(about, lambda x: 10 * np.log10(np.maximum(np.convolve(x**2, k, mode="same")[: len(x)], 1e-30)), len(k), keys)
+    return per_block(about, lambda x: 10 * np.log10(np.maximum(centred(x**2, k), 1e-30)), len(k), keys)
 
 
 def remove_line(signal: DataFrame, freq: float, rate: float, chunk: int, keep: int = 1) -> DataFrame:
