@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlake.llm import credentials, html_extract, licences, mixing, packing, quality, simhash, suffix_dedup, token_files, vamana
+from voltlake.llm import credentials, divergence, drake, html_extract, licences, mixing, packing, quality, simhash, suffix_dedup, token_files, toxicity, vamana
 from voltlake.llm.common import shared_path
 
 
@@ -59,5 +59,23 @@ def op10_vamana_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vamana.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_html_extract, op3_secret_scan, op4_licence_scan, op5_quality_rules, op6_suffix_dedup, op7_simhash, op8_pack_power_of_two, op9_token_orc, op10_vamana_search)}
-ORACLE: dict[str, str] = {}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_html_extract, op3_secret_scan, op4_licence_scan, op5_quality_rules, op6_suffix_dedup, op7_simhash,
+        op8_pack_power_of_two, op9_token_orc, op10_vamana_search, op11_source_divergence, op12_drake_clusters, op13_toxicity,
+    )
+}
+ORACLE: dict[str, str] = {"op11_source_divergence": divergence.SQL, "op12_drake_clusters": drake.SQL}
