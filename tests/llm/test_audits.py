@@ -233,3 +233,10 @@ def test_equals_sql(spark, name):
     want = con.execute(queries.ORACLE[name])
     columns = [c[0] for c in want.description]
     assert Counter(map(tuple, queries.QUERIES[name](spark, SF).select(*columns).collect())) == Counter(want.fetchall())
+
+
+def test_p_of_many_occurrences(spark):
+    """Beyond what a long product holds."""
+    data = [(0, 1), (8_999_999_999, 10**12), (9_000_000_000, 10**13 + 7), (10**15, 3 * 10**15), (10**18, 10**18)]
+    got = spark.createDataFrame(data, "n long, size long").select("n", "size", divergence._p("n", "size").alias("p")).collect()
+    assert {(r.n, r["size"]): r.p for r in got} == {(n, s): 1 + 10**9 * (n + 1) // s for n, s in data}

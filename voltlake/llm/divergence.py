@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -36,7 +37,9 @@ MIN_DOCS, TOP = 3, 200
 #: Terms, and bytes of them, in the automaton that every worker holds; terms of a block of the others.
 HEAD_TERMS, HEAD_BYTES, BLOCK_TERMS = 200_000, 4 << 20, 200_000
 #: Counts that a task gathers before it passes them on, and pairs it works on at once.
-HELD, PAIRS = 200_000, 1_000_000
+HELD, PAIRS = 600_000, 1_000_000
+#: Rows of an Arrow batch that goes back to Spark.
+SENT = 65_536
 SCALE = 1_000_000_000
 #: Bytes to bytes: letters and all above ASCII stay, capitals are lowered, the others part terms.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -61,6 +64,22 @@ def _batch(schema: pa.Schema, *columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def _counted(schema: pa.Schema, counts: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
+    """Rows of the counts by (lang, source), column by column; clears them.  Columns of the schema beyond those of COUNTS are null."""
+    keys = [(*g, len(c)) for g, c in counts.items() if c]
+    if not keys:
+        return
+    each = np.repeat(np.arange(len(keys)), [k[2] for k in keys])
+    terms = pa.array(t for c in counts.values() for t in c)
+    terms = terms if terms.type == pa.string() else terms.cast(pa.string())
+    columns = [*(pa.array([k[x] for k in keys], pa.string()).take(pa.array(each)) for x in (0, 1)), terms, pa.array((n for c in counts.values() for n in c.values()), pa.int64())]
+    counts.clear()
+    columns += [pa.nulls(len(each), f.type) for f in list(schema)[4:]]
+    whole = pa.RecordBatch.from_arrays(columns, schema=schema)
+    for at in range(0, len(each), SENT):
+        yield whole.slice(at, SENT)
+
+
 def _schema(*fields: tuple[str, pa.DataType]) -> pa.Schema:
     return pa.schema(list(fields))
 
@@ -73,26 +92,22 @@ _MET = _schema(*((c, pa.int64()) for c in ("a", "b", "value", "n")))
 def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents a term (source null), and each group once a task (term null)."""
     groups: set[tuple] = set()
-    docs: dict[str, Counter] = defaultdict(Counter)
-
-    def out() -> pa.RecordBatch:
-        rows = [(lang, None, t.decode("utf-8", "replace"), n) for lang, c in docs.items() for t, n in c.items()]
-        docs.clear()
-        return _batch(_COUNTS, *map(list, zip(*rows)))
-
+    docs: dict[tuple, Counter] = defaultdict(Counter)
     for batch in batches:
         for lang, source, text in _rows(batch):
             groups.add((lang, source))
-            docs[lang].update(set(terms_of(text)))
+            docs[lang, None].update(set(terms_of(text)))
         if sum(map(len, docs.values())) > HELD:
-            yield out()
-    if any(docs.values()):
-        yield out()
+            yield from _counted(_COUNTS, docs)
+    yield from _counted(_COUNTS, docs)
     if groups:
         yield _batch(_COUNTS, [g[0] for g in groups], [g[1] for g in groups], [None] * len(groups), [0] * len(groups))
     give_back()
 
 
+_FOUND = itemgetter(1)
+
+
 def automaton(terms: list[str]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for t in terms:
@@ -102,7 +117,7 @@ def automaton(terms: list[str]) -> ahocorasick.Automaton:
 
 
 def _add_matches(counts: Counter, a: ahocorasick.Automaton, words: list[bytes]) -> None:
-    counts.update(t for _, t in a.iter(f" {b' '.join(words).decode('utf-8', 'replace')} "))
+    counts.update(map(_FOUND, a.iter(f" {b' '.join(words).decode('utf-8', 'replace')} ")))
 
 
 _automata: dict[int, dict[str, tuple]] = {}
@@ -117,12 +132,6 @@ def _scan(head: Broadcast, blocks: int):
             _automata[head.value["id"]] = {lang: (automaton(terms), {t.encode() for t in terms}) for lang, terms in head.value["terms"].items()}
         known = _automata[head.value["id"]]
         counts: dict[tuple, Counter] = defaultdict(Counter)
-
-        def out() -> pa.RecordBatch:
-            rows = [(*g, t, n, None, None) for g, c in counts.items() for t, n in c.items()]
-            counts.clear()
-            return _batch(_SCANNED, *map(list, zip(*rows)))
-
         for batch in batches:
             rest: dict[tuple, list] = defaultdict(list)
             for lang, source, text in _rows(batch):
@@ -131,17 +140,15 @@ def _scan(head: Broadcast, blocks: int):
                 if a is not None:
                     _add_matches(counts[lang, source], a, words)
                 if blocks:
-                    for w in words:
-                        if w not in inside:
-                            rest[lang, source, zlib.crc32(w) % blocks].append(w)
+                    for w in [w for w in words if w not in inside]:
+                        rest[lang, source, zlib.crc32(w) % blocks].append(w)
             if rest:
                 keys = list(rest)
                 none = [None] * len(keys)
                 yield _batch(_SCANNED, [k[0] for k in keys], [k[1] for k in keys], none, none, [k[2] for k in keys], [b" ".join(rest[k]).decode("utf-8", "replace") for k in keys])
             if sum(map(len, counts.values())) > HELD:
-                yield out()
-        if any(counts.values()):
-            yield out()
+                yield from _counted(_SCANNED, counts)
+        yield from _counted(_SCANNED, counts)
         give_back()
 
     return run
@@ -151,12 +158,6 @@ def _scan_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block, a block's terms (source null) before its lines: occurrences of the block's terms."""
     at, terms, automata = None, defaultdict(list), {}
     counts: dict[tuple, Counter] = defaultdict(Counter)
-
-    def out() -> pa.RecordBatch:
-        rows = [(*g, t, n) for g, c in counts.items() for t, n in c.items()]
-        counts.clear()
-        return _batch(_COUNTS, *map(list, zip(*rows)))
-
     for batch in batches:
         for block, lang, source, line in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "source", "line"))):
             if block != at:
@@ -168,9 +169,8 @@ def _scan_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     automata[lang] = automaton(terms[lang])
                 _add_matches(counts[lang, source], automata[lang], [line.encode()])
         if sum(map(len, counts.values())) > HELD:
-            yield out()
-    if any(counts.values()):
-        yield out()
+            yield from _counted(_COUNTS, counts)
+    yield from _counted(_COUNTS, counts)
     give_back()
 
 
@@ -206,7 +206,8 @@ def occurrences(docs: DataFrame, min_docs: int = MIN_DOCS, head_terms: int = HEA
 
 
 def _p(n: str, total: str) -> F.Column:
-    return F.expr(f"1 + ((cast({n} as decimal(20, 0)) + 1) * {SCALE}) div cast({total} as decimal(20, 0))")
+    """1 + floor(SCALE (n + 1) / total): in longs, and where the product needs more digits in decimals."""
+    return F.expr(f"1 + CASE WHEN {n} < 9000000000 THEN ((cast({n} as long) + 1) * {SCALE}) div {total} ELSE ((cast({n} as decimal(20, 0)) + 1) * {SCALE}) div cast({total} as decimal(20, 0)) END")
 
 
 def _f(p: F.Column, q: F.Column) -> F.Column:
