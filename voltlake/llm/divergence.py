@@ -35,7 +35,7 @@ from voltlake.llm.common import give_back, lookup_join, text_of, with_index, wri
 #: Documents of its language that a kept term is in, and ranks that the part ``term`` gives.
 MIN_DOCS, TOP = 3, 200
 #: Terms, and bytes of them, in the automaton that every worker holds; terms of a block of the others.
-HEAD_TERMS, HEAD_BYTES, BLOCK_TERMS = 200_000, 4 << 20, 200_000
+HEAD_TERMS, HEAD_BYTES, BLOCK_TERMS = 20_000, 4 << 20, 20_000
 #: Counts that a task gathers before it passes them on, and pairs it works on at once.
 HELD, PAIRS = 600_000, 1_000_000
 #: Rows of an Arrow batch that goes back to Spark.
