@@ -17,83 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from voltlake.functions.scalars import rate_ratio
+from voltlake.operators.blocks import BLOCK, numbered, per_block, per_series  # noqa: F401
+from voltlake.operators.recursive import System, both_ways, butterworth, low_passed, padding
 
 
-def per_series(signal: DataFrame, f: Callable[..., np.ndarray], keys: Sequence[str] = ("recording",), keyed: bool = False) -> DataFrame:
-    """f on each series in the order of t (keyed: f(x, key)); the result may have another length.
-
-    Series are dealt by key and sorted, and a task streams through them: many short ones share a batch, a long one is
-    held until its end.
-    """
-    names = list(keys)
-    schema = ", ".join([*[f"{k} {signal.schema[k].dataType.simpleString()}" for k in names], "t long, x double"])
-
-    def done(pdf: pd.DataFrame) -> pd.DataFrame:
-        group = pdf.groupby(names, dropna=False, sort=False).ngroup().to_numpy()
-        cut = np.concatenate([[0], np.nonzero(np.diff(group))[0] + 1, [len(pdf)]])
-        x, heads = pdf["x"].to_numpy(float), pdf[names].iloc[cut[:-1]]
-        of = heads.itertuples(index=False, name=None)
-        out = [np.asarray(f(x[p:q], k) if keyed else f(x[p:q]), float) for p, q, k in zip(cut[:-1], cut[1:], of, strict=True)]
-        lens = [len(y) for y in out]
-        got = heads.loc[heads.index.repeat(lens)].reset_index(drop=True)
-        return got.assign(t=np.concatenate([np.arange(n) for n in lens]), x=np.concatenate(out))[[*names, "t", "x"]]
-
-    def run(batches):
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            group = pdf.groupby(names, dropna=False, sort=False).ngroup().to_numpy()
-            last = int(np.argmax(group == group[-1]))
-            if last or (held and not pdf[names].iloc[[0]].reset_index(drop=True).equals(held[-1][names].iloc[[-1]].reset_index(drop=True))):
-                ready = pd.concat([*held, pdf.iloc[:last]], ignore_index=True)
-                held = []
-                yield done(ready)
-            held.append(pdf.iloc[last:])
-        if held:
-            yield done(pd.concat(held, ignore_index=True))
-
-    rows = signal.select(*names, "t", F.col("x").cast("double").alias("x"))
-    return rows.repartition(*names).sortWithinPartitions(*names, "t").mapInPandas(run, schema)
-
-
-#: Samples of a block; the weight below which a recurrence has forgotten a sample.
-BLOCK, FORGOTTEN = 1 << 16, 1e-17
-
-
-def numbered(signal: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
-    """(keys, t, x) with t numbered from 0 in each series by the order of t (null first).  No task sorts a whole series: rows are numbered in ranges of t."""
-    names = list(keys)
-    rows = signal.select(*names, F.floor(F.col("t") / block).alias("_range"), F.col("t").alias("_at"), F.col("x").cast("double").alias("x"))
-    n = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in names], F.col("_range").alias("__range")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*[f"_{k}" for k in names]).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    n = n.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
-    own = F.row_number().over(Window.partitionBy(*names, "_range").orderBy("_at")) - 1
-    same = F.col("_range").eqNullSafe(F.col("__range"))
-    for k in names:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return rows.withColumn("_own", own).join(n, same).select(*names, (F.col("_before") + F.col("_own")).alias("t"), "x")
-
-
-def per_block(signal: DataFrame, f: Callable[[np.ndarray], np.ndarray], reach: int, keys: Sequence[str] = ("recording",), up: int = 1, down: int = 1, block: int = BLOCK) -> DataFrame:
-    """What ``per_series`` gives for an f whose samples depend on at most ``reach`` samples to each side, by blocks of a series.
-
-    f turns n samples into ceil(n * up / down).  Memory is a block and its neighbours' samples, not the series.
-    """
-    size, halo = max(block // down, 1) * down, -(-reach // down) * down
-    blocks = F.sequence(F.greatest(F.floor((F.col("t") - halo) / size), F.lit(0)), F.floor((F.col("t") + halo) / size))
-    spread = numbered(signal, keys, size).select(*keys, "t", "x", F.explode(blocks).alias("_block"))
-
-    def one(x: np.ndarray, key: tuple) -> np.ndarray:
-        skip = min(int(key[-1]) * size, halo)
-        own = min(size, len(x) - skip)
-        if own <= 0:  # past the series' end: only a neighbour's samples
-            return np.zeros(0)
-        first = skip * up // down
-        return f(x)[first : first + -(-own * up // down)]
-
-    out = per_series(spread, one, [*keys, "_block"], keyed=True)
-    return out.select(*keys, (F.col("_block") * (size * up // down) + F.col("t")).alias("t"), "x")
+#: The weight below which a recurrence has forgotten a sample.
+FORGOTTEN = 1e-17
 
 
 def rc_reach(tau: float, rate: float) -> int:
@@ -161,46 +90,15 @@ def bandpass(x: np.ndarray, low: float, high: float, rate: float, n: int = 101)
     return fir_zero_phase(x, lowpass_taps(high, rate, n) - lowpass_taps(low, rate, n))
 
 
-def butterworth(order: int, cut: float, rate: float, high: bool = False) -> list[tuple[float, ...]]:
-    """Second-order sections (b0, b1, b2, a1, a2) of a Butterworth low- or high-pass, by the bilinear transform."""
-    w = math.tan(math.pi * cut / rate)
-    sections = []
-    for k in range(order // 2):
-        q = 2 * math.sin(math.pi * (2 * k + 1) / (2 * order))
-        a0 = 1 + q * w + w * w
-        b = (1 / a0, -2 / a0, 1 / a0) if high else (w * w / a0, 2 * w * w / a0, w * w / a0)
-        sections.append((*b, 2 * (w * w - 1) / a0, (1 - q * w + w * w) / a0))
-    if order % 2:
-        a0 = 1 + w
-        b = (1 / a0, -1 / a0, 0.0) if high else (w / a0, w / a0, 0.0)
-        sections.append((*b, (w - 1) / a0, 0.0))
-    return sections
-
-
 def run_sections(x: np.ndarray, sections: Sequence[tuple[float, ...]]) -> np.ndarray:
-    """The recurrence, section after section, starting from the steady state of the first value."""
-    for b0, b1, b2, a1, a2 in sections:
-        gain = (b0 + b1 + b2) / (1 + a1 + a2)
-        first = x[0] if len(x) else 0.0
-        z2 = first * (b2 - a2 * gain)
-        z1 = first * (b1 - a1 * gain) + z2
-        y = np.empty(len(x))
-        for k, v in enumerate(x.tolist()):
-            out = b0 * v + z1
-            z1 = b1 * v - a1 * out + z2
-            z2 = b2 * v - a2 * out
-            y[k] = out
-        x = y
-    return x
+    """The sections one after the other, starting from the steady state of the first value."""
+    system = System.of_sections(sections)
+    return system.run(x, system.steady() * x[0])[0] if len(x) else x
 
 
 def zero_phase(x: np.ndarray, sections: Sequence[tuple[float, ...]]) -> np.ndarray:
     """Forward and backward with the ends continued oddly."""
-    if len(x) < 2:
-        return x
-    pad = min(3 * (2 * len(sections) + 1), len(x) - 1)
-    wide = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    return run_sections(run_sections(wide, sections)[::-1], sections)[::-1][pad : pad + len(x)]
+    return both_ways(x, System.of_sections(sections), padding(sections))
 
 
 def resample(x: np.ndarray, new: float, old: float) -> np.ndarray:
@@ -228,16 +126,7 @@ def fft_resample(x: np.ndarray, new: float, old: float) -> np.ndarray:
 
 def rc_smooth(x: np.ndarray, tau: float, rate: float) -> np.ndarray:
     """First-order low-pass forward, then backward."""
-    r = math.exp(-1 / (tau * rate))
-
-    def once(v: np.ndarray) -> np.ndarray:
-        out, last = np.empty(len(v)), 0.0
-        for k, u in enumerate(v.tolist()):
-            last = (1 - r) * u + r * last
-            out[k] = last
-        return out
-
-    return once(once(x)[::-1])[::-1]
+    return both_ways(x, System.of_rc(tau, rate), steady=False)
 
 
 def derivative(signal: DataFrame, mode: str, rate: float, factor: int = 1, keys: Sequence[str] = ("recording",)) -> DataFrame:
@@ -280,8 +169,7 @@ def hilbert_envelope(signal: DataFrame, rate: float, new_rate: float, cut: float
 
 def rectified_envelope(signal: DataFrame, rate: float, cut: float, new_rate: float, keys: Sequence[str] = ("recording",)) -> DataFrame:
     """Rectified, Butterworth of order 2 without phase, resampled, not below 0."""
-    sections = butterworth(2, cut, rate)
-    smooth = per_block(signal, lambda x: zero_phase(np.abs(x), sections), sections_reach(sections), keys)
+    smooth = low_passed(signal.withColumn("x", F.abs("x")), cut, rate, 2, keys)
     return resampled(smooth, new_rate, rate, keys).withColumn("x", F.greatest("x", F.lit(0.0)))
 
 

@@ -9,6 +9,7 @@ from voltlake.operators import alignment as A
 from voltlake.operators import channels as C
 from voltlake.operators import encoding as E
 from voltlake.operators import filters as D
+from voltlake.operators import recursive as R
 from voltlake.operators import series as X
 from voltlake.operators import spectral as P
 from voltlake.plans.testbed import coded, mark, query, sig1, sign, table
@@ -498,9 +499,45 @@ def first_turn(spark, d):
 # ---- rows only: recurrences and whole-series transforms; tests compare them with numpy
 
 
-@query()
+#: A recurrence over all recordings at once: step k takes the k-th sample of each.
+_LENGTH = "SELECT recording, max(t) AS last FROM sig1 GROUP BY recording"
+
+
+@query(
+    "SELECT recording, t, round(y, 6) AS x FROM back",
+    r="SELECT exp(-1 / 5.0) AS r",
+    n=_LENGTH,
+    ahead="SELECT recording, t, (1 - r) * x AS y FROM sig1, r WHERE t = 0 UNION ALL SELECT a.recording, s.t, (1 - r) * s.x + r * a.y FROM r, ahead a JOIN sig1 s ON s.recording = a.recording AND s.t = a.t + 1",
+    back="SELECT a.recording, a.t, (1 - r) * a.y AS y FROM r, ahead a JOIN n ON n.recording = a.recording AND a.t = n.last UNION ALL SELECT b.recording, a.t, (1 - r) * a.y + r * b.y FROM r, back b JOIN ahead a ON a.recording = b.recording AND a.t = b.t - 1",
+)
 def rc_smooth(spark, d):
-    return rounded(D.per_block(sig1(spark, d), lambda x: D.rc_smooth(x, 0.05, 100.0), D.rc_reach(0.05, 100.0)), "x")
+    return rounded(R.rc_smoothed(sig1(spark, d), 0.05, 100.0), "x")
+
+
+# 9 samples beyond each end, then y = b x - b x(-2) - a1 y(-1) - a2 y(-2) from the steady state of the end's value (z1 = z2 = -b x)
+_STEP = "b * {x} + {f}.z1 AS y, -a1 * (b * {x} + {f}.z1) + {f}.z2 AS z1, -b * {x} - a2 * (b * {x} + {f}.z1) AS z2"
+_FIRST = "b * {x} - b * {x} AS y, -a1 * (b * {x} - b * {x}) - b * {x} AS z1, -b * {x} - a2 * (b * {x} - b * {x}) AS z2"
+
+
+@query(
+    "SELECT recording, t, round(y, 6) AS x FROM back JOIN n USING (recording) WHERE t BETWEEN 0 AND last UNION SELECT recording, t, round(x, 6) AS x FROM sig1 JOIN n USING (recording) WHERE last = 0",
+    w="SELECT tan(pi() * 5 / 100) AS w1, tan(pi() * 20 / 100) AS w2",
+    k="SELECT (w2 - w1) / (1 + w2 - w1 + w1 * w2) AS b, 2 * (w1 * w2 - 1) / (1 + w2 - w1 + w1 * w2) AS a1, (1 - w2 + w1 + w1 * w2) / (1 + w2 - w1 + w1 * w2) AS a2 FROM w",
+    n=_LENGTH,
+    wide="SELECT recording, t, x FROM sig1 UNION SELECT s.recording, -s.t, 2 * e.x - s.x FROM sig1 s JOIN sig1 e ON e.recording = s.recording AND e.t = 0 AND s.t BETWEEN 1 AND 9 "
+    "UNION SELECT s.recording, 2 * last - s.t, 2 * e.x - s.x FROM sig1 s JOIN n ON n.recording = s.recording JOIN sig1 e ON e.recording = s.recording AND e.t = last AND s.t BETWEEN last - 9 AND last - 1",
+    ahead=f"SELECT v.recording, v.t, {_FIRST.format(x='v.x')} FROM k, wide v JOIN n ON n.recording = v.recording AND last > 0 AND v.t = -least(9, last) UNION ALL SELECT v.recording, v.t, {_STEP.format(x='v.x', f='f')} FROM k, ahead f JOIN wide v ON v.recording = f.recording AND v.t = f.t + 1",
+    back=f"SELECT v.recording, v.t, {_FIRST.format(x='v.y')} FROM k, ahead v JOIN n ON n.recording = v.recording AND v.t = last + least(9, last) UNION ALL SELECT v.recording, v.t, {_STEP.format(x='v.y', f='f')} FROM k, back f JOIN ahead v ON v.recording = f.recording AND v.t = f.t - 1",
+)
+def band_pass_first_order(spark, d):
+    """Forward and backward Butterworth band-pass of 5 to 20 Hz, one section."""
+    return rounded(R.band_passed(sig1(spark, d), 5.0, 20.0, 100.0, 1), "x")
+
+
+@query()
+def band_pass(spark, d):
+    """The same of order 4, as envelopes of bands use it."""
+    return rounded(R.band_passed(sig1(spark, d), 8.0, 30.0, 100.0, 4), "x")
 
 
 @query()
