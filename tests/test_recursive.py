@@ -108,15 +108,14 @@ def test_blocks_equal_recurrence(spark, rows, name):
         np.testing.assert_allclose([got[key][t] for t in range(len(x))], want(x), rtol=0, atol=1e-9)
 
 
-class Limited(R.System):
-    """Refuses a stretch of more than two blocks and the ends' continuation."""
-
-    def run(self, x, state=None):
-        assert len(x) <= 2 * 100 + 2 * 27, len(x)
-        return super().run(x, state)
+def test_tasks_hold_blocks_only(spark, rows):
+    class Limited(R.System):  # defined here, so that it reaches the workers by value
+        """Refuses a stretch of more than two blocks and the ends' continuation."""
 
+        def run(self, x, state=None):
+            assert len(x) <= 2 * 100 + 2 * 27, len(x)
+            return R.System.run(self, x, state)
 
-def test_tasks_hold_blocks_only(spark, rows):
     s = spark.createDataFrame(rows, "recording string, t long, x double")
     system = Limited.of_sections(DESIGNS["band 4"])
     assert R.recursive(s, system, pad=27, block=100).count() == len(rows)
