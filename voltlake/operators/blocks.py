@@ -81,10 +81,10 @@ def numbered(signal: DataFrame, keys: Sequence[str], block: int = BLOCK, count:
     return rows.withColumn("_own", own).join(n, same).select(*names, (F.col("_before") + F.col("_own")).alias("t"), "x", *([F.col("_whole").alias("_n")] if count else []))
 
 
-def per_block(signal: DataFrame, f: Callable[[np.ndarray], np.ndarray], reach: int, keys: Sequence[str] = ("recording",), up: int = 1, down: int = 1, block: int = BLOCK) -> DataFrame:
+def per_block(signal: DataFrame, f: Callable[..., np.ndarray], reach: int, keys: Sequence[str] = ("recording",), up: int = 1, down: int = 1, block: int = BLOCK, keyed: bool = False) -> DataFrame:
     """What ``per_series`` gives for an f whose samples depend on at most ``reach`` samples to each side, by blocks of a series.
 
-    f turns n samples into ceil(n * up / down).  Memory is a block and its neighbours' samples, not the series.
+    f turns n samples into ceil(n * up / down); keyed: f(x, key).  Memory is a block and its neighbours' samples, not the series.
     """
     size, halo = max(block // down, 1) * down, -(-reach // down) * down
     blocks = F.sequence(F.greatest(F.floor((F.col("t") - halo) / size), F.lit(0)), F.floor((F.col("t") + halo) / size))
@@ -96,7 +96,7 @@ def per_block(signal: DataFrame, f: Callable[[np.ndarray], np.ndarray], reach: i
         if own <= 0:  # past the series' end: only a neighbour's samples
             return np.zeros(0)
         first = skip * up // down
-        return f(x)[first : first + -(-own * up // down)]
+        return (f(x, key[:-1]) if keyed else f(x))[first : first + -(-own * up // down)]
 
     out = per_series(spread, one, [*keys, "_block"], keyed=True)
     return out.select(*keys, (F.col("_block") * (size * up // down) + F.col("t")).alias("t"), "x")

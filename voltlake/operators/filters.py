@@ -18,6 +18,7 @@ from pyspark.sql import Window
 
 from voltlake.functions.scalars import rate_ratio
 from voltlake.operators.blocks import BLOCK, numbered, per_block, per_series  # noqa: F401
+from voltlake.operators.fourier import WHOLE, by_length, envelope_rows
 from voltlake.operators.recursive import System, both_ways, butterworth, low_passed, padding
 
 
@@ -120,6 +121,8 @@ def fft_resample(x: np.ndarray, new: float, old: float) -> np.ndarray:
     if abs(new - old) < 1e-6 or not len(x):
         return x
     n = int(round(len(x) * new / old))
+    if not n:
+        return x[:0]
     spectrum = np.fft.rfft(x)
     return np.fft.irfft(spectrum[: n // 2 + 1] if n < len(x) else np.pad(spectrum, (0, n // 2 + 1 - len(spectrum))), n) * n / len(x)
 
@@ -147,24 +150,88 @@ def derivative(signal: DataFrame, mode: str, rate: float, factor: int = 1, keys:
     return per_block(signal, f, 2 * resample_reach(factor, 1) + 1, keys)  # to the higher rate and back, and the difference
 
 
-def gamma_envelope(signal: DataFrame, low: float, high: float, rate: float, smooth: int = 0, rectify: bool = False, keys: Sequence[str] = ("recording", "channel")) -> DataFrame:
-    """Band-pass, then magnitude (or rectified), then an optional moving average; channel names get a suffix."""
+def moving_average(x: np.ndarray, smooth: int) -> np.ndarray:
+    return np.convolve(x, np.ones(smooth) / smooth, mode="same")[: len(x)] if smooth > 1 and len(x) >= smooth else x
+
+
+def gamma_envelope(signal: DataFrame, low: float, high: float, rate: float, smooth: int = 0, rectify: bool = False, keys: Sequence[str] = ("recording", "channel"), whole: int = WHOLE) -> DataFrame:
+    """Band-pass, then magnitude (or rectified), then an optional moving average; channel names get a suffix.
+
+    Series of over ``whole`` samples go by blocks and by a transform in two passes.
+    """
+
     def f(x: np.ndarray) -> np.ndarray:
         y = bandpass(x, low, high, rate)
-        y = np.abs(y) if rectify else envelope(y)
-        return np.convolve(y, np.ones(smooth) / smooth, mode="same")[: len(y)] if smooth > 1 and len(y) >= smooth else y
-
-    out = per_series(signal, f, keys)
+        return moving_average(np.abs(y) if rectify else envelope(y), smooth)
+
+    short, long = by_length(signal, keys, whole)
+    out = per_series(short, f, keys)
+    if long is not None:
+        y = per_block(long, lambda x: bandpass(x, low, high, rate), 101, keys)
+        y = y.withColumn("x", F.abs("x")) if rectify else envelope_rows(y, keys, whole)
+        out = out.unionByName(per_block(y, lambda x: moving_average(x, smooth), smooth, keys) if smooth > 1 else y)
     return out.withColumn("channel", F.concat("channel", F.lit("_HFAenv"))) if "channel" in keys else out
 
 
-def hilbert_envelope(signal: DataFrame, rate: float, new_rate: float, cut: float | None = None, power: float = 1.0, keys: Sequence[str] = ("recording",)) -> DataFrame:
+def hilbert_envelope(signal: DataFrame, rate: float, new_rate: float, cut: float | None = None, power: float = 1.0, keys: Sequence[str] = ("recording",), whole: int = WHOLE) -> DataFrame:
+    """The analytic signal's magnitude to a power, an optional low-pass, the new rate; long series as in ``gamma_envelope``."""
+    taps = lowpass_taps(cut, rate, 101) if cut else None
+
     def f(x: np.ndarray) -> np.ndarray:
         y = envelope(x) ** power
-        y = fir_zero_phase(y, lowpass_taps(cut, rate, 101)) if cut else y
-        return resample(y, new_rate, rate)
+        return resample(fir_zero_phase(y, taps) if cut else y, new_rate, rate)
+
+    short, long = by_length(signal, keys, whole)
+    out = per_series(short, f, keys)
+    if long is None:
+        return out
+    y = envelope_rows(long, keys, whole).withColumn("x", F.pow("x", F.lit(power)))
+    y = per_block(y, lambda x: fir_zero_phase(x, taps), 101, keys) if cut else y
+    return out.unionByName(resampled(y, new_rate, rate, keys))
 
-    return per_series(signal, f, keys)
+
+def speech_envelope(signal: DataFrame, rate: float, new_rate: float, cut: float, order: int = 4, keys: Sequence[str] = ("recording",), whole: int = WHOLE) -> DataFrame:
+    """The mean removed, analytic magnitude, zero-phase Butterworth low-pass, the new rate: one channel's envelope as an encoding model takes it."""
+    if not 0 < cut < rate / 2 or new_rate <= 0:
+        raise ValueError(f"the cut {cut} must lie between 0 and {rate / 2}, the new rate {new_rate} above 0")
+    sections = butterworth(order, cut, rate)
+
+    def f(x: np.ndarray) -> np.ndarray:
+        return resample(zero_phase(envelope(x - x.mean()), sections), new_rate, rate)
+
+    short, long = by_length(signal, keys, whole)
+    out = per_series(short, f, keys)
+    if long is None:
+        return out
+    mean = long.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.avg("x").alias("_mean"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    about = long.join(mean, same).select(*keys, "t", (F.col("x") - F.col("_mean")).alias("x"))
+    y = low_passed(envelope_rows(about, keys, whole), cut, rate, order, keys)
+    return out.unionByName(resampled(y, new_rate, rate, keys))
+
+
+def channel_envelopes(audio: DataFrame, mode: str, rate: float, new_rate: float, cut: float, keys: Sequence[str] = ("recording",)) -> DataFrame:
+    """(keys, feature, t, x) of audio (keys, channel numbered from 0, t, x): mean, self (channel 0), other (channel 1) or all three.
+
+    A recording without the channel that the mode needs raises.
+    """
+    if mode not in ("mean", "self", "other", "all"):
+        raise ValueError(mode)
+    names = list(keys)
+    if mode in ("other", "all"):
+        least = F.max(F.when(F.col("channel") == 1, 1).otherwise(0))
+        missing = audio.groupBy(*names).agg(least.alias("has")).where("has = 0").limit(1).collect()
+        if missing:
+            raise ValueError(f"mode {mode} needs two channels: {missing[0]}")
+    mixed = audio.groupBy(*names, "t").agg(F.avg("x").alias("x")).withColumn("feature", F.lit("mean"))
+    one = {n: audio.where(F.col("channel") == c).select(*names, "t", "x", F.lit(n).alias("feature")) for n, c in (("self", 0), ("other", 1))}
+    parts = {"mean": [mixed], "self": [one["self"]], "other": [one["other"]], "all": [mixed, one["self"], one["other"]]}[mode]
+    rows = parts[0].select(*names, "feature", "t", "x")
+    for p in parts[1:]:
+        rows = rows.unionByName(p.select(*names, "feature", "t", "x"))
+    return speech_envelope(rows, rate, new_rate, cut, 4, [*names, "feature"])
 
 
 def rectified_envelope(signal: DataFrame, rate: float, cut: float, new_rate: float, keys: Sequence[str] = ("recording",)) -> DataFrame:
@@ -173,17 +240,25 @@ def rectified_envelope(signal: DataFrame, rate: float, cut: float, new_rate: flo
     return resampled(smooth, new_rate, rate, keys).withColumn("x", F.greatest("x", F.lit(0.0)))
 
 
-def band_envelopes(signal: DataFrame, bands: Sequence[tuple[float, float]], rate: float, cut: float, keys: Sequence[str] = ("recording",)) -> DataFrame:
+def band_envelopes(signal: DataFrame, bands: Sequence[tuple[float, float]], rate: float, cut: float, keys: Sequence[str] = ("recording",), whole: int = WHOLE) -> DataFrame:
     """(keys, band, t, x): each band's envelope after a low-pass, not below 0.  A group is one band of one series."""
     numbers = F.array(*[F.lit(k) for k in range(len(bands))])
     spread = signal.select(*keys, "t", "x", F.explode(numbers).alias("band"))  # a fixed list of bands
-    sections = butterworth(2, cut, rate)
+    sections, by = butterworth(2, cut, rate), [*keys, "band"]
+
+    def passed(x: np.ndarray, key: tuple) -> np.ndarray:
+        return bandpass(x, *bands[key[-1]], rate)
 
     def one(x: np.ndarray, key: tuple) -> np.ndarray:
-        low, high = bands[key[-1]]
-        return np.maximum(zero_phase(envelope(bandpass(x, low, high, rate)), sections), 0)
+        return np.maximum(zero_phase(envelope(passed(x, key)), sections), 0)
 
-    return per_series(spread, one, [*keys, "band"], keyed=True)
+    short, long = by_length(spread, by, whole)
+    out = per_series(short, one, by, keyed=True)
+    if long is None:
+        return out
+    y = envelope_rows(per_block(long, passed, 101, by, keyed=True), by, whole)
+    y = low_passed(y, cut, rate, 2, by).withColumn("x", F.greatest("x", F.lit(0.0)))
+    return out.unionByName(y)
 
 
 def modulations(bands: DataFrame, rates: Sequence[float], scales: Sequence[float], frame_rate: float, keys: Sequence[str] = ("recording",)) -> DataFrame:
@@ -287,5 +362,5 @@ def register_feature(name: str, f: Callable[..., DataFrame]) -> None:
     FEATURES[name] = f
 
 
-for _name, _f in {"hilbert_envelope": hilbert_envelope, "rectified_envelope": rectified_envelope, "band_envelopes": band_envelopes, "modulations": modulations, "loudness": loudness, "intensity_db": intensity_db, "gamma_envelope": gamma_envelope}.items():
+for _name, _f in {"hilbert_envelope": hilbert_envelope, "rectified_envelope": rectified_envelope, "band_envelopes": band_envelopes, "modulations": modulations, "loudness": loudness, "intensity_db": intensity_db, "gamma_envelope": gamma_envelope, "speech_envelope": speech_envelope}.items():
     register_feature(_name, _f)

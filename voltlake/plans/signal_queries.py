@@ -9,6 +9,7 @@ from voltlake.operators import alignment as A
 from voltlake.operators import channels as C
 from voltlake.operators import encoding as E
 from voltlake.operators import filters as D
+from voltlake.operators import fourier as U
 from voltlake.operators import recursive as R
 from voltlake.operators import series as X
 from voltlake.operators import spectral as P
@@ -567,7 +568,25 @@ def resample(spark, d):
 
 @query()
 def fft_resample(spark, d):
-    return rounded(D.per_series(sig1(spark, d), lambda x: D.fft_resample(x, 50.0, 100.0)), "x")
+    return rounded(U.fourier_resampled(sig1(spark, d), 50.0, 100.0), "x")
+
+
+@query()
+def channel_envelopes(spark, d):
+    """Two channels a recording (codes 1 and 2 of the events, by sample), their envelopes and that of their mean."""
+    two = sign(spark, d).where("contact <= 2").select("recording", (F.col("contact") - 1).alias("channel"), "t", "x")
+    full = two.where("channel = 1").select("recording").distinct()
+    return rounded(D.channel_envelopes(two.join(full, "recording"), "all", 100.0, 50.0, 8.0), "x")
+
+
+@query(
+    "SELECT s.recording, s.t, round(sum(r.x * CASE WHEN (s.t - r.t) % 2 = 0 THEN 0 WHEN n % 2 = 0 THEN 2 * cos(pi() * (s.t - r.t) / n) / sin(pi() * (s.t - r.t) / n) / n ELSE (cos(pi() * (s.t - r.t) / n) + 1) / sin(pi() * (s.t - r.t) / n) / n END "
+    "+ r.x * CASE WHEN n % 2 = 1 AND s.t <> r.t AND (s.t - r.t) % 2 = 0 THEN (cos(pi() * (s.t - r.t) / n) - 1) / sin(pi() * (s.t - r.t) / n) / n ELSE 0 END), 6) + 0.0 AS x FROM sig1 s JOIN sig1 r ON r.recording = s.recording JOIN m ON m.recording = s.recording GROUP BY s.recording, s.t",
+    m="SELECT recording, count(*) AS n FROM sig1 GROUP BY recording",
+)
+def analytic_part(spark, d):
+    """The imaginary part of the analytic signal; in SQL the sum with its kernel, a cotangent."""
+    return U.analytic_rows(sig1(spark, d)).select("recording", "t", (F.round("im", 6) + 0.0).alias("x"))
 
 
 @query()

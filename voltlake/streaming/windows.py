@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltlake.storage import shared_folder  # noqa: F401
+
 LATE = "10 minutes"
 
 
@@ -66,12 +68,3 @@ def run_to_latest(stream: DataFrame, path: str, checkpoint: str) -> None:
 
     q = stream.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: below spark.checkpoint.dir, or a temporary one where that is unset (one machine)."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/voltlake-shared"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
