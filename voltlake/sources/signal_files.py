@@ -191,12 +191,24 @@ def samples_of(lay: Layout, channels: Sequence[Channel], first: int, last: int,
             yield c, a * c.samples, _numbers(parts[c.place], lay.kind) * c.gain + c.offset
 
 
-class Range(InputPartition):
-    """Units from first to last of a file (layout None: nothing to read)."""
+@dataclass
+class Range:
+    """Units from first to last of a file."""
+
+    file: str
+    layout: Layout
+    channels: list[Channel]
+    first: int
+    last: int
+    size: int  # bytes
 
-    def __init__(self, file: str, lay: Layout | None, channels: list[Channel], first: int, last: int):
+
+class Ranges(InputPartition):
+    """A task's ranges: one of a long file, or several short files."""
+
+    def __init__(self, ranges: list[Range]):
         super().__init__(None)
-        self.file, self.layout, self.channels, self.first, self.last = file, lay, channels, first, last
+        self.ranges = ranges
 
 
 class SignalReader(DataSourceReader):
@@ -206,7 +218,7 @@ class SignalReader(DataSourceReader):
         self.files: set[str] | None = None
         self.start, self.stop = int(options.get("start", 0)), int(options["stop"]) if options.get("stop") else None
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         files = [f for f in listed(self.path) if self.files is None or f in self.files]
         with ThreadPoolExecutor(16) as pool:
             layouts = list(pool.map(layout, files))
@@ -223,12 +235,21 @@ class SignalReader(DataSourceReader):
             last = lay.units if self.stop is None else min(lay.units, max(-(-self.stop // least), first))
             size = lay.unit * (len(lay.channels) if lay.vectorised else 1)
             step = max(self.split // max(size, 1), 1)
-            out += [Range(file, lay, picked, a, min(a + step, last)) for a in range(first, last, step)]
-        return out or [Range("", None, [], 0, 0)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if partition.layout is None:
-            return
+            out += [Range(file, lay, picked, a, min(a + step, last), size * (min(a + step, last) - a)) for a in range(first, last, step)]
+        packed, held = [Ranges([])], 0
+        for r in out:
+            if packed[-1].ranges and held + r.size > self.split:
+                packed.append(Ranges([]))
+                held = 0
+            packed[-1].ranges.append(r)
+            held += r.size
+        return packed
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for r in partition.ranges:
+            yield from self._read(r)
+
+    def _read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         system, name = opened(partition.layout.path)
         kinds = {"file": pa.string(), "channel": pa.string(), "t": pa.int64(), "x": pa.float64(), "rate": pa.float64()}
         with system.open_input_file(name) as f:
