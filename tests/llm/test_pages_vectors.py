@@ -43,9 +43,59 @@ LABELLED = {
     "comments and notices beside it": (f'<div id="main-content"><p>{STORY * 3}</p></div><div class="comment-list"><p>{STORY * 9}</p></div><div class="cookie-notice"><p>{STORY * 2}</p></div>', (STORY * 3).strip()),
     "names in an article": (f'<article><p>{STORY * 2}</p><div class="ad-slot-3"><p>{STORY * 2}</p></div><p>{STORY}</p><div class="share_buttons">{STORY}</div></article>', f"{(STORY * 2).strip()}\n{TALE}"),
     "stop words tell lists from prose": (f"<body><div>{STORY * 2}</div><div>{'alpha bravo charlie delta ' * 5}</div><div>{'<a href=x>one two three</a> ' * 9}</div></body>", (STORY * 2).strip()),
+    "inline elements in words and sentences": (
+        '<article><p>The year was <i>un</i>usual for the people of the <a href="/t">town</a> and <b>they</b> had H<sub>2</sub>O in <span class="x">it</span>, <em>all</em> of <label>it</label>.</p><p>'
+        f"{STORY}</p></article>",
+        f"The year was unusual for the people of the town and they had H2O in it, all of it.\n{TALE}",
+    ),
+    "an inline element left open": (f"<article><p>{STORY}<b>bold</p><p>{STORY * 2}</b></p></article>", f"{TALE} bold\n{(STORY * 2).strip()}"),
+    "one form around the page": (f'<form id="aspnetForm"><div><p>{STORY * 2}</p><p>{STORY}</p></div><input><select><option>no</option></select></form>', f"{(STORY * 2).strip()}\n{TALE}"),
+    "one form around an article": (f'<form id="aspnetForm"><div><p>{STORY}</p></div><article><p>{STORY * 2}</p></article></form>', (STORY * 2).strip()),
+    "a nav that is never closed": (f'<nav><a href="/">Home</a><article><p>{STORY * 2}</p></article>', (STORY * 2).strip()),
+    "a contact form beside prose": (f"<div><p>{STORY * 3}</p></div><form><p>{STORY}</p></form>", (STORY * 3).strip()),
+    "a paragraph that is one link": (f'<article><p>{STORY}</p><p><a href="/x">{TALE}</a></p><p>{STORY * 2}</p></article>', f"{TALE}\n{TALE}\n{(STORY * 2).strip()}"),
+    "links at an article's end": (f'<article><p>{STORY * 2}</p><ul><li><a href="/1">{TALE}</a></li><li><a href="/2">{TALE}</a></li></ul></article>', (STORY * 2).strip()),
+    "a title in a row called header": (f'<article><div class="row header"><h1>The flood</h1></div><p>{STORY * 2}</p></article>', f"The flood\n{(STORY * 2).strip()}"),
+    "teasers in a sidebar": (f"<article><p>{STORY * 2}</p></article><aside><article><p>{STORY * 2}</p></article></aside>", (STORY * 2).strip()),
 }
 
 
+def tree(rng, depth=0):
+    """A random element as html, and the texts of its blocks: '|' stands where a block begins or ends."""
+    kinds = ["text"] * 4 + (["b", "i", "a", "span", "em", "sub"] * 2 + ["div", "p", "section", "ul", "h2", "blockquote"] if depth < 5 else [])
+    html, flat = [], []
+    for _ in range(rng.integers(1, 5)):
+        kind = kinds[rng.integers(len(kinds))]
+        if kind == "text":
+            word = rng.choice(["one", " two", "three ", "\n four\t", "f&amp;ive", "s\u00efx"])
+            html.append(word), flat.append(word.replace("&amp;", "&"))
+            continue
+        inner, text = tree(rng, depth + 1) if kind != "p" else (lambda w: (w, w))(rng.choice(["pa", "ra graph"]))
+        html.append(f'<{kind} title="a > b">{inner}</{kind}>')
+        flat.append(f"|{text}|" if kind in html_extract.BLOCKS else text)
+    return "".join(html), "".join(flat)
+
+
+def test_blocks_of_random_trees():
+    rng = np.random.default_rng(12)
+    for _ in range(2000):
+        html, flat = tree(rng)
+        want = [" ".join(x.split()) for x in flat.split("|")]
+        assert [b.text for b in html_extract.blocks_of(html)] == [x for x in want if x], html
+
+
+def test_open_quotes_take_linear_time():
+    import time
+
+    at = time.time()
+    for piece in ('<a ">"', "<a '>'\"", '<p x="', "</script", "<form><article>", "<nav><form><main>"):
+        for end in ("", '"', "'"):
+            assert isinstance(text(piece * (1_000_000 // len(piece)) + end), str)
+            if piece.startswith("</"):
+                text("<script>" + piece * 100_000)
+    assert time.time() - at < 60
+
+
 @pytest.mark.parametrize("name", LABELLED)
 def test_labelled_pages(name):
     html, want = LABELLED[name]

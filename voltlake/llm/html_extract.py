@@ -12,6 +12,11 @@ long as other text remains.  A name counts only if all its parts are such words
 out where they hold a fair share of the page's text, and inside a long block needs no stop words; a page with a mere
 teaser in one is judged by its blocks.
 
+An inline element, open or closed, ends no block: words around it stay one sentence.  A form outside an article is left
+out unless it holds most of the page's prose (some pages are one form); one in an article always is.  An article or main
+element that begins inside an open nav, form or fieldset shows that these weren't meant to hold it.  Inside an article
+a single block that is one link has no say of its own: its neighbours decide.
+
 Defined results: null or empty html has the empty text; broken markup is read as far as it goes (an unclosed tag or
 comment ends with the page); repeated rows are read each; a very long or deep page is one row, read in one pass; an
 empty table gives an empty result; other columns pass through unread.
@@ -32,6 +37,8 @@ from voltlake.llm.common import give_back
 
 #: Limits of the rules: link density, length of a short and of a long block, stop-word density from low and from high, share of the text outside that articles need.
 LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH, ARTICLES = 0.4, 70, 200, 0.15, 0.3, 1 / 3
+#: How many times the prose outside forms that inside must be for the page to be one form.
+FORMS = 2
 #: Fixed stop words of the four languages.
 STOP_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which you were there been their has "
@@ -41,8 +48,10 @@ STOP_WORDS = frozenset(
 )
 #: Tags that end a block; tags whose content is never article text; text between raw tags isn't markup.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-LEFT_OUT = frozenset("nav footer aside form head title script style noscript template iframe svg math canvas audio video object select button textarea dialog menu applet map label fieldset".split())
+LEFT_OUT = frozenset("nav footer aside form head title script style noscript template iframe svg canvas audio video object select button textarea dialog menu applet map fieldset".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
+#: Tags left out that an article or main element inside them overrules.
+OVERRULED = {"article": frozenset("nav form fieldset".split()), "main": frozenset("nav form fieldset aside header".split())}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of a class or id, and roles, that mark what isn't article text.
@@ -53,10 +62,11 @@ MARKS = frozenset(
 )
 #: Words of a class or id that say where or how something stands, not what it is.
 PLACES = frozenset("area bar bottom box btn button buttons block bottom center col column container content full global group inline inner item items left li link links list main middle outer page panel post posts primary right row secondary section sections site slot small sub text top unit wrap wrapper x".split())
+#: Marks that only lay out the page when they stand inside an article.
+LAYOUT = frozenset("header banner masthead topbar rail".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^\"'>])*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+_QUOTE_OR_END = re.compile("[\"'>]")
 #: One attribute: its whole name, then its value, which may hold anything.
 _ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>"'][^\s>]*+))?)?""")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -66,58 +76,88 @@ _WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _named(value: str) -> bool:
-    """Whether a name of a class or id says that it isn't article text."""
+def _named(value: str, inside: bool) -> bool:
+    """Whether a name of a class or id says that it isn't article text.  inside: in an article."""
     for name in value.split():
         parts = {x.lower() for x in _NAME_PARTS.findall(name)}
+        if inside:
+            parts -= LAYOUT
         if not parts.isdisjoint(MARKS) and parts <= MARKS | PLACES:
             return True
     return False
 
 
-def _marked(tag: str, attributes: str) -> tuple[bool, bool]:
+def _marked(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     """Whether an element's attributes leave it out (hidden, or of another role), and whether its names are evidence against it."""
     out = named = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         out = out or bool(name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true" or name == "hidden" or name == "style" and _HIDES.search(value))
-        named = named or name in ("class", "id") and tag not in ("html", "body", "main", "article") and _named(value)
+        named = named or name in ("class", "id") and tag not in ("html", "body", "main", "article") and _named(value, inside)
     return out, named
 
 
 class Block:
     """A block's text and what the rules need of it: length (wide characters count double), linked characters, words, stop words."""
 
-    __slots__ = ("heading", "inside", "links", "named", "size", "stops", "text", "words")
+    __slots__ = ("form", "heading", "inside", "links", "named", "size", "stops", "text", "words")
 
-    def __init__(self, text: str, links: int, heading: bool, inside: bool, named: bool):
-        self.text, self.links, self.heading, self.inside, self.named = text, links, heading, inside, named
+    def __init__(self, text: str, links: int, heading: bool, inside: bool, named: bool, form: bool = False):
+        self.text, self.links, self.heading, self.inside, self.named, self.form = text, links, heading, inside, named, form
         words = _WORD.findall(text.lower())
         self.size, self.words, self.stops = len(text) + len(_WIDE.findall(text)), len(words), sum(w in STOP_WORDS for w in words)
 
 
+class Tags:
+    """Where tags end: at the first > outside quotes, or where a quote is never closed at the first > of all.
+
+    What a failed search has passed is remembered, so that a later one that comes upon it stops there.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.failed = html, set()
+
+    def end(self, at: int) -> tuple[str, int]:
+        """The attributes of a tag whose name ends at ``at``, and where reading goes on."""
+        passed, p = [], at
+        while True:
+            m = _QUOTE_OR_END.search(self.html, p)
+            if not m:
+                return self.html[at:], len(self.html)
+            if m[0] == ">":
+                return self.html[at : m.start()], m.end()
+            p = self.html.find(m[0], m.end()) + 1
+            if not p or p in self.failed:
+                break
+            passed.append(p)
+        self.failed.update(passed)
+        close = self.html.find(">", at)
+        return (self.html[at:], len(self.html)) if close < 0 else (self.html[at:close], close + 1)
+
+
 def blocks_of(html: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = at = 0
-    # open elements, each with what it adds to the counters (left out, link, heading, article, named), and the places of block-level ones
+    # open elements, each with what it adds to the counters (left out, link, heading, article, named, form), and the places of block-level ones
     stack: list[tuple[str, tuple[int, ...]]] = []
     block_at: list[int] = []
     open_tags: Counter[str] = Counter()
-    lefts = links = headings = articles = names = 0
+    lefts = links = headings = articles = names = forms = 0
+    tags, overruled = Tags(html), []  # places of open elements that an article may overrule
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, linked, headings > 0, articles > 0, names > 0))
+                out.append(Block(text, linked, headings > 0, articles > 0, names > 0, forms > 0))
             parts.clear()
         linked = 0
 
     def count(adds: tuple[int, ...], sign: int) -> None:
-        nonlocal lefts, links, headings, articles, names
-        lefts, links, headings, articles, names = (x + sign * y for x, y in zip((lefts, links, headings, articles, names), adds, strict=True))
+        nonlocal lefts, links, headings, articles, names, forms
+        lefts, links, headings, articles, names, forms = (x + sign * y for x, y in zip((lefts, links, headings, articles, names, forms), adds, strict=True))
 
     def shut(k: int) -> None:
         for tag, adds in stack[k:]:
@@ -126,6 +166,16 @@ def blocks_of(html: str) -> list[Block]:
         del stack[k:]
         while block_at and block_at[-1] >= k:
             block_at.pop()
+        while overruled and overruled[-1] >= k:
+            overruled.pop()
+
+    def overrule(tag: str) -> None:
+        """Elements that can't have been meant to hold this one neither leave it out nor count as forms."""
+        for k in [k for k in overruled if stack[k][0] in OVERRULED[tag]]:
+            name, adds = stack[k]
+            count((adds[0], 0, 0, 0, 0, adds[5]), -1)
+            stack[k] = name, (0, *adds[1:5], 0)
+            overruled.remove(k)
 
     def words(text: str) -> None:
         nonlocal linked
@@ -135,15 +185,15 @@ def blocks_of(html: str) -> list[Block]:
             if links:
                 linked += len(text.strip())
 
-    while m := _TAG.search(html, at):
+    while m := _MARKUP.search(html, at):
         words(html[at : m.start()])
         at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        if not m[2]:
             if m[0].startswith("<![CDATA["):
                 words(m[0][9:].removesuffix("]]>"))
             continue
-        tag, closing = name.lower(), bool(m[1] or m[4])
+        tag, closing = m[2].lower(), bool(m[1])
+        attributes, at = tags.end(at)
         if tag == "br":
             words(" ")
             continue
@@ -154,14 +204,14 @@ def blocks_of(html: str) -> list[Block]:
                 k = len(stack) - 1
                 while stack[k][0] != tag:
                     k -= 1
-                flush()
+                if block_at and block_at[-1] >= k:
+                    flush()
                 shut(k)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            end = re.compile(rf"</{tag}\b", re.I).search(html, at)
+            at = html.find(">", end.end()) + 1 or len(html) if end else len(html)
             continue
-        attributes = m[3] or m[6] or ""
         block = tag in BLOCKS
         if tag in VOID or attributes.endswith("/") and not block:
             continue
@@ -169,11 +219,16 @@ def blocks_of(html: str) -> list[Block]:
             last = stack[block_at[-1]][0]
             if last == "p" or last == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th") or last in HEADINGS and tag in HEADINGS:
                 shut(block_at[-1])
-        hidden, named = _marked(tag, attributes)
-        left = tag in LEFT_OUT or tag == "header" and not articles or hidden or named and not block
+        if tag in OVERRULED and overruled:
+            overrule(tag)
+        hidden, named = _marked(tag, attributes, articles > 0)
+        form = tag in ("form", "fieldset") and not articles and not hidden
+        left = tag in LEFT_OUT and not form or tag == "header" and not articles or hidden or named and not block
         if block:
             block_at.append(len(stack))
-        stack.append((tag, (int(left), int(tag == "a"), int(tag in HEADINGS), int(tag in ("article", "main")), int(named))))
+        if left and not hidden and tag in ("nav", "aside", "header") or form:
+            overruled.append(len(stack))
+        stack.append((tag, (int(left), int(tag == "a"), int(tag in HEADINGS), int(tag in ("article", "main")), int(named), int(form))))
         open_tags[tag] += 1
         count(stack[-1][1], 1)
     words(html[at:])
@@ -221,6 +276,8 @@ def _article(blocks: list[Block]) -> list[str]:
     """The texts of the blocks that both passes keep, of the region that holds the article."""
     told = sum(b.stops for b in blocks) >= STOP_LOW * sum(b.words for b in blocks)
     labels = [first_pass(b, told) for b in blocks]
+    dense = [False, *(b.links > LINKS * len(b.text) for b in blocks), False]
+    labels = ["short" if b.inside and dense[k + 1] and not dense[k] and not dense[k + 2] else label for k, (b, label) in enumerate(zip(blocks, labels, strict=True))]
     inside = sum(b.size for b, label in zip(blocks, labels, strict=True) if b.inside and label != "bad")
     outside = sum(b.size for b, label in zip(blocks, labels, strict=True) if not b.inside and label in ("good", "near"))
     if inside and inside >= ARTICLES * outside:
@@ -236,6 +293,9 @@ def _article(blocks: list[Block]) -> list[str]:
 
 def main_text(html: str) -> str:
     blocks = blocks_of(html)
+    prose = [sum(b.size for b in blocks if b.form == form and b.size >= SHORT and b.links <= LINKS * len(b.text)) for form in (False, True)]
+    if prose[1] <= FORMS * prose[0]:
+        blocks = [b for b in blocks if not b.form]
     return "\n".join(_article([b for b in blocks if not b.named]) or _article(blocks))
 
 
