@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltlake.operators import alignment as A
+from voltlake.operators import audio as Y
 from voltlake.operators import channels as C
 from voltlake.operators import encoding as E
 from voltlake.operators import filters as D
@@ -609,6 +610,31 @@ def loudness(spark, d):
     return rounded(D.loudness(sig1(spark, d), 100.0, 32, 16), "x")
 
 
+@query()
+def specific_loudness(spark, d):
+    """The signed sum of Bark bands at 40 samples a second."""
+    return rounded(Y.specific_loudness(sig1(spark, d), 100.0, 40.0), "x")
+
+
+@query()
+def envelope_feature(spark, d):
+    """The broadband envelope on a grid of 32 samples, its absolute differences."""
+    return rounded(Y.envelope_feature(sig1(spark, d), "broadband", 100.0, 50.0, 32, change="absdiff"), "x")
+
+
+@query(
+    "SELECT recording, frame, bin, bin * 100.0::DOUBLE / 16 AS freq, round((pow(sum(x * w * cos(2 * pi() * bin * k / 16)), 2) + pow(sum(x * w * sin(2 * pi() * bin * k / 16)), 2)) / 64, 4) + 0.0 AS value "
+    "FROM (SELECT recording, frame, t + 8 - 8 * frame AS k, x, 0.5 - 0.5 * cos(2 * pi() * (t + 8 - 8 * frame) / 16) AS w FROM f) f, b GROUP BY recording, frame, bin",
+    b="SELECT unnest(range(9))::INTEGER AS bin",
+    n=_LENGTH,
+    f="SELECT s.recording, t, x, j.frame FROM sig1 s JOIN n ON n.recording = s.recording, (SELECT unnest(range(2)) AS back) o, LATERAL (SELECT (t + 8) // 8 - back AS frame) j WHERE j.frame BETWEEN 0 AND (last + 1) // 8",
+)
+def spectrogram(spark, d):
+    """All bins of frames of 16 samples, half of them overlapping, zeros beyond the ends."""
+    got = Y.spectrogram(sig1(spark, d), 16, 8, 100.0, boundary="zeros")
+    return got.withColumn("value", F.round("value", 4) + 0.0)
+
+
 @query()
 def intensity(spark, d):
     return rounded(D.intensity_db(sig1(spark, d), 100.0, 9), "x")
