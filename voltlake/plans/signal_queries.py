@@ -11,6 +11,7 @@ from voltlake.operators import channels as C
 from voltlake.operators import encoding as E
 from voltlake.operators import filters as D
 from voltlake.operators import fourier as U
+from voltlake.operators import model_runs as Z
 from voltlake.operators import recursive as R
 from voltlake.operators import series as X
 from voltlake.operators import spectral as P
@@ -392,6 +393,30 @@ def encoding_cross_validation(spark, d):
     return E.cross_validate(rows.select("fold", "lagged", "y"), [0.01, 1.0, 100.0]).select("fold", "alpha", F.round("score", 4).alias("score"))
 
 
+@query(
+    "SELECT recording AS fold, 1.0::DOUBLE AS alpha, round(coalesce(CASE WHEN abs(b) * sxx > 0 AND syy > 0 AND b * b * sxx > 1e-12 * n THEN sign(b) * sxy / sqrt(sxx * syy) END, 0), 5) + 0.0 AS pearson, "
+    "round(coalesce(CASE WHEN syy > 0 THEN 1 - (syy - 2 * b * sxy + b * b * sxx + n * pow(my - c - b * mx, 2)) / syy END, 0), 5) + 0.0 AS r2 FROM m",
+    z="SELECT user_id AS recording, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS x, value AS y FROM events",
+    o="SELECT recording, count(*) AS n, avg(x) AS mx, avg(y) AS my, count(*) * var_pop(x) AS sxx, count(*) * var_pop(y) AS syy, count(*) * covar_pop(x, y) AS sxy, sum(x) AS tx, sum(y) AS ty, sum(x * x) AS txx, sum(x * y) AS txy FROM z GROUP BY recording",
+    a="SELECT sum(n) AS n, sum(tx) AS tx, sum(ty) AS ty, sum(txx) AS txx, sum(txy) AS txy FROM o",
+    m="SELECT o.*, ((a.txy - o.txy) - (a.tx - o.tx) * (a.ty - o.ty) / (a.n - o.n)) / ((a.txx - o.txx) - pow(a.tx - o.tx, 2) / (a.n - o.n) + 1) AS b, "
+    "(a.ty - o.ty) / (a.n - o.n) - ((a.txy - o.txy) - (a.tx - o.tx) * (a.ty - o.ty) / (a.n - o.n)) / ((a.txx - o.txx) - pow(a.tx - o.tx, 2) / (a.n - o.n) + 1) * (a.tx - o.tx) / (a.n - o.n) AS c FROM o, a",
+)
+def leave_one_run_out(spark, d):
+    """Each recording scored by the model of all others: values from the codes at the same sample."""
+    rows = coded(spark, d).select(F.col("recording").alias("fold"), F.lit(0).alias("segment"), F.array("x").alias("lagged"), F.array("y").alias("y"))
+    got = Z.left_out(rows, [1.0])
+    return got.select("fold", "alpha", (F.round("pearson", 5) + 0.0).alias("pearson"), (F.round("r2", 5) + 0.0).alias("r2"))
+
+
+@query()
+def lasso_cross_validation(spark, d):
+    """Folds by recording, sparse coefficients: the medians over outputs (the value and its square root) of held-out scores."""
+    rows = E.lagged(coded(spark, d), [0, 1, 2]).withColumns({"y": F.array("y", F.sqrt(F.abs("y"))), "fold": F.col("recording") % 4, "segment": F.col("recording")})
+    got = Z.over_outputs(Z.left_out(rows.select("fold", "segment", "lagged", "y"), [1.0, 1000.0], "lasso"), "median", "r2")
+    return got.select("fold", "alpha", F.round("score", 5).alias("score"))
+
+
 @query("SELECT recording, round((pow(sum(x * sin(2 * pi() * 10 * t / 100)), 2) + pow(sum(x * cos(2 * pi() * 10 * t / 100)), 2)) / count(*), 4) AS line_power FROM sig1 GROUP BY recording")
 def line_power(spark, d):
     return rounded(P.line_power(sig1(spark, d), 10.0, 100.0), "line_power", digits=4)
