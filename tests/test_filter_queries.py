@@ -123,6 +123,26 @@ def test_stream_refractory(spark, events):
     assert len(got) == len(want) and set(zip(got[users], pd.to_datetime(got[times]))) == want
 
 
+def test_minimum_phase(spark, series):
+    """The taps have the prototype's autocorrelation and no zero outside the circle, which no other taps have (but for the sign)."""
+    from voltlake.operators import filters
+
+    for h in (filters.lowpass_taps(10.0, 100.0, 101), filters.highpass_taps(1.0, 100.0), filters.lowpass_taps(30.0, 100.0, 101) - filters.lowpass_taps(8.0, 100.0, 101)):
+        early = filters.minimum_phase(h)
+        w = np.exp(-1j * np.outer(np.linspace(0, math.pi, 3001), np.arange(101)))
+        np.testing.assert_allclose(abs(w @ early), abs(w @ h), atol=1e-6)
+        np.testing.assert_allclose([early[k:] @ early[: 101 - k] for k in range(101)], [h[k:] @ h[: 101 - k] for k in range(101)], atol=1e-7)
+        assert abs(np.roots(early)).max() < 1.001 and early[0] > 0
+        assert all(np.cumsum(early**2) >= np.cumsum(h**2) - 1e-9)
+    early = filters.minimum_phase(filters.highpass_taps(1.0, 100.0))
+    check(spark, "minimum_phase_highpass", series, lambda x: np.array([sum(early[k] * x[i - k] for k in range(min(i, 100) + 1)) for i in range(len(x))]))
+    rows = spark.createDataFrame([("a", t, float(t * t % 17)) for t in range(500)], "recording string, t long, x double")
+    got = filters.fir_filtered(rows, filters.highpass_taps(1.0, 100.0), "minimum", block=60).orderBy("t").toPandas()["x"]
+    np.testing.assert_allclose(got, filters.causal(np.array([t * t % 17 for t in range(500)], float), early), atol=1e-9)
+    with pytest.raises(ValueError):
+        filters.fir_filtered(rows, early, "linear")
+
+
 @pytest.mark.parametrize("n", [1, 5, 33, 34, 35, 101])
 def test_filters_of_short_series(n):
     """A series shorter than the taps isn't shifted."""

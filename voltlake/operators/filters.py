@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -91,6 +92,45 @@ def bandpass(x: np.ndarray, low: float, high: float, rate: float, n: int = 101)
     return fir_zero_phase(x, lowpass_taps(high, rate, n) - lowpass_taps(low, rate, n))
 
 
+@lru_cache(maxsize=32)
+def _minimum_phase(taps: tuple[float, ...], points: int) -> np.ndarray:
+    size = np.abs(np.fft.fft(np.array(taps), points))
+    cepstrum = np.fft.ifft(np.log(np.maximum(size, size.max() * 1e-12))).real
+    half = points // 2
+    cepstrum[1:half] *= 2  # what stands before 0 is folded behind it
+    cepstrum[half + 1 :] = 0
+    return np.fft.ifft(np.exp(np.fft.fft(cepstrum))).real[: len(taps)]
+
+
+def minimum_phase(taps: np.ndarray, points: int = 1 << 20) -> np.ndarray:
+    """Taps of the same magnitude whose energy comes as early as it can: the cepstrum of the magnitude, folded.
+
+    points: those of the transform; the magnitude is off by about their inverse, through the aliased cepstrum.
+    """
+    return _minimum_phase(tuple(map(float, taps)), points)
+
+
+def causal(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """Each output from samples up to its own; zeros before the start."""
+    return np.convolve(x, taps)[: len(x)]
+
+
+def fir_filtered(signal: DataFrame, taps: np.ndarray, phase: str = "zero", keys: Sequence[str] = ("recording",), block: int = BLOCK) -> DataFrame:
+    """(keys, t, x) through taps: zero phase (centred, edges mirrored), or their minimum-phase form, causal, by blocks."""
+    if phase not in ("zero", "minimum"):
+        raise ValueError(phase)
+    if phase == "zero":
+        return per_block(signal, lambda x: fir_zero_phase(x, taps), len(taps), keys, block=block)
+    early = minimum_phase(taps)
+    return per_block(signal, lambda x: causal(x, early), len(taps), keys, block=block)
+
+
+def highpass_taps(cut: float, rate: float, n: int = 101) -> np.ndarray:
+    """What a low-pass of these taps takes away is left."""
+    n |= 1
+    return np.where(np.arange(n) == n // 2, 1.0, 0.0) - lowpass_taps(cut, rate, n)
+
+
 def run_sections(x: np.ndarray, sections: Sequence[tuple[float, ...]]) -> np.ndarray:
     """The sections one after the other, starting from the steady state of the first value."""
     system = System.of_sections(sections)

@@ -47,11 +47,11 @@ def conversation_units(spark, d):
 
 @query(
     "SELECT root, CASE WHEN s > 0 THEN '01' END AS run, part, found FROM (SELECT root, s, unnest(['signal', 'markers', 'log']) AS part, unnest([s, m, l]) AS found FROM n) WHERE found <> 1",
-    n="SELECT user_id AS root, count_if(event_type = 'click')::BIGINT AS s, count_if(event_type = 'view')::BIGINT AS m, count_if(event_type = 'error')::BIGINT AS l FROM events WHERE event_id % 5 < 2 GROUP BY user_id",
+    n="SELECT user_id AS root, count_if(event_type = 'click')::BIGINT AS s, count_if(event_type = 'view')::BIGINT AS m, count_if(event_type = 'error')::BIGINT AS l FROM events GROUP BY user_id",
 )
 def naming_unit_issues(spark, d):
     name = F.when(F.col("event_type") == "error", F.concat(F.lit("seq_1/"), "event_id")).otherwise(F.col("event_id").cast("string"))
-    files = table(spark, d, "events").where("event_id % 5 < 2").select(F.col("user_id").alias("root"), F.concat(name, _ending({"click": ".vhdr", "view": ".vmrk", "error": ".log"}, ".txt")).alias("path"))
+    files = table(spark, d, "events").select(F.col("user_id").alias("root"), F.concat(name, _ending({"click": ".vhdr", "view": ".vmrk", "error": ".log"}, ".txt")).alias("path"))
     layout = S.adapter_of("naming").layout
     return S.unit_issues(S.find_units(files, layout), layout)
 

@@ -587,6 +587,12 @@ def highpass(spark, d):
     return rounded(D.per_block(sig1(spark, d), lambda x: D.highpass(x, 1.0, 100.0), 101), "x")
 
 
+@query()
+def minimum_phase_highpass(spark, d):
+    """High-pass of 1 Hz whose taps have their energy first: nothing is seen before it happens."""
+    return rounded(D.fir_filtered(sig1(spark, d), D.highpass_taps(1.0, 100.0), "minimum"), "x")
+
+
 @query()
 def resample(spark, d):
     return rounded(D.resampled(sig1(spark, d), 64.0, 100.0), "x")
