@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from voltlake.functions.scalars import rate_ratio
-from voltlake.operators.blocks import BLOCK, numbered, per_block, per_series  # noqa: F401
+from voltlake.operators.blocks import BLOCK, numbered, per_block, per_series, types_of  # noqa: F401
 from voltlake.operators.fourier import WHOLE, by_length, envelope_rows
 from voltlake.operators.recursive import System, both_ways, butterworth, low_passed, padding
 
@@ -301,27 +301,66 @@ def band_envelopes(signal: DataFrame, bands: Sequence[tuple[float, float]], rate
     return out.unionByName(y)
 
 
-def modulations(bands: DataFrame, rates: Sequence[float], scales: Sequence[float], frame_rate: float, keys: Sequence[str] = ("recording",)) -> DataFrame:
-    """(keys, band, rate, scale, t, x): power of band envelopes through separable temporal and spectral filters."""
-    names = list(keys)
-    schema = ", ".join([*[f"{k} {bands.schema[k].dataType.simpleString()}" for k in names], "band int, rate double, scale double, t long, x double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot(index="band", columns="t", values="x").fillna(0.0)
-        out = []
-        for r in rates:
-            t = np.arange(max(int(2 * frame_rate / r), 3)) / frame_rate
-            tap = np.exp(-r * t) * np.exp(2j * math.pi * r * t)
-            slow = np.array([np.convolve(row, tap)[: grid.shape[1]] for row in grid.to_numpy()])
-            for s in scales:
-                k = np.arange(-4, 5)
-                across = np.exp(-((s * k) ** 2)) * np.cos(2 * math.pi * s * k)
-                z = np.abs(np.apply_along_axis(lambda c, tap=across: np.convolve(c, tap, mode="same")[: len(grid)], 0, slow)) ** 2 if len(grid) >= 9 else np.abs(slow) ** 2
-                b, c = np.meshgrid(grid.index, grid.columns, indexing="ij")
-                out.append(pd.DataFrame({**{n: pdf[n].iloc[0] for n in names}, "band": b.ravel(), "rate": float(r), "scale": float(s), "t": c.ravel(), "x": z.ravel()}))
-        return pd.concat(out)[[*names, "band", "rate", "scale", "t", "x"]]
-
-    return bands.groupBy(*names).applyInPandas(run, schema)
+#: Taps of a spectral filter, half of them to each side.
+ACROSS = 9
+
+
+def temporal_taps(rate: float, frame_rate: float) -> np.ndarray:
+    """A decaying turn at the rate, two of its periods long, causal."""
+    t = np.arange(max(int(2 * frame_rate / rate), 3)) / frame_rate
+    return np.exp(-rate * t) * np.exp(2j * math.pi * rate * t)
+
+
+def spectral_taps(scale: float) -> np.ndarray:
+    """A ripple across neighbouring bands."""
+    k = np.arange(ACROSS) - ACROSS // 2
+    return np.exp(-((scale * k) ** 2)) * np.cos(2 * math.pi * scale * k)
+
+
+def modulations(bands: DataFrame, rates: Sequence[float], scales: Sequence[float], frame_rate: float, keys: Sequence[str] = ("recording",), block: int = BLOCK) -> DataFrame:
+    """(keys, band, rate, scale, t, x): power of band envelopes through separable temporal and spectral filters.
+
+    In time by blocks of each band with their neighbours' samples, across bands by sample: a task holds a block, or all
+    bands of some samples, never a recording.  A band without a sample at some t counts 0 there as long as another has one.
+    With fewer than ACROSS bands only the temporal filter applies.
+    """
+    names, taps = list(keys), [temporal_taps(r, frame_rate) for r in rates]
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("r"), F.lit(p).alias("p")) for k in range(len(rates)) for p in (0, 1)]))
+    spread = bands.select(*names, "band", "t", "x", parts.alias("_f")).select(*names, "band", F.col("_f.r").alias("_rate"), F.col("_f.p").alias("_part"), "t", "x")
+
+    def slow(x: np.ndarray, key: tuple) -> np.ndarray:
+        tap = taps[key[-2]]
+        return causal(x, tap.imag if key[-1] else tap.real)
+
+    by = [*names, "band", "_rate", "_part"]
+    moved = per_block(spread, slow, max(map(len, taps)), by, block=block, keyed=True)
+    listed = bands.select(*names, "band").distinct().groupBy(*[F.col(k).alias(f"_{k}") for k in names]).agg(F.array_sort(F.collect_list("band")).alias("_bands"))
+    same = F.lit(True)
+    for k in names:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    column = moved.groupBy(*names, "_rate", "t").agg(F.collect_list(F.struct("band", "_part", "x")).alias("_z")).join(listed, same)
+    schema = f"{types_of(bands, names)}, band {bands.schema['band'].dataType.simpleString()}, rate double, scale double, t long, x double"
+    across = [spectral_taps(s) for s in scales]
+
+    def power(batches):
+        for pdf in batches:
+            sizes = pdf["listed"].map(len).to_numpy()
+            for n in np.unique(sizes):  # all samples of a batch with as many bands at once
+                some = pdf[sizes == n]
+                own = np.stack(some["listed"].to_list())
+                z = np.zeros((len(some), n), complex)
+                for k, (place, part, x) in enumerate(zip(some["place"], some["part"], some["x"])):
+                    np.add.at(z[k], np.asarray(place) - 1, np.where(np.asarray(part) == 1, 1j, 1) * np.asarray(x))
+                wide = np.pad(z, ((0, 0), (ACROSS // 2, ACROSS // 2)))
+                heads = some[names].iloc[np.repeat(np.arange(len(some)), n)]
+                fixed = heads.assign(band=own.ravel(), rate=np.repeat(np.asarray(rates, float)[some["r"]], n), t=np.repeat(some["t"].to_numpy(), n))
+                for s, tap in zip(scales, across):
+                    y = np.lib.stride_tricks.sliding_window_view(wide, ACROSS, axis=1) @ tap[::-1] if n >= ACROSS else z
+                    yield fixed.assign(scale=float(s), x=(np.abs(y) ** 2).ravel())[[*names, "band", "rate", "scale", "t", "x"]]
+
+    each = lambda f: F.transform("_z", f)
+    rows = column.select(*names, F.col("_rate").alias("r"), "t", F.col("_bands").alias("listed"), each(lambda z: F.array_position("_bands", z["band"]).cast("int")).alias("place"), each(lambda z: z["_part"]).alias("part"), each(lambda z: z["x"]).alias("x"))
+    return rows.mapInPandas(power, schema)
 
 
 def loudness(signal: DataFrame, rate: float, n_fft: int = 256, hop: int = 128, keys: Sequence[str] = ("recording",)) -> DataFrame:
