@@ -81,7 +81,7 @@ def numbered(signal: DataFrame, keys: Sequence[str], block: int = BLOCK, count:
     return rows.withColumn("_own", own).join(n, same).select(*names, (F.col("_before") + F.col("_own")).alias("t"), "x", *([F.col("_whole").alias("_n")] if count else []))
 
 
-def per_block(signal: DataFrame, f: Callable[..., np.ndarray], reach: int, keys: Sequence[str] = ("recording",), up: int = 1, down: int = 1, block: int = BLOCK, keyed: bool = False) -> DataFrame:
+def per_block(signal: DataFrame, f: Callable[..., np.ndarray], reach: int, keys: Sequence[str] = ("recording",), up: int = 1, down: int = 1, block: int = BLOCK, *, keyed: bool = False) -> DataFrame:
     """What ``per_series`` gives for an f whose samples depend on at most ``reach`` samples to each side, by blocks of a series.
 
     f turns n samples into ceil(n * up / down); keyed: f(x, key).  Memory is a block and its neighbours' samples, not the series.
