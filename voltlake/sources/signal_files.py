@@ -31,8 +31,8 @@ from voltlake.operators.blocks import types_of
 
 SCHEMA = "file string, channel string, t long, x double, rate double"
 ENDS = (".vhdr", ".edf", ".wav")
-#: Bytes of a range, and samples of an Arrow batch.
-SPLIT_BYTES, BATCH = 64 << 20, 1 << 16
+#: Bytes of a range, bytes that opening a file counts for, and samples of an Arrow batch.
+SPLIT_BYTES, OPEN_BYTES, BATCH = 64 << 20, 1 << 20, 1 << 16
 
 
 @dataclass
@@ -238,11 +238,12 @@ class SignalReader(DataSourceReader):
             out += [Range(file, lay, picked, a, min(a + step, last), size * (min(a + step, last) - a)) for a in range(first, last, step)]
         packed, held = [Ranges([])], 0
         for r in out:
-            if packed[-1].ranges and held + r.size > self.split:
+            weight = max(r.size, OPEN_BYTES)
+            if packed[-1].ranges and held + weight > self.split:
                 packed.append(Ranges([]))
                 held = 0
             packed[-1].ranges.append(r)
-            held += r.size
+            held += weight
         return packed
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
