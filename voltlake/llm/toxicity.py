@@ -4,6 +4,9 @@ A document is a bag of sentences.  A sentence's score is a logistic function of
 noisy-or: 1 - (1 - s1)(1 - s2)...  Only documents have labels, so the likelihood of the noisy-or trains the sentence
 scores; the sentences that carry a document's score are the offending ones, and ``offending`` returns their places.
 
+A sentence without telling words has the score 0: the logistic function's value there is taken off, so that thousands of
+such sentences don't add up.
+
 A word counts once a sentence, by itself and by its first ``PREFIX`` letters, hashed to ``2 ** BITS`` weights; what is
 in fewer than ``MIN_DOCS`` documents of the sample has no weight.  The model is fitted on a bounded sample: of the
 labelled documents that may be learned from, the ``SAMPLE`` with the smallest hashes of their ids, texts of over
@@ -70,6 +73,10 @@ def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
             yield m.start(), m.end(), words
 
 
+def logistic(z: float) -> float:
+    return 0.0 if z == -math.inf else 1 / (1 + math.exp(-min(max(z, -40.0), 40.0)))
+
+
 class Model:
     """Weights of the hashed features and the start value of a sentence."""
 
@@ -86,11 +93,11 @@ class Model:
         return w
 
     def score(self, text: str) -> list[tuple[int, int, float]]:
-        """Start, end and score of each sentence."""
-        out = []
+        """Start, end and score of each sentence: what its words add to the score of a sentence without telling words."""
+        out, none = [], logistic(self.start)
         for a, b, words in sentences(text):
             z = self.start + sum(sorted(map(self.weight, words)))  # sorted: the same sum in every process
-            out.append((a, b, 0.0 if z == -math.inf else 1 / (1 + math.exp(-min(max(z, -40.0), 40.0)))))
+            out.append((a, b, max(0.0, (logistic(z) - none) / (1 - none))))
         return out
 
 
