@@ -93,3 +93,15 @@ def test_stream_refractory_keeps_state_over_batches(spark, tmp_path):
     on = ev.select(F.col("user_id").alias("recording"), (F.unix_micros("ts") / 1e6).alias("sec"))
     want = sorted((r.recording, r.sec) for r in series.refractory(on, 86400.0).collect())
     assert len(got) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-3 for a, b in zip(got, want, strict=True))
+
+
+def test_written_tables_are_cleared(spark):
+    from pathlib import Path
+
+    from voltlake import storage
+
+    df = storage.written(spark.range(5), "five")
+    files = [Path(f.removeprefix("file:").replace("///", "/")) for f in df.inputFiles()]
+    assert df.count() == 5 and all(f.exists() for f in files)
+    storage.clear()
+    assert not any(f.exists() for f in files)

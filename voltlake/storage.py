@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -18,8 +20,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_written: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def clear() -> None:
+    """Removes what ``written`` has left, once the results that read it are done with; at the latest when the driver's Python ends."""
+    for path, spark in list(_written.items()):
+        with contextlib.suppress(Exception):  # the session may have ended before
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _written.pop(path, None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder, read back: cuts lineage and survives lost executors."""
     path = shared_folder(df.sparkSession, name)
+    _written[path] = df.sparkSession
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
