@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlake.operators.channels import common_average
-from voltlake.operators.encoding import pearson
+from voltlake.operators.permutations import rotations
 from voltlake.operators.registry import issues
 
 
@@ -173,14 +173,15 @@ def label_drift(rows: DataFrame, bucket: str, label: str) -> DataFrame:
 
 def rotated_null(rows: DataFrame, keys: Sequence[str], y: str, predicted: str, shifts: Sequence[int]) -> DataFrame:
     """rows (keys, t from 0 without holes): the observed correlation, the mean of those after rotating the prediction by each
-    shift, and the share of rotations that reach the observed one (within 1e-12, as sums run in any order)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    base = rows.select(*keys, "t", y, predicted).withColumn("_n", n)
-    moved = base.select(*keys, F.explode(F.array(*[F.lit(s) for s in (0, *shifts)])).alias("shift"), ((F.col("t") + F.col("shift")) % F.col("_n")).alias("t"), F.col(predicted).alias("_p"))
-    each = base.join(moved, [*keys, "t"]).groupBy(*keys, "shift").agg(pearson(y, "_p").alias("r"))
-    null = F.col("shift") != 0
-    out = each.groupBy(*keys).agg(F.max(F.when(~null, F.col("r"))).alias("observed"), F.avg(F.when(null, F.col("r"))).alias("null_mean"), F.collect_list(F.when(null, F.col("r"))).alias("_null"))
-    return out.withColumn("reached", F.size(F.filter("_null", lambda r: r >= F.col("observed") - 1e-12)) / F.size("_null")).drop("_null")
+    shift, and the share of rotations that reach the observed one (within 1e-12, as sums run in any order).  All shifts come from one transform."""
+    names = list(keys)
+    each = rotations(rows, names, y, predicted)
+    wanted = F.array(*[F.lit(s).cast("long") for s in shifts])
+    times = F.size(F.filter(wanted, lambda s: F.pmod(s, F.col("n")) == F.col("shift")))
+    each = each.withColumn("_times", times).where((F.col("_times") > 0) | (F.col("shift") == 0))
+    out = each.groupBy(*names).agg(F.max(F.when(F.col("shift") == 0, F.col("r"))).alias("observed"), (F.sum(F.col("r") * F.col("_times")) / F.sum("_times")).alias("null_mean"), F.collect_list(F.struct("r", "_times")).alias("_null"))
+    reached = F.aggregate(F.filter("_null", lambda v: v["r"] >= F.col("observed") - 1e-12), F.lit(0), lambda n, v: n + v["_times"])
+    return out.withColumn("reached", reached / len(shifts)).drop("_null")
 
 
 def with_grouped_fallback(signal: DataFrame, group: str, pool: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voltlake.operators import discovery as S
 from voltlake.operators import encoding as E
+from voltlake.operators import permutations as P
 from voltlake.plans.testbed import coded, query, sign, table
 
 _CODED = "SELECT user_id AS recording, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END::DOUBLE AS x, value AS y, count(*) OVER (PARTITION BY user_id) AS n FROM events"
@@ -128,6 +129,25 @@ def rotated_scores(spark, d):
     return S.rotated_null(coded(spark, d), ["recording"], "y", "x", [1, 2, 3]).withColumns({"observed": F.round("observed", 6), "null_mean": F.round("null_mean", 6)})
 
 
+_ALL_TURNS = "SELECT a.recording, (a.t - b.t + a.n) % a.n AS shift, a.n, corr(a.y, b.x) AS c FROM codes a JOIN codes b ON b.recording = a.recording GROUP BY ALL"
+_ALL_RS = "SELECT recording, shift, n, CASE WHEN c IS NULL OR isnan(c) THEN 0 ELSE c END AS r FROM turned"
+
+
+@query(
+    "SELECT o.recording, o.n, round(o.r, 6) AS observed, round(avg(m.r), 6) AS null_mean, round(stddev_pop(m.r), 6) AS null_sd, avg(CASE WHEN m.r >= o.r - 1e-9 THEN 1.0::DOUBLE WHEN m.r IS NOT NULL THEN 0 END) AS reached FROM rs o LEFT JOIN rs m ON m.recording = o.recording AND m.shift > 0 WHERE o.shift = 0 GROUP BY o.recording, o.n, o.r",
+    codes=_CODED, turned=_ALL_TURNS, rs=_ALL_RS,
+)
+def every_rotation(spark, d):
+    got = P.all_rotations_null(coded(spark, d), ["recording"], "y", "x")
+    return got.withColumns({c: F.round(c, 6) + 0.0 for c in ("observed", "null_mean", "null_sd")})
+
+
+@query()
+def permuted_scores(spark, d):
+    """A thousand permutations of each series.  Drawn numbers have no SQL; tests hold them to a brute force's distribution."""
+    return P.permuted_null(coded(spark, d), ["recording"], "y", "x", times=1000, seed=7)
+
+
 @query("SELECT recording, channel, t, round(x - CASE WHEN contact = 5 THEN avg(x) OVER (PARTITION BY recording, t) ELSE avg(x) OVER (PARTITION BY recording, t, contact > 2, contact = 5) END, 6) AS x FROM sign")
 def average_with_fallback(spark, d):
     shaft = F.when(F.col("contact") <= 2, "a").when(F.col("contact") <= 4, "b")

@@ -106,6 +106,17 @@ def knn_neighbours(spark, d):
     return rounded(C.nearest_contacts(e, 3), "distance").drop("group")
 
 
+@query(
+    "SELECT id, other, round(distance, 6) AS distance, rank FROM (SELECT a.id, b.id AS other, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), b.id)::INTEGER AS rank FROM cloud a JOIN cloud b ON a.id <> b.id) WHERE rank <= 5",
+    cloud="SELECT vec_id AS id, floor(embedding[1]::DOUBLE * 20) / 20 AS x, embedding[2]::DOUBLE AS y, floor(embedding[3]::DOUBLE * 5) / 5 AS z FROM embeddings",
+)
+def knn_whole_cloud(spark, d):
+    """All points are one group, many of them on the faces of grid cells."""
+    x, y, z = (F.col("embedding")[k].cast("double") for k in range(3))
+    e = table(spark, d, "embeddings").select(F.lit(1).alias("group"), F.col("vec_id").alias("id"), (F.floor(x * 20) / 20).alias("x"), y.alias("y"), (F.floor(z * 5) / 5).alias("z"))
+    return rounded(C.nearest_contacts(e, 5), "distance").drop("group")
+
+
 @query("SELECT a.vec_id AS id, b.vec_id AS other FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND sqrt(pow(a.embedding[1]::DOUBLE - b.embedding[1], 2) + pow(a.embedding[2]::DOUBLE - b.embedding[2], 2) + pow(a.embedding[3]::DOUBLE - b.embedding[3], 2)) <= 0.05")
 def radius_neighbours(spark, d):
     e = table(spark, d, "embeddings").select(F.col("label").alias("group"), F.col("vec_id").alias("id"), *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")])
