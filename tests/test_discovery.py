@@ -73,3 +73,29 @@ def test_writers_round_trip(spark, tmp_path):
     assert json.loads(spark.read.text(f"{tmp_path}/report").first().value) == {"name": "a", "shifts": [1.5, 2.0], "note": None}
     with pytest.raises(ValueError, match="needs tables"):
         S.assemble({})
+
+
+def test_log_trials_are_strict(spark):
+    from voltlake.operators import alignment as A
+
+    log = "recording int, t int, event_type string, code string, ms long"
+    good = [(1, 0, "Picture", "start", 0), (1, 1, "Sound Recording", "Mic_Rec", 5), (1, 2, "Picture", "dog.bmp", 7), (1, 3, "Picture", "isi", 9), (1, 4, "Response", "3", 11), (1, 5, "Picture", "pause", 12)]
+    rows = spark.createDataFrame(good, log)
+    assert [tuple(r) for r in A.log_trials(rows).collect()] == [(1, 1, 5, 7, 9, "dog.bmp", None)]
+    assert {(r.trial_type, r.ms, r.marker) for r in A.log_extras(rows).collect()} == {("button_press", 11, 3), ("pause_onset", 12, 100), ("run_start", 0, None)}
+    for spoilt, why in ((good[:3], "incomplete"), (good[:2] + [good[4], good[3]], "no picture"), ([*good[:3], (1, 3, "Picture", "pause", 9)], "no isi"), ([good[1], (1, 2, None, None, 7), good[3]], "no picture")):
+        spoilt = spark.createDataFrame(spoilt, log)
+        assert [r.fault for r in A.log_trials(spoilt, strict=False).collect()] == [why]
+        with pytest.raises(Exception, match=why):
+            A.log_trials(spoilt).collect()
+    assert A.log_trials(rows.limit(0)).collect() == []
+
+
+def test_public_registry_rows(spark):
+    from voltlake.operators import registry as R
+
+    rows = [(1, "d|sub-001|ses-1|a|none", "d", "sub-001", "ses-1", "a", None), (2, "d|sub-001|ses-1|a|none", "d", "sub-001", "ses-1", "a", " "), (3, None, "d", "x", None, "a", "p"), (4, " ", "", "", "ses_1", "", ""), (5, "d|sub-001|ses-1|a|q", "d", "sub-001", "ses-1", "a", "p"), (6, "free", "d", None, "ses-1", "a", "p")]
+    df = spark.createDataFrame(rows, "i int, record_id string, dataset_id string, subject string, session string, acquisition_id string, protocol_id string")
+    want = [(2, "error", "record_id_repeated"), (3, "error", "record_id_missing"), (3, "error", "subject_pattern"), (4, "error", "record_id_missing"), (4, "warning", "session_pattern"), (5, "error", "record_id_mismatch")]
+    assert sorted(map(tuple, R.public_issues(df, "i").collect())) == want
+    assert R.public_issues(df.limit(0), "i").collect() == []

@@ -148,6 +148,31 @@ def triplets(rows: DataFrame, keys: Sequence[str], order: str, kind: str, wanted
     return got.where(test).drop(*[f"_k{k}" for k in range(1, len(wanted))])
 
 
+def log_trials(rows: DataFrame, keys: Sequence[str] = ("recording",), order: str = "t", strict: bool = True) -> DataFrame:
+    """rows (keys, order, event_type, code, ms) of a presentation log -> keys, order, recording_ms, picture_ms, isi_ms, stimulus, fault.
+
+    A trial is a microphone row with a picture (.bmp) and an interval picture as the next two rows.  strict: one that is not so
+    fails the query; else its row says why (fault; null for a sound trial).
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    ahead = rows.withColumns({f"_{c}{k}": F.lead(c, k).over(w) for c in ("event_type", "code", "ms") for k in (1, 2)})
+    started = ahead.where((F.col("event_type") == "Sound Recording") & (F.col("code") == "Mic_Rec"))
+    picture = (F.col("_event_type1") == "Picture") & F.endswith(F.col("_code1"), F.lit(".bmp"))
+    rest = (F.col("_event_type2") == "Picture") & (F.col("_code2") == "isi")
+    fault = F.when(F.col("_event_type2").isNull(), "incomplete").when(~F.coalesce(picture, F.lit(False)), "no picture").when(~F.coalesce(rest, F.lit(False)), "no isi")
+    if strict:
+        fault = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("log trial: "), fault)).cast("string"))
+    return started.select(*keys, order, F.col("ms").alias("recording_ms"), F.col("_ms1").alias("picture_ms"), F.col("_ms2").alias("isi_ms"), F.col("_code1").alias("stimulus"), fault.alias("fault"))
+
+
+def log_extras(rows: DataFrame, keys: Sequence[str] = ("recording",)) -> DataFrame:
+    """Rows of a presentation log beside its trials: keys, trial_type (pause_onset, button_press, run_start), ms, marker (100, the button's number, none)."""
+    picture, pressed = F.col("event_type") == "Picture", F.col("event_type") == "Response"
+    kind = F.when(picture & (F.col("code") == "pause"), "pause_onset").when(pressed, "button_press").when(picture & (F.col("code") == "start"), "run_start")
+    marker = F.when(pressed, F.col("code").cast("int")).when(kind == "pause_onset", 100)
+    return rows.select(*keys, kind.alias("trial_type"), "ms", marker.alias("marker")).where("trial_type is not null")
+
+
 def forward_pattern(marks: DataFrame, start: int, stop: int, skip: Sequence[int], keys: Sequence[str] = ("recording",)) -> DataFrame:
     """From each start code to the next stop code: its order, the stop's, and the last code between that isn't skipped."""
     w = Window.partitionBy(*keys).orderBy("t")

@@ -123,6 +123,27 @@ def repeated(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r > 1").drop("_r")
 
 
+def public_issues(rows: DataFrame, order: str, subject: str = r"^sub-\d{3}$", session: str = r"^ses-[A-Za-z0-9]+$") -> DataFrame:
+    """order, level, code of a public registry's rows: patterns, and the record id, which must be there, be the only one of its
+    value (the first in the order passes) and equal the one made from its row's parts, where these are there.
+
+    Null and blank count as not there; a row without an id has no further check of it.
+    """
+    there = {c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "" for c in ("record_id", "dataset_id", "subject", "session", "acquisition_id", "protocol_id")}
+    made = F.concat_ws("|", "dataset_id", "subject", "session", "acquisition_id", F.when(there["protocol_id"], F.col("protocol_id")).otherwise("none"))
+    whole = there["dataset_id"] & there["subject"] & there["session"] & there["acquisition_id"]
+    own = F.when(there["record_id"], F.struct(F.lit(0).cast("long").alias("i"), F.col("record_id").cast("string").alias("id"))).otherwise(F.struct(F.xxhash64(order).alias("i"), F.lit("").alias("id")))  # rows without an id don't meet
+    first = F.min(order).over(Window.partitionBy(own))
+    checks = {
+        "subject_pattern": ("error", there["subject"] & ~F.rlike("subject", F.lit(subject))),
+        "session_pattern": ("warning", there["session"] & ~F.rlike("session", F.lit(session))),
+        "record_id_missing": ("error", ~there["record_id"]),
+        "record_id_repeated": ("error", there["record_id"] & (F.col(order) > F.col("_first"))),
+        "record_id_mismatch": ("error", there["record_id"] & whole & (F.col("record_id") != made)),
+    }
+    return issues(rows.withColumn("_first", first), order, checks)
+
+
 def missing_columns(df: DataFrame, required: Sequence[str], allowed: Sequence[str] = ()) -> tuple[list[str], list[str]]:
     """(required but absent, present but neither required nor allowed), from the schema alone."""
     have = set(df.columns)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voltlake.operators import alignment as A
 from voltlake.operators import discovery as S
 from voltlake.operators import encoding as E
 from voltlake.operators import permutations as P
-from voltlake.plans.testbed import coded, query, sign, table
+from voltlake.operators import registry as R
+from voltlake.plans.testbed import coded, mark, query, sign, table
 
 _CODED = "SELECT user_id AS recording, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END::DOUBLE AS x, value AS y, count(*) OVER (PARTITION BY user_id) AS n FROM events"
 _FOLDED = "SELECT recording, t, x, o AS output, CASE o WHEN 0 THEN y ELSE 40 * x + y END AS y, CASE WHEN (t * 5) // n < 4 THEN (t * 5) // n // 2 ELSE 2 END AS fold FROM codes, range(2) r(o)"
@@ -173,3 +175,46 @@ def other_speaker(spark, d):
 def report_sections(spark, d):
     made = S.assemble({"regions": table(spark, d, "region"), "nations": table(spark, d, "nation")})
     return made.groupBy("section", "place").agg(F.count("row").alias("n"))
+
+
+_PUBLIC = (
+    "SELECT o_orderkey, o_orderpriority AS dataset_id, CASE o_orderkey % 9 WHEN 0 THEN ' ' WHEN 1 THEN 's' || o_custkey ELSE 'sub-' || lpad((o_custkey % 1000)::VARCHAR, 3, '0') END AS subject, CASE o_orderkey % 8 WHEN 0 THEN 'x' ELSE 'ses-' || o_orderstatus END AS session, "
+    "(o_custkey % 40)::VARCHAR AS acquisition_id, CASE WHEN o_orderkey % 3 = 0 THEN 'p' ELSE '' END AS protocol_id FROM orders"
+)
+_WITH_ID = "SELECT *, CASE o_orderkey % 13 WHEN 0 THEN '' WHEN 1 THEN 'other' ELSE dataset_id || '|' || subject || '|' || session || '|' || acquisition_id || '|' || CASE WHEN protocol_id = '' THEN 'none' ELSE protocol_id END END AS record_id FROM public"
+_PUBLIC_ISSUES = (
+    "SELECT o_orderkey, unnest(['error', 'warning', 'error', 'error', 'error']) AS level, unnest(['subject_pattern', 'session_pattern', 'record_id_missing', 'record_id_repeated', 'record_id_mismatch']) AS code, unnest([trim(subject) <> '' AND NOT regexp_matches(subject, '^sub-\\d{3}$'), NOT regexp_matches(session, '^ses-[A-Za-z0-9]+$'), record_id = '', "
+    "record_id <> '' AND row_number() OVER (PARTITION BY record_id ORDER BY o_orderkey) > 1, record_id = 'other' AND trim(subject) <> '']) AS bad FROM withid"
+)
+
+
+@query("SELECT o_orderkey, level, code FROM found WHERE bad", public=_PUBLIC, withid=_WITH_ID, found=_PUBLIC_ISSUES)
+def public_registry_issues(spark, d):
+    key = F.col("o_orderkey")
+    subject = F.when(key % 9 == 0, " ").when(key % 9 == 1, F.concat(F.lit("s"), "o_custkey")).otherwise(F.concat(F.lit("sub-"), F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, F.lit("0"))))
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("dataset_id"), subject.alias("subject"), F.when(key % 8 == 0, "x").otherwise(F.concat(F.lit("ses-"), "o_orderstatus")).alias("session"),
+        (F.col("o_custkey") % 40).cast("string").alias("acquisition_id"), F.when(key % 3 == 0, "p").otherwise("").alias("protocol_id"),
+    )
+    made = F.concat_ws("|", "dataset_id", "subject", "session", "acquisition_id", F.when(F.col("protocol_id") == "", "none").otherwise(F.col("protocol_id")))
+    return R.public_issues(rows.withColumn("record_id", F.when(key % 13 == 0, "").when(key % 13 == 1, "other").otherwise(made)), "o_orderkey")
+
+
+_LOG = "SELECT recording, t, CASE kind WHEN 'click' THEN 'Sound Recording' WHEN 'signup' THEN 'Response' ELSE 'Picture' END AS event_type, CASE kind WHEN 'click' THEN 'Mic_Rec' WHEN 'view' THEN t || '.bmp' WHEN 'error' THEN 'isi' WHEN 'purchase' THEN 'pause' ELSE '7' END AS code, t * 10 AS ms FROM mark"
+_AHEAD = "SELECT *, lead(code, 1) OVER w AS c1, lead(code, 2) OVER w AS c2, lead(ms, 1) OVER w AS m1, lead(ms, 2) OVER w AS m2 FROM log WINDOW w AS (PARTITION BY recording ORDER BY t)"
+
+
+def _log(spark, d):
+    kind, t = F.col("kind"), F.col("t").cast("string")
+    code = F.when(kind == "click", "Mic_Rec").when(kind == "view", F.concat(t, F.lit(".bmp"))).when(kind == "error", "isi").when(kind == "purchase", "pause").otherwise("7")
+    return mark(spark, d).select("recording", "t", F.when(kind == "click", "Sound Recording").when(kind == "signup", "Response").otherwise("Picture").alias("event_type"), code.alias("code"), (F.col("t") * 10).alias("ms"))
+
+
+@query("SELECT recording, t, ms AS recording_ms, coalesce(m1, -1) AS picture_ms, coalesce(m2, -1) AS isi_ms, coalesce(c1, '') AS stimulus, CASE WHEN c2 IS NULL THEN 'incomplete' WHEN c1 NOT LIKE '%.bmp' THEN 'no picture' WHEN c2 <> 'isi' THEN 'no isi' ELSE '' END AS fault FROM ahead WHERE code = 'Mic_Rec'", log=_LOG, ahead=_AHEAD)
+def log_trial_faults(spark, d):
+    return A.log_trials(_log(spark, d), strict=False).fillna("", ["fault", "stimulus"]).fillna(-1, ["picture_ms", "isi_ms"])
+
+
+@query("SELECT recording, CASE code WHEN 'pause' THEN 'pause_onset' ELSE 'button_press' END AS trial_type, ms, CASE code WHEN 'pause' THEN 100 ELSE code::INTEGER END AS marker FROM log WHERE code IN ('pause', '7')", log=_LOG)
+def log_extra_rows(spark, d):
+    return A.log_extras(_log(spark, d))
