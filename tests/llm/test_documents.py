@@ -501,3 +501,10 @@ def test_the_shared_folder_is_the_cluster_s(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_root(Cluster)
     assert common.shared_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+@pytest.mark.parametrize("behind, labels", [("see the LICENSE file", ""), ("MIT and see LICENSE", "mit"), ("NOASSERTION", ""), ("LicenseRef-Acme OR Zlib", "licenseref-acme,zlib"), ("GPL-2.0-or-later WITH Classpath-exception-2.0", "gpl"), ("(MIT OR", "mit"), ("Apache-2.0 */", "apache"), ("", "")])
+def test_only_identifiers_are_labels(behind, labels):
+    from voltlake.llm import licences
+
+    assert licences.scan(f"// SPDX-License-Identifier: {behind}\nint main;")[5] == labels

@@ -8,7 +8,8 @@ The score is the freedom of use from 0 to 1 that all declarations of the text le
 and 0 where there is none.
 
 Defined results: a null or empty text has no words, labels or places and score 0; a broken expression counts the
-identifiers in it joined by ``and``; repeated rows are scanned each; a very long text is one row; an empty table
+identifiers in it joined by ``and``; prose behind a tag names none; ties (equal labels or places) count once as labels
+and each as places; repeated rows are scanned each; a very long text is one row; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -43,6 +44,8 @@ FREEDOM = {
     "mpl": 0.6, "epl": 0.55, "lgpl": 0.5, "cc-by-sa": 0.4, "cc-by-nd": 0.3, "gpl": 0.25, "cc-by-nc": 0.2, "agpl": 0.15, "proprietary": 0.0,
 }
 OTHER = 0.1
+#: Identifiers of one plain word that have no label above.
+PLAIN = {"zlib", "curl", "wtfpl", "postgresql", "ruby", "ncsa", "beerware", "vim", "python", "libpng", "libtiff", "openssl", "php", "x11", "fair", "latex2e"}
 BINDS = {"or": 1, "and": 2, "with": 3}
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_base", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -56,6 +59,12 @@ def label_of(identifier: str) -> str:
     return max((k for k in FREEDOM if low == k or low.startswith(k + "-")), key=len, default=low)
 
 
+def is_identifier(token: str) -> bool:
+    """Whether a word behind the tag can be an identifier: a known one, one that a document defines, or one with a digit or a hyphen inside."""
+    low = token.lower().rstrip("+")
+    return label_of(token) in FREEDOM or low in PLAIN or bool(re.search(r"[0-9]|[a-z]-[a-z]", low))
+
+
 def evaluate(expression: str) -> tuple[float, list[str]]:
     """The expression's freedom of use and its labels, by the shunting-yard method.
 
@@ -76,7 +85,7 @@ def evaluate(expression: str) -> tuple[float, list[str]]:
             low = token.lower()
             if operand and low == "(":
                 waiting.append(low)
-            elif operand and low not in BINDS and low != ")":
+            elif operand and is_identifier(token):
                 if not (waiting and waiting[-1] == "with"):
                     labels.append(label_of(token))
                 values.append(FREEDOM.get(label_of(token), OTHER))
@@ -98,7 +107,7 @@ def evaluate(expression: str) -> tuple[float, list[str]]:
             settle()
         (value,) = values
     except (ValueError, IndexError, KeyError):
-        names = [t for t in _TOKEN.findall(expression) if t.lower() not in BINDS and t not in "()"]
+        names = [t for t in _TOKEN.findall(expression) if is_identifier(t)]
         labels = [label_of(t) for t in names]
         value = min((FREEDOM.get(x, OTHER) for x in labels), default=0.0)
     return value, labels
