@@ -14,7 +14,7 @@ the same for shards of all sizes.
 A shard's task takes first its vectors, then the queries in blocks, so it holds one shard and one block at a time.
 Graphs are searched in single precision; the score of what they find is computed from the vectors as they are stored, in double precision.
 
-A shard holds SHARD_ROWS points on average, however many there are: recall falls as a shard grows, and dealing by hash keeps
+A shard holds SHARD_ROWS points on average at most, and tables of every size have SHARDS shards at least: recall falls as a shard grows, and dealing by hash keeps
 shards of 8,000 below 10,000, where recall is measured (README).  Every query visits every shard, so the rows dealt are
 queries times shards: with a twentieth of n vectors as queries n * n / 160,000 rows, 6 million for a million vectors.
 Larger shards send fewer rows but need a wider beam for the same recall.
@@ -38,8 +38,8 @@ from voltlake.llm.common import written
 
 #: Most out-edges, beam while building and while searching, pruning factor, points expanded a step.
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, STEP = 32, 64, 256, 1.2, 4
-#: Vectors a shard holds on average at most, points inserted and queries searched together.
-SHARD_ROWS, BATCH = 8000, 512
+#: Vectors a shard holds on average at most, least shards (they are built and searched side by side), points inserted and queries searched together.
+SHARD_ROWS, SHARDS, BATCH = 8000, 8, 512
 #: Landmarks a square root of the points, and how many of the nearest begin a search.
 PIVOTS, ENTRIES = 4, 16
 
@@ -217,7 +217,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int =
     ids = rows.dropDuplicates(["vec_id", "embedding"]).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1)
     points = written(ids.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "points")
     n = points.count()
-    shards = max(1, -(-n // shard_rows))
+    shards = max(SHARDS, -(-n // shard_rows))
     key = F.xxhash64("embedding")
     queries = rows.where(is_query).dropDuplicates(["vec_id", "embedding"])
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.array("vec_id").alias("ids"), "embedding", key.alias("key"))
