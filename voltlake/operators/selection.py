@@ -130,9 +130,23 @@ def meaningful_threshold(df: DataFrame, score: str, q: float = 0.75, floor: floa
 
 
 def midpoint_threshold(signal: DataFrame, keys: Sequence[str] = ("recording",)) -> DataFrame:
-    """Half way between the 5th and 95th percentile of each recording."""
-    q = F.percentile("x", F.array(F.lit(0.05), F.lit(0.95)))
-    return signal.groupBy(*keys).agg(q.alias("q")).select(*keys, ((F.col("q")[0] + F.col("q")[1]) / 2).alias("threshold"))
+    """Half way between the 5th and 95th percentile of each recording.
+
+    A percentile between two values is low * (1 - d) + high * d, rounded once (a fused multiply-add), as SQL's quantile_cont
+    has it: values of few digits lie half way between two roundings often, and there the last bit counts.
+    """
+    w = Window.partitionBy(*keys)
+    placed = signal.withColumns({"_n": F.count("x").over(w), "_i": F.row_number().over(w.orderBy(F.asc_nulls_last("x"))) - 1})
+    at = {p: (F.col("_n") - 1) * F.lit(q) for p, q in (("a", 0.05), ("b", 0.95))}
+    ends = {f"_{p}{e}": F.max(F.when(F.col("_i") == f(at[p]), F.col("x"))) for p in at for e, f in (("low", F.floor), ("high", F.ceil))}
+    got = placed.groupBy(*keys).agg(F.max("_n").alias("_n"), *[c.alias(n) for n, c in ends.items()])
+
+    def between(p: str) -> Column:
+        low, high, d = F.col(f"_{p}low"), F.col(f"_{p}high"), at[p] - F.floor(at[p])
+        fused = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - d, high * d).cast("double")
+        return F.when(d == 0, low).when(F.col("_n") > 0, fused)
+
+    return got.select(*keys, ((between("a") + between("b")) / 2).alias("threshold"))
 
 
 def min_max(value: Column, low: float, high: float, keys: Sequence[str] = ()) -> Column:

@@ -52,7 +52,7 @@ def keyword_top(spark, d):
 
 @query("SELECT recording, round((quantile_cont(x, 0.05) + quantile_cont(x, 0.95)) / 2, 1) AS threshold FROM sig1 GROUP BY recording")
 def midpoint_threshold(spark, d):
-    return L.midpoint_threshold(sig1(spark, d)).withColumn("threshold", F.round("threshold", 1))
+    return L.midpoint_threshold(sig1(spark, d)).withColumn("threshold", F.round(F.col("threshold") * 10) / 10)  # as SQL rounds: the double times ten, not its digits
 
 
 @query("SELECT round(greatest(quantile_cont(abs(value), 0.75), 0.1), 4) AS threshold FROM events")
