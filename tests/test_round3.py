@@ -31,3 +31,15 @@ def test_midpoint_threshold_half_way_between_roundings(spark, tmp_path):
     d = events_of(spark, tmp_path, values)
     got = {r.recording: r.threshold for r in QUERIES["midpoint_threshold"](spark, d).collect()}
     assert got == dict(by_sql("midpoint_threshold", d, "events")) and set(got) == set(values)
+
+
+def test_metric_by_name_ranks_values_not_rows(spark, tmp_path):
+    """Ties, prices that are null (ranked last, as in SQL), a null flag, and rows that repeat, over several ranges."""
+    rows = [(k % 50, "AN"[k % 2], float(1 + k * k % 7), None if k % 11 == 0 else 100.0 * (k * 37 % 23)) for k in range(400)] + [(1, "R", 5.0, 700.0)] * 3 + [(1, "R", 6.0, 100.0)] + [(1, None, 2.0, 1.0), (1, None, 3.0, 2.0)]
+    spark.createDataFrame(rows, "l_orderkey int, l_returnflag string, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.l_returnflag, r.metric): r.score for r in QUERIES["metric_by_name"](spark, str(tmp_path)).collect()}
+    want = {(f, m): s for f, m, s in by_sql("metric_by_name", tmp_path, "lineitem")}
+    assert set(got) == set(want)
+    for k in [(f, m) for f in ("A", "N", "R", None) for m in ("pearson", "spearman", "r2")]:
+        assert got[k] == pytest.approx(want[k], abs=1e-6), k
+    assert got["R", "spearman"] == -1.0

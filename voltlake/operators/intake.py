@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlake.operators.registry import issues
-from voltlake.operators.series import average_rank
+from voltlake.operators.series import centred_ranks
+from voltlake.storage import written
 
 
 def run_ids(listings: Sequence[DataFrame], keys: Sequence[str] = (), path: str = "path") -> DataFrame:
@@ -107,8 +108,18 @@ def _pearson(df: DataFrame, keys: Sequence[str], y: str, p: str) -> DataFrame:
 
 
 def _spearman(df: DataFrame, keys: Sequence[str], y: str, p: str) -> DataFrame:
-    ranked = df.withColumns({"_y": average_rank(F.col(y), keys), "_p": average_rank(F.col(p), keys)})
-    return _pearson(ranked, keys, "_y", "_p")
+    """From different pairs and their numbers: no window holds a key's rows, and ranks are joined from one row a value."""
+    names = list(keys)
+    pairs = written(df.groupBy(*names, F.col(y).alias("_y"), F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c")), "pairs")
+    for c in ("_y", "_p"):
+        ranks = centred_ranks(pairs, names, c, "_c").withColumnsRenamed({n: f"_of_{n}" for n in [*names, c]})
+        same = F.lit(True)
+        for n in [*names, c]:
+            same = same & F.col(n).eqNullSafe(F.col(f"_of_{n}"))
+        pairs = pairs.join(ranks.withColumnRenamed("_rank", f"{c}_rank"), same, "left").drop(*[f"_of_{n}" for n in [*names, c]])
+    a, b, n = F.col("_y_rank"), F.col("_p_rank"), F.col("_c")
+    both, own = F.sum(n * a * b), F.sum(n * a * a) * F.sum(n * b * b)
+    return pairs.groupBy(*names).agg(F.when(own > 0, both / F.sqrt(own)).otherwise(0.0).alias("score"))
 
 
 def _r2(df: DataFrame, keys: Sequence[str], y: str, p: str) -> DataFrame:

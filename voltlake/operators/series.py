@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from voltlake.storage import written
+
 
 def by(keys: Sequence[str] = ("recording",), order: str = "t") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
@@ -152,6 +154,26 @@ def average_rank(x: Column, keys: Sequence[str]) -> Column:
     return F.rank().over(Window.partitionBy(*keys).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, x)) - 1) / 2.0
 
 
+def centred_ranks(counted: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
+    """counted (keys, value, count) -> keys, value, _rank: the average rank of each different value less its key's mean rank, nulls last.
+
+    Values are dealt by ranges and sorted there; only a range's counts by key meet in one place, so no task holds a key's values.
+    """
+    names = list(keys)
+    order = [*names, F.asc_nulls_last(value)]
+    values = counted.groupBy(*names, value).agg(F.sum(count).alias("_n"))
+    dealt = written(values.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "values")
+    part = dealt.groupBy(*names, "_part").agg(F.sum("_n").alias("_n"))  # a row a range, and one more for each key that begins within it
+    w = Window.partitionBy(*names)
+    start = part.select(*[F.col(k).alias(f"_of_{k}") for k in names], F.col("_part").alias("_of_part"), (F.sum("_n").over(w.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("_all"))
+    same = F.col("_part") == F.col("_of_part")
+    for k in names:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    upto = F.sum("_n").over(Window.partitionBy(*names, "_part").orderBy(F.asc_nulls_last(value)))
+    met = dealt.withColumn("_upto", upto).join(start, same)
+    return met.select(*names, value, (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0 - (F.col("_all") + 1) / 2.0).alias("_rank"))
+
+
 def delta(x: Column, w: WindowSpec, whole: WindowSpec, reach: int = 2) -> Column:
     """Regression slope over 2 * reach + 1 samples, the edge samples repeated."""
     first, last = F.first(x).over(whole), F.last(x).over(whole)
