@@ -4,6 +4,7 @@ import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from voltlake.plans.catalog import ORACLE, QUERIES
 
@@ -43,3 +44,54 @@ def test_metric_by_name_ranks_values_not_rows(spark, tmp_path):
     for k in [(f, m) for f in ("A", "N", "R", None) for m in ("pearson", "spearman", "r2")]:
         assert got[k] == pytest.approx(want[k], abs=1e-6), k
     assert got["R", "spearman"] == -1.0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def trains(spark, many):
+    return spark.createDataFrame([(k, float(7 * i + (i * i * (k + 3)) % 5)) for k in many for i in range(40)], "k long, onset double")
+
+
+def test_delays_are_found_once_and_not_as_rows_of_pairs(spark, tmp_path):
+    values = {u: [float(k) for k in range(30)] for u in (1, 2, 41)}
+    d = events_of(spark, tmp_path, values)
+    plan = plan_of(QUERIES["constant_delay"](spark, d))
+    assert plan.count("MapInPandas") == 1 and "Generate" not in plan
+
+
+def test_robust_mean_of_arrays(spark):
+    from voltlake.operators import series
+
+    lists = {1: [1.0, 1.5, 2.0, 90.0], 2: [3.0, 3.0, 3.0, 8.0], 3: [4.0], 4: [None], 5: [1.0, 2.0, 4.0, 7.0, 11.0, None]}
+    df = spark.createDataFrame([(k, v) for k, vs in lists.items() for v in vs], "k int, v double")
+    want = {r.k: r.robust_mean for r in series.robust_mean(df, ["k"], "v").collect()}
+    got = df.groupBy("k").agg(F.collect_list("v").alias("vs")).select("k", series.robust_mean_of("vs").alias("m"))
+    assert {r.k: r.m for r in got.collect()} == {k: v if v is None else pytest.approx(v) for k, v in want.items()}
+
+
+def test_dialogue_pairs_no_onsets_of_aligned_trains(spark, monkeypatch):
+    from voltlake.operators import alignment, composites
+
+    asked, real = [], alignment.onset_delays
+    monkeypatch.setattr(alignment, "onset_delays", lambda ref, raw, key: (asked.extend(r.k for r in ref.select(key).distinct().collect()), real(ref, raw, key))[1])
+    ref = trains(spark, range(4))
+    raw = ref.where("k <> 2 or onset < 20").withColumn("onset", F.col("onset") + 5.0)  # too few intervals for a window
+    dur = spark.createDataFrame([(k, 900.0) for k in range(4)], "k long, duration double")
+    got = {r.k: (round(r.delay, 6), r.rmse is None) for r in composites.dialogue_events(ref, raw, dur, "k").collect()}
+    assert asked == [2] and got == {k: (5.0, k == 2) for k in range(4)}
+
+
+def test_nearest_contacts_deal_what_places_meet(spark, monkeypatch):
+    """The join that each place's neighbours come from is dealt by the number of places, not by the bytes before it."""
+    from voltlake.operators import channels as C
+
+    monkeypatch.setattr(C, "TASK_PLACES", 50, raising=False)
+    points = [(1, k, (k * 37 % 101) / 10, (k * 53 % 211) / 10, (k * 71 % 307) / 10) for k in range(400)]
+    df = C.nearest_contacts(spark.createDataFrame(points, "group int, id int, x double, y double, z double"), 3)
+    assert "9), REPARTITION_BY_NUM" in plan_of(df)
+    got = {(r.id, r["rank"]): (r.other, round(r.distance, 9)) for r in df.collect()}
+    for _, i, *a in points:
+        near = sorted((sum((p - q) ** 2 for p, q in zip(a, b)) ** 0.5, j) for _, j, *b in points if j != i)[:3]
+        assert [got[i, n + 1] for n in range(3)] == [(j, round(s, 9)) for s, j in near]

@@ -13,6 +13,8 @@ from voltlake.storage import written
 
 #: Halvings of the extent of all points, down to the finest grid cells that ``nearest_contacts`` tells apart.
 LEVELS = 20
+#: Places a task, where each becomes many rows: its cells of all levels, and the points it meets.
+TASK_PLACES = 5_000
 
 
 def common_average(signal: DataFrame, groups: Sequence[str] = (), pool: str | None = None) -> DataFrame:
@@ -103,7 +105,7 @@ def _by_rings(points: DataFrame, k: int) -> DataFrame:
     at = F.struct(*[F.col(c).cast("double").alias(c) for c in "xyz"])
     rows = written(points.where(sound).groupBy("group", "id").agg(F.min(at).alias("_at")).select("group", "id", "_at.*"), "points")
     place = ["group", "x", "y", "z"]
-    low = rows.agg(*[F.min(c) for c in "xyz"], F.greatest(*[F.max(c) - F.min(c) for c in "xyz"])).first()
+    low = rows.agg(*[F.min(c) for c in "xyz"], F.greatest(*[F.max(c) - F.min(c) for c in "xyz"]), F.count(F.lit(1))).first()
     width = 2.0 ** (math.frexp(low[3])[1] if low[3] else 0)  # over the extent
     first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*place).orderBy("id"))).where(F.col("_r") <= k + 1)
     places = written(first.groupBy(*place).agg(F.sort_array(F.collect_list("id")).alias("ids")), "places")
@@ -112,7 +114,9 @@ def _by_rings(points: DataFrame, k: int) -> DataFrame:
         return df.withColumns({f"c{c}": F.floor((F.col(c) - (low[i] or 0.0)) * F.pow(F.lit(2.0), F.col("level")) / width) for i, c in enumerate("xyz")})
 
     key = ["group", "level", "cx", "cy", "cz"]
-    at_all = cells(places.select(*place, F.size("ids").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")))
+    tasks = 1 + low[4] // TASK_PLACES
+    dealt = places.repartition(tasks, *place)  # each counts at all levels, which mostly are cells of its own
+    at_all = cells(dealt.select(*place, F.size("ids").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")))
     full = at_all.groupBy(*key).agg(F.sum("n").alias("_n")).where((F.col("_n") > k) | (F.col("level") == 0)).drop("_n")
     asked = written(at_all.join(full, key, "left_semi").groupBy(*place).agg(F.max("level").alias("level")), "asked")
 
@@ -123,7 +127,8 @@ def _by_rings(points: DataFrame, k: int) -> DataFrame:
         for c in "xyz":
             around = around.withColumn("_s", F.explode(steps)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_s")).where((F.col(f"c{c}") >= 0) & (F.col(f"c{c}") < F.pow(F.lit(2.0), F.col("level")))).drop("_s")
         there = cells(places.join(asking.select("group", "level").distinct(), "group"))
-        met = around.join(there.select(*key, "ids", *[F.col(c).alias(f"_{c}") for c in "xyz"]), key)
+        there = there.select(*key, "ids", *[F.col(c).alias(f"_{c}") for c in "xyz"])
+        met = around.repartition(tasks, *key).join(there.repartition(tasks, *key), key)  # a task sorts what few places meet
         met = met.select(*place, "level", _distance().alias("distance"), F.explode("ids").alias("other"))
         return met.withColumn("_r", F.row_number().over(Window.partitionBy(*place).orderBy("distance", "other"))).where(F.col("_r") <= k + 1).drop("_r")
 
