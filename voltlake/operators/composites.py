@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltlake.operators import alignment, channels, encoding, selection, series
+from voltlake.operators import alignment, channels, encoding, series
+from voltlake.storage import written
 
 
 def dialogue_events(reference: DataFrame, raw: DataFrame, durations: DataFrame, key: str, width: int | None = None, tolerance: float = 0.05, lead_in: float = 4.0, length: float = 240.0) -> DataFrame:
@@ -18,7 +19,9 @@ def dialogue_events(reference: DataFrame, raw: DataFrame, durations: DataFrame,
     triggers, few intervals) are aligned by onset pairs; their rmse is null.
     """
     ref, own = (series.intervals(d, [key], "onset") for d in (reference, raw))
-    found = selection.with_fallback(alignment.nearest_windows(ref, own, key, width, tolerance), alignment.onset_delays(ref, own, key), [key])
+    fit = written(alignment.nearest_windows(ref, own, key, width, tolerance), "windows")
+    rest = ref.join(fit.select(key).distinct(), key, "left_anti")  # onsets of aligned trains aren't paired
+    found = fit.unionByName(alignment.onset_delays(rest, own, key))
     best = alignment.best_delay(found, ref, own, key, tolerance)
     start = F.greatest(F.col("delay") + lead_in, F.lit(0.0))
     out = best.join(durations, key).withColumn("onset", start)
