@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -75,6 +75,8 @@ def greedy_matches(a: DataFrame, b: DataFrame, key: str, onset: str, tolerance:
 
 #: Intervals of a window that is as long as the trains allow: at least, at most.
 SHORTEST, LONGEST = 5, 12
+#: Rows of found windows that a task holds before it emits them.
+HELD = 100_000
 #: Where no window is within the tolerance the best one may have so many times it.
 WIDE = 5.0
 
@@ -82,23 +84,46 @@ WIDE = 5.0
 def window_delays(reference: DataFrame, raw: DataFrame, key: str, width: int | None = None, starts: int = 31, limit: float = 0.05) -> DataFrame:
     """Delays from interval windows that fit: every reference window (of the first ``starts``) against every raw one, by RMSE.
 
+    A key's heads meet in one row, and only windows within the limit become rows.
     reference and raw: key, onset, interval.  Candidates are at most starts squared a key.  Without a width it is the
     shorter train's length, LONGEST at most; trains of fewer than SHORTEST intervals have no window.
     """
     def heads(df: DataFrame, p: str) -> DataFrame:
         i = F.row_number().over(Window.partitionBy(key).orderBy("onset", "interval"))
         got = df.select(key, "onset", "interval", i.alias("_i")).where(F.col("_i") < starts + (width or LONGEST))
-        return got.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "onset", "interval"))).alias(p))
+        rows = got.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "onset", "interval"))).alias("_h"))
+        return rows.select(key, F.col("_h.onset").cast("array<double>").alias(f"{p}_onset"), F.col("_h.interval").cast("array<double>").alias(f"{p}_interval"))
+
+    def frame(found: list[tuple]) -> pd.DataFrame:
+        ks, i, j, delay, rmse = zip(*found, strict=True)
+        cols = [np.concatenate(c) for c in (i, j, delay, rmse)]
+        return pd.DataFrame({key: [k for k, own in zip(ks, i, strict=True) for _ in own], **dict(zip(("ref_start", "raw_start", "delay", "rmse"), cols, strict=True))})
+
+    def fits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out, held = [], 0
+            for k, a_on, a, b_on, b in pdf.itertuples(index=False, name=None):
+                n = width or min(LONGEST, len(a), len(b))
+                p, q = min(starts, len(a) - n + 1), min(starts, len(b) - n + 1)
+                if n < (width or SHORTEST) or p < 1 or q < 1:
+                    continue
+                a_on, a, b_on, b = (np.asarray(x, float) for x in (a_on, a, b_on, b))
+                square = np.zeros((p, q))
+                for i in range(n):
+                    gap = a[i : i + p, None] - b[None, i : i + q]
+                    square += gap * gap
+                rmse = np.sqrt(square / n)
+                i, j = np.nonzero(rmse <= limit)
+                out.append((k, i, j, b_on[j] - a_on[i], rmse[i, j]))
+                held += len(i)
+                if held > HELD:
+                    yield frame(out)
+                    out, held = [], 0
+            if held:
+                yield frame(out)
 
-    met = heads(reference, "_ref").join(heads(raw, "_raw"), key)
-    met = met.withColumn("_n", F.lit(width) if width else F.least(F.lit(LONGEST), F.size("_ref"), F.size("_raw"))).where(F.col("_n") >= (width or SHORTEST))
-    for p in ("ref", "raw"):
-        last = F.least(F.lit(starts - 1), F.size(f"_{p}") - F.col("_n"))
-        met = met.where(last >= 0).withColumn(f"{p}_start", F.explode(F.sequence(F.lit(0), last)))
-    window = lambda p: F.slice(f"_{p}", F.col(f"{p}_start") + 1, F.col("_n"))
-    onset = lambda p: F.get(f"_{p}", F.col(f"{p}_start"))["onset"]
-    square = F.aggregate(F.zip_with(window("ref"), window("raw"), lambda x, y: (x["interval"] - y["interval"]) * (x["interval"] - y["interval"])), F.lit(0.0), lambda s, v: s + v)
-    return met.withColumn("rmse", F.sqrt(square / F.col("_n"))).where(F.col("rmse") <= limit).select(key, "ref_start", "raw_start", (onset("raw") - onset("ref")).alias("delay"), "rmse")
+    met = heads(reference, "ref").join(heads(raw, "raw"), key)
+    return met.mapInPandas(fits, f"`{key}` {reference.schema[key].dataType.simpleString()}, ref_start int, raw_start int, delay double, rmse double")
 
 
 def nearest_windows(reference: DataFrame, raw: DataFrame, key: str, width: int | None, tolerance: float) -> DataFrame:
@@ -119,7 +144,8 @@ def onset_delays(reference: DataFrame, raw: DataFrame, key: str, starts: int = 3
 
 
 def constant_delay(delays: DataFrame, key: str) -> DataFrame:
-    return series.robust_mean(delays, [key], "delay")
+    """The robust mean of each key's delays (as ``series.robust_mean``).  A key has few of them, so they meet in one array and are computed once."""
+    return delays.groupBy(key).agg(F.collect_list("delay").alias("_v")).select(key, series.robust_mean_of("_v").alias("robust_mean"))
 
 
 def best_delay(candidates: DataFrame, reference: DataFrame, raw: DataFrame, key: str, tolerance: float) -> DataFrame:

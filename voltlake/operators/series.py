@@ -154,6 +154,20 @@ def average_rank(x: Column, keys: Sequence[str]) -> Column:
     return F.rank().over(Window.partitionBy(*keys).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, x)) - 1) / 2.0
 
 
+def robust_mean_of(values: str, limit: float = 3.5) -> Column:
+    """robust_mean of an array that is short."""
+    def middle(a: Column) -> Column:
+        a = F.sort_array(a)
+        return (F.get(a, ((F.size(a) - 1) / 2).cast("int")) + F.get(a, (F.size(a) / 2).cast("int"))) / 2
+
+    med = middle(F.col(values))
+    off = F.transform(values, lambda v: F.struct(v.alias("v"), F.abs(v - med).alias("d")))
+    mad = middle(off["d"])
+    kept = F.filter(off, lambda s: 0.6745 * s["d"] / F.nullif(mad, F.lit(0.0)) < limit)["v"]
+    mean = F.aggregate(kept, F.lit(0.0), lambda s, v: s + v) / F.size(kept)
+    return F.when(mad > 0, mean).otherwise(med)
+
+
 def centred_ranks(counted: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
     """counted (keys, value, count) -> keys, value, _rank: the average rank of each different value less its key's mean rank, nulls last.
 
