@@ -95,3 +95,22 @@ def test_nearest_contacts_deal_what_places_meet(spark, monkeypatch):
     for _, i, *a in points:
         near = sorted((sum((p - q) ** 2 for p, q in zip(a, b)) ** 0.5, j) for _, j, *b in points if j != i)[:3]
         assert [got[i, n + 1] for n in range(3)] == [(j, round(s, 9)) for s, j in near]
+
+
+def test_sums_of_many_folds_are_taken_at_once(spark):
+    """Batches of many folds give the sums that a backend with steps of its own gives fold by fold."""
+    from voltlake.operators import model_runs as Z
+
+    rows = spark.createDataFrame([(k % 150, [float(k % 7), float(k * k % 11)], [float(k % 13)], 1.0 + k % 3) for k in range(900)], "fold long, lagged array<double>, y array<double>, w double").coalesce(1)
+    origin = Z.origin_of(rows)
+
+    class Own(Z.Ridge):
+        def accumulate(self, x, y, w):
+            return super().accumulate(x, y, w)
+
+    got, want = ({r.fold: r for r in Z.sums_by(rows, ["fold"], b, origin).collect()} for b in (Z.backend_of("ridge"), Own()))
+    assert set(got) == set(want) and len(got) == 150
+    for k, r in want.items():
+        for c in ("n", "sx", "sy", "xx", "xy", "yy"):
+            assert got[k][c] == pytest.approx(r[c]), (k, c)
+    assert Z.MANY_VALUES > 2 * 3 * 900  # so the first went at once

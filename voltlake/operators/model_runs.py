@@ -123,6 +123,8 @@ def backends() -> list[str]:
 register_backend("ridge", Ridge())
 register_backend("lasso", Lasso())
 
+#: Products of a batch's rows up to which the sums of its keys are taken at once.
+MANY_VALUES = 4_000_000
 _SUMS = "n double, " + ", ".join(f"{c} array<double>" for c in encoding.SUMS)
 
 
@@ -139,6 +141,21 @@ def sums_by(rows: DataFrame, keys: Sequence[str], backend: Backend, origin: tupl
     names = list(keys)
     weighted = "w" in rows.columns
 
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        """A batch of many keys at once; None where they are few, or the rows wide, or the backend sums in its own way."""
+        code = pdf.groupby(names, dropna=False, sort=False).ngroup().to_numpy()
+        wide = len(origin[0]) * (len(origin[0]) + len(origin[1])) * len(pdf)
+        if type(backend).accumulate is not Backend.accumulate or code.max() < encoding.HELD or wide > MANY_VALUES:
+            return None
+        order = np.argsort(code, kind="stable")
+        at = np.searchsorted(code[order], np.arange(code.max() + 1))
+        x, y = (np.array(pdf[c].tolist(), float)[order] - o for c, o in (("lagged", origin[0]), ("y", origin[1])))
+        w = pdf["w"].to_numpy(float)[order] if weighted else np.ones(len(pdf))
+        xw, flat = x * w[:, None], lambda v: v.reshape(len(v), -1)
+        parts = (xw, y * w[:, None], flat(xw[:, :, None] * x[:, None, :]), flat(xw[:, :, None] * y[:, None, :]), y * y * w[:, None])
+        out = pdf[names].iloc[order[at]].reset_index(drop=True).assign(n=np.add.reduceat(w, at))
+        return out.assign(**{c: list(np.add.reduceat(v, at, axis=0)) for c, v in zip(encoding.SUMS, parts, strict=True)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, Sums] = {}
 
@@ -146,6 +163,10 @@ def sums_by(rows: DataFrame, keys: Sequence[str], backend: Backend, origin: tupl
             return pd.DataFrame([[*k, *s.row()] for k, s in held.items()], columns=[*names, "n", *encoding.SUMS])
 
         for pdf in batches:
+            many = summed(pdf) if names and len(pdf) else None
+            if many is not None:
+                yield many
+                continue
             for key, g in pdf.groupby(names, dropna=False, sort=False) if names else [((), pdf)]:
                 if not len(g):
                     continue
